@@ -25,6 +25,30 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_binary, op8_byte_bpe)}
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terramosaic.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terramosaic.llm.decontamination import find_contamination
+
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), details=False)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terramosaic.llm.language_id import identify_documents
+
+    return identify_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terramosaic.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_binary, op5_license_scan, op6_decontamination, op7_language_id, op8_byte_bpe, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
