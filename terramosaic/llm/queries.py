@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terramosaic.llm.common import ship
 from terramosaic.llm.common import table as read_table
@@ -49,6 +50,42 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_binary, op5_license_scan, op6_decontamination, op7_language_id, op8_byte_bpe, op10_simhash)}
+def op1_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terramosaic.llm.ann import nearest
 
-ORACLE_SQL: dict[str, str] = {}
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terramosaic.llm.chat import digests, format_conversations
+
+    text = "\\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.sql("SELECT -7L AS conv_id, t.turn, t.role, t.text FROM VALUES (0L, 'user', :text), (1L, 'assistant', :text) AS t(turn, role, text)", args={"text": text})
+    return digests(format_conversations(turns.unionByName(more)))
+
+
+QUERIES = {f.__name__: f for f in (op1_anisotropic_ann, op2_token_binary, op4_chat_format, op5_license_scan, op6_decontamination, op7_language_id, op8_byte_bpe, op10_simhash)}
+
+OP4_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+), steps AS (
+  SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text), 'start') || '>' || role AS step,
+    replace(replace(replace(text, '\', '\0'), '###', '\1'), '</turn>', '\2') AS body,
+    replace(replace(replace(replace(role, '\', '\0'), '###', '\1'), '</turn>', '\2'), ':', '\3') AS name
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+  CAST(sum(14 + length(name) + length(body)) AS BIGINT) AS formatted_chars,
+  bool_and(step IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user'))
+    AND last(role ORDER BY turn NULLS FIRST, role, text) IN ('user', 'assistant') AS valid
+FROM steps GROUP BY conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL}
