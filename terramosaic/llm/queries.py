@@ -65,7 +65,13 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(turns.unionByName(more)))
 
 
-QUERIES = {f.__name__: f for f in (op1_anisotropic_ann, op2_token_binary, op4_chat_format, op5_license_scan, op6_decontamination, op7_language_id, op8_byte_bpe, op10_simhash)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terramosaic.llm.pii import detect
+
+    return detect(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_anisotropic_ann, op2_token_binary, op4_chat_format, op5_license_scan, op6_decontamination, op7_language_id, op8_byte_bpe, op9_pii, op10_simhash)}
 
 OP4_SQL = r"""
 WITH turns AS (
