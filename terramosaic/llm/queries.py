@@ -56,6 +56,12 @@ def op1_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terramosaic.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terramosaic.llm.chat import digests, format_conversations
 
@@ -71,7 +77,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_anisotropic_ann, op2_token_binary, op4_chat_format, op5_license_scan, op6_decontamination, op7_language_id, op8_byte_bpe, op9_pii, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_anisotropic_ann, op2_token_binary, op3_suffix_dedup, op4_chat_format, op5_license_scan, op6_decontamination, op7_language_id, op8_byte_bpe, op9_pii, op10_simhash)}
 
 OP4_SQL = r"""
 WITH turns AS (
