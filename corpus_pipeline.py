@@ -1,7 +1,72 @@
-"""Corpus pipeline over ``documents``."""
-STAGES: list = []
+"""Corpus pipeline: five stages over ``documents``, each one operator of ``terramosaic.llm``.
+
+A stage takes (spark, docs, sf_dir) and returns the documents that it keeps,
+with the columns of ``documents``; the last returns token digests. Between
+stages the rows are written as Parquet and read again, so a stage's work is
+never repeated by the next and lost executors cost one stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terramosaic.llm import byte_bpe, decontamination, language_id, pii, simhash
+from terramosaic.llm.common import ship, shared_path, table
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a language: no text, no letter, or two languages about equally near."""
+    ship(spark)
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    named = dict(zip(docs.columns, names, strict=True))
+    model = language_id.train(docs, ~language_id.held_out() & F.col("doc_id").isNotNull())
+    found = language_id.identify(plain, model, text_col=named["text"], keep=names)
+    kept = found.where((F.col("lang_pred") != language_id.UNDETERMINED) & ~F.col("ambiguous"))
+    return kept.select(*(F.col(n).alias(c) for c, n in named.items()))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component stays, the one with the smallest id."""
+    ship(spark)
+    return simhash.keep_one(docs).select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a window of a benchmark item."""
+    ship(spark)
+    return decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by its kind; n_chars follows."""
+    ship(spark)
+    return pii.redact(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document, as counts and digests, and whether decoding gives the text back."""
+    ship(spark)
+    return byte_bpe.encode_documents(docs, keep_ids=False)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("simhash_near_dedup", near_duplicate_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("byte_bpe", encoding_stage),
+]
+
+#: SQL has no trained classifier, tagger or tokenizer; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = shared_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
