@@ -100,6 +100,8 @@ def expand(first: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def longest_runs(doc: np.ndarray, item: np.ndarray, place: np.ndarray, offset: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
     """Windows that follow each other on one diagonal, joined: (doc, item, place, offset, words)."""
+    if not len(doc):
+        return doc, item, place, offset, length
     order = np.lexsort((place, place - offset, item, doc))
     doc, item, place, offset, length = doc[order], item[order], place[order], offset[order], length[order]
     new = np.ones(len(doc), bool)
