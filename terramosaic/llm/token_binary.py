@@ -18,9 +18,11 @@ manifest names.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +44,7 @@ SHARD_IDS = 4 << 20
 TASK_BYTES = 48 << 20
 END_ID = 2
 #: Memo entries before the memo is emptied, and the longest word it keeps.
-MEMO, MEMO_LEN = 400_000, 64
+MEMO, MEMO_LEN = 500_000, 64
 
 
 def default_vocab() -> str:
@@ -147,12 +149,17 @@ class ShardReader:
 
 
 class WordEncoder:
-    """The tokenizers library over whole texts, with a bounded memo of space-separated words.
+    """The tokenizers library over whole texts, with bounded memos.
 
     The tokenizer drops white space and never merges across it, so the ids of a
-    text are those of its space-separated words in order.
+    text are those of its space-separated words in order. A word of Latin-1
+    letters with at most one mark behind it is one or two pre-tokens that
+    normalising only lower-cases; these go straight to the library's BPE model.
+    Any other word goes through the library's whole pipeline.
     """
 
+    SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)").fullmatch
+
     def __init__(self, vocab: str):
         import os
 
@@ -161,25 +168,57 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(vocab)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.memo: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        # The byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from 256 on.
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in own)}
 
-    def encode(self, words: list[str]) -> list[bytes]:
+    def pipeline(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def pre_token(self, text: str) -> bytes:
+        ids = self.letters.get(text)
+        if ids is None:
+            shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.alphabet)
+            ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            if len(text) <= MEMO_LEN:
+                if len(self.letters) >= MEMO:
+                    self.letters.clear()
+                self.letters[text] = ids
+        return ids
+
+    def learn(self, words: set[str]) -> None:
+        other = []
+        for word in words:
+            simple = self.SIMPLE(word)
+            if simple:
+                letters, mark = simple.groups()
+                self.memo[word] = self.pre_token(letters.lower()) + (self.pre_token(mark) if mark else b"")
+            else:
+                other.append(word)
+        for i in range(0, len(other), 4096):
+            part = other[i : i + 4096]
+            self.memo.update(zip(part, self.pipeline(part), strict=True))
+
     def texts(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.split(" ") for t in texts]
-        missing = list({w for words in split for w in words} - self.memo.keys())
-        if len(self.memo) + len(missing) > MEMO:
-            self.memo.clear()
-            missing = list({w for words in split for w in words})
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            self.memo.update(zip(part, self.encode(part), strict=True))
-        for words in split:
-            yield b"".join(map(self.memo.__getitem__, words))
-        for word in missing:
-            if len(word) > MEMO_LEN:
-                del self.memo[word]
+        memo = self.memo
+        for text in texts:
+            words = text.replace("\n", " ").split(" ")
+            found = list(map(memo.get, words))
+            if None in found:
+                if len(memo) >= MEMO:
+                    memo.clear()
+                    missing = set(words)
+                else:
+                    missing = {w for w, ids in zip(words, found, strict=True) if ids is None}
+                self.learn(missing)
+                found = list(map(memo.__getitem__, words))
+                for word in missing:
+                    if len(word) > MEMO_LEN:
+                        del memo[word]
+            yield b"".join(found)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
