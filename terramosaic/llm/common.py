@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from terramosaic.shipping import ship as ship
+
 #: Text bytes that one numpy pass works on; bounds the scratch arrays of a worker.
 CHUNK_BYTES = 4 << 20
 
@@ -78,22 +80,3 @@ def doc_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield at, min(end, n)
         at = min(end, n)
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this subpackage, once a session, where they cannot import it already."""
-    import os
-    import zipfile
-    from pathlib import Path
-
-    context = spark.sparkContext
-    if getattr(context, "_terramosaic_llm", False):
-        return
-    here = Path(__file__).resolve().parent
-    archive = os.path.join(tempfile.mkdtemp(prefix="terramosaic-py-"), "terramosaic_llm.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        z.write(here.parent / "__init__.py", "terramosaic/__init__.py")
-        for file in sorted(here.glob("*.py")):
-            z.write(file, f"terramosaic/llm/{file.name}")
-    context.addPyFile(archive)
-    context._terramosaic_llm = True

@@ -1,0 +1,306 @@
+"""op3, op5, op6, op7, op9 and op10 against brute force."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from terramosaic.llm import decontamination, language_id, license_scan, pii, simhash, suffix_dedup
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+def by_row(rows, *columns):
+    return sorted(tuple(-1 if c == "doc_id" and r[c] is None else r[c] for c in columns) for r in rows)
+
+
+# ---- op3
+
+
+def removed(texts):
+    seen, out = set(), []
+    for text in texts:
+        raw = text.encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - 99):
+            w = raw[i : i + 100]
+            if w in seen:
+                gone[i : i + 100] = b"\1" * 100
+            seen.add(w)
+        kept = bytes(c for c, g in zip(raw, gone) if not g)
+        out.append((len(raw), sum(gone), len([s for s in bytes(gone).split(b"\0") if s]), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def check_repeats(df):
+    rows = df.select("doc_id", "text").collect()
+    order = sorted(rows, key=lambda r: (-(10**9) if r["doc_id"] is None else r["doc_id"], (r["text"] or "").encode()))
+    want = sorted((-1 if r["doc_id"] is None else r["doc_id"], *x) for r, x in zip(order, removed([r["text"] or "" for r in order])))
+    got = by_row(suffix_dedup.remove_repeats(df).collect(), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == want
+
+
+def test_repeats_of_documents(documents):
+    check_repeats(documents)
+
+
+def test_repeats_of_odd_documents(odd_documents, no_documents):
+    check_repeats(odd_documents.where("text is null or length(text) < 20000"))
+    assert suffix_dedup.remove_repeats(no_documents).collect() == []
+
+
+def test_repeats_in_periodic_and_shared_texts(spark):
+    rnd = random.Random(3)
+    base = "".join(rnd.choice("abcdefgh ") for _ in range(1500))
+    texts = [base, base[:700] + "X" + base[700:], "ab" * 400, "abc" * 200 + base[300:450], base[100:260] * 3, "ab" * 60, base[1000:1099], base[1000:1100]]
+    check_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+
+
+def test_large_collections_are_taken_in_parts(monkeypatch):
+    rnd = random.Random(8)
+    base = bytes(rnd.choice(b"ab") for _ in range(300))
+    strings = [base[a : a + 150] for a in (0, 40, 90, 150)] + [base[:120], base[10:140]]
+    doc, place = np.arange(6), np.arange(6) * 1000
+    whole = set(zip(*(x.tolist() for x in suffix_dedup.repeats(strings, doc, place))))
+    monkeypatch.setattr(suffix_dedup, "COLLECTION_BYTES", 200)
+    assert set(zip(*(x.tolist() for x in suffix_dedup.collection_repeats(strings, doc, place)))) == whole
+
+
+# ---- op5
+
+
+def test_licenses(spark, documents, odd_documents, no_documents):
+    more = spark.createDataFrame([(100, "under the MIT-License under\nthe mit license CC by-nc"), (101, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public license"), (102, "apache license version 2 apache license version 2")], "doc_id bigint, text string")
+    docs = documents.select("doc_id", "text").unionByName(odd_documents.select("doc_id", "text")).unionByName(more)
+    want = []
+    for r in docs.collect():
+        w, places = words(r["text"]), []
+        for phrase, label in license_scan.PHRASES.items():
+            p = phrase.split()
+            places += [(i, label) for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+        starts = [i for i, _ in places]
+        want.append((-1 if r["doc_id"] is None else r["doc_id"], len(w), len(places), min(starts, default=-1), max(starts, default=-1), ",".join(sorted({x for _, x in places}))))
+    rows = license_scan.scan_licenses(docs).collect()
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_base"], -1 if r["first_word"] is None else r["first_word"], -1 if r["last_word"] is None else r["last_word"], r["base_labels"]) for r in rows)
+    assert got == sorted(want)
+    labels = {r["doc_id"]: (r["labels"], r["score"]) for r in rows if (r["doc_id"] or 0) >= 100}
+    assert labels[101][0] == "gpl-3" and 0.8 <= labels[101][1] <= 1
+    for r in rows:
+        assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
+    assert license_scan.scan_licenses(no_documents).collect() == []
+
+
+def test_template_join_is_exact():
+    rnd = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(30)]
+    templates = tuple((" ".join(rnd.sample(vocabulary, rnd.randint(3, 9))), f"t{i}") for i in range(12))
+    index = license_scan.TemplateIndex(templates, 0.8, {w.encode(): rnd.randint(0, 50) for w in vocabulary})
+    for _ in range(2000):
+        block = [w.encode() for w in rnd.choices(vocabulary, k=rnd.randint(0, 25))]
+        want = {}
+        for k, (t, _) in enumerate(templates):
+            own = set(t.encode().split())
+            share = len(own & set(block)) / len(own)
+            if share >= 0.8 - 1e-9:
+                want[k] = share
+        assert index.matches(block) == want
+
+
+# ---- op6
+
+
+def test_contamination(spark, documents, odd_documents, no_documents):
+    bench = spark.createDataFrame([(1, "Alpha beta, gamma"), (2, "one two three four five six seven eight nine ten eleven twelve"), (3, None), (4, "!!!"), (5, "three four five six seven eight nine ten eleven twelve"), (5, "alpha beta gamma"), (None, "zeta eta")], "item_id bigint, text string")
+    sf_bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    more = spark.createDataFrame([(200, "xx alpha BETA gamma alpha beta gamma"), (201, "zero one two three four five six seven eight nine ten eleven"), (202, "alpha"), (203, "zeta-eta")], "doc_id bigint, text string")
+    docs = documents.select("doc_id", "text").unionByName(odd_documents.select("doc_id", "text")).unionByName(more)
+    items = bench.unionByName(sf_bench)
+    windows = {}
+    for r in items.collect():
+        w = words(r["text"])
+        for a in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(tuple(w[a : a + 10]), set()).add("null" if r["item_id"] is None else str(r["item_id"]))
+    sizes, want = {len(w) for w in windows}, []
+    for r in docs.collect():
+        w, hit, ids = words(r["text"]), set(), set()
+        for n in sizes:
+            for a in range(len(w) - n + 1):
+                if tuple(w[a : a + n]) in windows:
+                    hit |= set(range(a, a + n))
+                    ids |= windows[tuple(w[a : a + n])]
+        want.append((-1 if r["doc_id"] is None else r["doc_id"], len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert by_row(decontamination.find_contamination(docs, items).collect(), *columns) == sorted(want)
+    assert decontamination.find_contamination(no_documents, items).collect() == []
+    assert not any(r["contaminated"] for r in decontamination.find_contamination(docs, items.limit(0)).collect())
+    kept = decontamination.remove_contaminated(odd_documents, items)
+    assert kept.columns == odd_documents.columns
+
+
+def test_contamination_with_many_blocks(monkeypatch, documents, spark):
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
+    whole = by_row(decontamination.find_contamination(documents, items).collect(), *columns)
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 2000)
+    assert by_row(decontamination.find_contamination(documents, items).collect(), *columns) == whole
+
+
+# ---- op7
+
+
+def test_language(spark, odd_documents, no_documents):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language_id.identify_documents(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    out = [r for r in rows if r["held_out"]]
+    assert sum(r["lang_pred"] == r["lang"] for r in out) / len(out) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    odd = {r["doc_id"]: r for r in language_id.identify_documents(odd_documents).collect()}
+    for k in (3, 4, 6, 8):
+        assert (odd[k]["lang_pred"], odd[k]["score"]) == ("und", 0)
+    assert odd[7]["lang_pred"] in {"en", "fr", "de", "es"}
+    assert language_id.identify_documents(no_documents).collect() == []
+
+
+def test_codewords_are_apart():
+    for n in (2, 3, 4, 6, 9, 20):
+        code = language_id.codewords(n)
+        gaps = [(code[a] != code[b]).sum() for a in range(n) for b in range(a)]
+        assert min(gaps) >= max(1, code.shape[1] // 4)
+
+
+def test_long_text_in_pieces_scores_alike(monkeypatch):
+    model = language_id.Model([b"the cat and the dog " * 20, b"le chat et la souris " * 20], ["en", "fr"])
+    raw = np.frombuffer(b"the cat and le chat la souris et " * 300, np.uint8)
+    offsets = np.array([0, len(raw)])
+    whole = model.predict(raw, offsets)
+    monkeypatch.setattr(language_id, "SCORE_BYTES", 500)
+    parts = language_id.predict_chunk(model, raw, offsets)
+    assert whole[0][0] == parts[0][0] and whole[1][0] == pytest.approx(parts[1][0], rel=1e-4)
+
+
+# ---- op9
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 12 <= len(digits) <= 19 and pii.luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if ok:
+                out.append((m.start(), k, m.end()))
+    return [(a, pii.KINDS[k], b) for a, k, b in sorted(out)]
+
+
+def test_base_patterns():
+    rnd = random.Random(1)
+    for alphabet in ("ab.@-@.x 1%é", "0123456789.. -", "+1234567890() -.", "a@b.c+1-2 3.4"):
+        for _ in range(4000):
+            text = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40)))
+            assert pii.base_spans(text) == plain_spans(text), text
+
+
+def test_pii_documents(documents, odd_documents, no_documents):
+    both = documents.select("doc_id", "text").unionByName(odd_documents.select("doc_id", "text"))
+    rows = pii.detect(both).collect()
+    want = []
+    for r in both.collect():
+        spans = plain_spans(r["text"] or "")
+        counts = [sum(kind == k for _, kind, _ in spans) for k in pii.KINDS]
+        want.append((-1 if r["doc_id"] is None else r["doc_id"], *counts, hashlib.sha256(pii.joined(spans).encode()).hexdigest()))
+    assert by_row(rows, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == sorted(want)
+    assert pii.detect(no_documents).collect() == []
+
+
+def test_tagger_finds_labelled_spans():
+    rng, found, total = np.random.default_rng(99), 0, 0
+    for _ in range(80):
+        text, spans = pii.labelled_example(rng)
+        got = {(a, b, pii.KINDS.index(k)) for a, k, b in pii.tagged_spans(pii.default_tagger(), [text])[0]}
+        found, total = found + len(got & set(spans)), total + len(spans)
+    assert found / total > 0.85
+
+
+def test_redaction_keeps_clean_rows(odd_documents, documents):
+    clean = documents.where("not text rlike '[0-9@]'")
+    assert pii.redact(clean).exceptAll(clean).count() == 0
+    out = pii.redact(odd_documents)
+    assert out.columns == odd_documents.columns and out.count() == odd_documents.count()
+    assert pii.redacted("a x@y.z b 1.2.3.4", pii.base_spans("a x@y.z b 1.2.3.4")) == "a [EMAIL] b [IP]"
+
+
+# ---- op10
+
+
+def plain_fingerprint(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] if w else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(documents, odd_documents, no_documents):
+    both = documents.select("doc_id", "text").unionByName(odd_documents.select((F.col("doc_id") + 5000).alias("doc_id"), "text"))
+    rows = both.collect()
+    prints = [plain_fingerprint(r["text"]) for r in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 2:
+                parent[find(a)] = find(b)
+    smallest = {}
+    for k, r in enumerate(rows):
+        if r["doc_id"] is not None:
+            smallest[find(k)] = min(smallest.get(find(k), 1 << 60), r["doc_id"])
+    want = sorted((-1 if r["doc_id"] is None else r["doc_id"], f"{p:016x}", smallest[find(k)]) for k, (r, p) in enumerate(zip(rows, prints)))
+    assert by_row(simhash.near_duplicates(both).collect(), "doc_id", "fingerprint", "component_id") == want
+    assert simhash.near_duplicates(no_documents).collect() == []
+    kept = simhash.keep_one(odd_documents)
+    assert [r["doc_id"] for r in kept.where("doc_id is not null").collect()].count(2) == 0
+
+
+def test_links_find_every_pair(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(-(2**63), 2**63 - 1, 40)
+    fps = set()
+    for b in base.tolist():
+        for _ in range(8):
+            x = b & (2**64 - 1)
+            for bit in rng.integers(0, 64, rng.integers(0, 4)).tolist():
+                x ^= 1 << bit
+            fps.add(x)
+    fps = sorted(x - 2**64 if x >= 2**63 else x for x in fps)
+    want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+    got = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(x,) for x in fps], "fp bigint")).collect()}
+    assert got == want and len(want) > 50
+
+
+def test_golay_decodes_every_word():
+    words_ = np.random.default_rng(1).integers(0, 1 << 23, 2000)
+    high, leader, _, _ = simhash.golay_tables()
+    index = simhash.nearest_index(words_)
+    codewords = index << 11 | high[index]
+    assert max(int(x).bit_count() for x in (words_ ^ codewords)) <= 3
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 101)], "a bigint, b bigint")
+    out = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    assert out == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
