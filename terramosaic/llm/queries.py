@@ -35,7 +35,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terramosaic.llm.decontamination import find_contamination
 
-    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), details=False)
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), details=False).drop("longest_match")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,4 +100,38 @@ SELECT conv_id, count(*) AS n_turns,
 FROM steps GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL}
+_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP6_SQL = f"""
+WITH dw AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+bw AS (SELECT item_id, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, list_slice(w, i, i + 9) AS g, least(len(w), 10) AS n FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM bw WHERE len(w) > 0)),
+spots AS (SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS g FROM (SELECT doc_id, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) AS i FROM dw CROSS JOIN (SELECT DISTINCT n FROM iw))),
+hits AS (SELECT doc_id, i, spots.n, item_id FROM spots JOIN iw ON iw.g = spots.g),
+hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def _op5_sql() -> str:
+    from terramosaic.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD
+
+    phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in PHRASES.items())
+    templates = ", ".join(f"({sorted(set(t.split()))!r}, '{label}')" for t, label in TEMPLATES)
+    return f"""
+WITH dw AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+phrase AS (SELECT * FROM (VALUES {phrases}) v(p, label)), template AS (SELECT * FROM (VALUES {templates}) v(tokens, label)),
+place AS (SELECT doc_id, i - 1 AS pos, label FROM (SELECT doc_id, w, p, label, unnest(range(1, len(w) - len(p) + 2)) AS i FROM dw CROSS JOIN phrase WHERE len(w) >= len(p) AND list_has_all(w, p)) WHERE list_slice(w, i, i + len(p) - 1) = p),
+line AS (SELECT doc_id, {_WORDS.format("l")} AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM dw)),
+found AS (SELECT doc_id, label, max(share) AS share FROM (SELECT doc_id, label, len(list_intersect(tokens, w)) / len(tokens) AS share FROM line CROSS JOIN template WHERE list_has_any(w, tokens)) WHERE share >= {THRESHOLD} - 1e-9 GROUP BY 1, 2),
+base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY 1),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM place UNION SELECT doc_id, label FROM found) GROUP BY 1),
+best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY 1)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1e0 ELSE coalesce(share, 0e0) END AS score
+FROM dw LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op5_license_scan": _op5_sql(), "op6_decontamination": OP6_SQL}
