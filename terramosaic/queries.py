@@ -371,10 +371,10 @@ def w7_f11_a11_scores(spark, sf):
     return rounded(table.select("cluster", "taxonId", F.col("high_log2_high_count_score").alias("high"), F.col("low_log2_high_count_score").alias("low")), "high", "low")
 
 
-#: p of tables ((a, 8 - a), (6 - a, a)), by the sum over a's support of the hypergeometric terms.
+#: p of tables ((a, 8 - a), (6 - a, 2 + a)), by the sum over a's support of the hypergeometric terms.
 FISHER_SQL = """
 WITH RECURSIVE fact(k, lf) AS (SELECT 0, 0e0 UNION ALL SELECT k + 1, lf + ln(k + 1) FROM fact WHERE k < 20),
-prob AS (SELECT k AS a, exp(2 * f8.lf + 0 * f.lf + f6.lf + f10.lf - f16.lf - f.lf - g.lf - h.lf - i.lf) AS p
+prob AS (SELECT f.k AS a, exp(2 * f8.lf + f6.lf + f10.lf - f16.lf - f.lf - g.lf - h.lf - i.lf) AS p
   FROM (SELECT k, lf FROM fact WHERE k <= 6) f JOIN fact g ON g.k = 8 - f.k JOIN fact h ON h.k = 6 - f.k JOIN fact i ON i.k = 2 + f.k
   JOIN fact f8 ON f8.k = 8 JOIN fact f6 ON f6.k = 6 JOIN fact f10 ON f10.k = 10 JOIN fact f16 ON f16.k = 16)
 SELECT x.a, round(sum(y.p), 9) AS p FROM prob x JOIN prob y ON y.p <= x.p * (1 + 1e-9) GROUP BY x.a
@@ -495,7 +495,8 @@ def c4_linkage_order(spark, sf):
 
 
 def table_of_metrics(spark, sf) -> DataFrame:
-    return metrics.cluster_metrics(d.site_pairs(spark, sf), d.site_square(spark, sf), d.site_labels(spark, sf))
+    pairs, index = d.site_pairs(spark, sf), cells.cut(d.site_index(spark, sf))
+    return metrics.cluster_metrics(pairs, distances.square(pairs, index), cells.cut(d.site_labels(spark, sf)))
 
 
 @query(sql("sil", "SELECT num_clusters, round(avg(s), 6) + 0e0 AS silhouette FROM sil GROUP BY 1"))

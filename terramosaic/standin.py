@@ -67,7 +67,9 @@ def site_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def site_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distances.geocode_distances(sites(spark, sf_dir), site_index(spark, sf_dir))
+    """The pair table, a stage of its own: scores read it many times."""
+    index = cells.cut(site_index(spark, sf_dir))
+    return cells.cut(distances.geocode_distances(cells.cut(sites(spark, sf_dir)), index))
 
 
 def site_square(spark: SparkSession, sf_dir: str) -> DataFrame:
