@@ -106,15 +106,20 @@ def is_edge_sql(cell: str, res: int, box: Bbox) -> str:
 
 
 def meets_outline_sql(corners: list[tuple[str, str]], box: Bbox) -> str:
+    """As is_edge_sql(), on given corners in the grid's order.
+
+    The hexagon's sides give its extent: corners 0 and 3 east and west, 2 and 5
+    north and south. The two upright edges are settled by the extent; behind a
+    slanted edge, the box is apart if its corner nearest to the hexagon is.
+    """
     west, east, south, north = (number(v) for v in (box.sw.lng, box.ne.lng, box.sw.lat, box.ne.lat))
-    lngs, lats = [x for x, _ in corners], [y for _, y in corners]
-    overlap = f"greatest({', '.join(lngs)}) >= {west} AND least({', '.join(lngs)}) <= {east} AND greatest({', '.join(lats)}) >= {south} AND least({', '.join(lats)}) <= {north}"
-    inside = f"least({', '.join(lngs)}) > {west} AND greatest({', '.join(lngs)}) < {east} AND least({', '.join(lats)}) > {south} AND greatest({', '.join(lats)}) < {north}"
+    right, left, top, bottom = corners[0][0], corners[3][0], corners[2][1], corners[5][1]
+    overlap = f"{right} >= {west} AND {left} <= {east} AND {top} >= {south} AND {bottom} <= {north}"
+    inside = f"{left} > {west} AND {right} < {east} AND {bottom} > {south} AND {top} < {north}"
     apart = []
-    for k in range(6):
+    for k, (px, py) in ((1, (west, south)), (2, (east, south)), (4, (east, north)), (5, (west, north))):
         (x0, y0), (x1, y1) = corners[k], corners[(k + 1) % 6]
-        sides = [f"({x1} - {x0}) * ({py} - {y0}) - ({y1} - {y0}) * ({px} - {x0}) < 0e0" for px in (west, east) for py in (south, north)]
-        apart.append("(" + " AND ".join(sides) + ")")
+        apart.append(f"({x1} - {x0}) * ({py} - {y0}) - ({y1} - {y0}) * ({px} - {x0}) < 0e0")
     return f"(({overlap}) AND NOT ({inside}) AND NOT ({' OR '.join(apart)}))"
 
 
@@ -122,10 +127,15 @@ def meets_outline_sql(corners: list[tuple[str, str]], box: Bbox) -> str:
 # Steps go into columns of their own, so that each is computed once a row.
 
 
-def with_cell(df: DataFrame, lat: str, lng: str, res: int, name: str = "geocode") -> DataFrame:
-    """``df`` with the cell id of a coordinate."""
+def with_cell(df: DataFrame, lat: str, lng: str, res: int, name: str = "geocode", valid: bool = False) -> DataFrame:
+    """``df`` with the cell id of a coordinate, null where that is no coordinate.
+
+    ``valid`` says that all coordinates are present and in range. The id is then
+    never null, which keeps the null checks that joins add from being pushed to
+    the scan with the whole expression in them.
+    """
     a = edge_km(res)
-    inside = F.col(lat).between(-90.0, 90.0) & F.col(lng).between(-180.0, 180.0)
+    inside = F.lit(True) if valid else F.col(lat).between(-90.0, 90.0) & F.col(lng).between(-180.0, 180.0)
     x, y = F.radians(F.col(lng)) * EARTH_KM, F.sin(F.radians(F.col(lat))) * EARTH_KM
     df = df.withColumns({"_x": F.when(inside, x), "_y": F.when(inside, y)})
     df = df.withColumns({"_q": (sqrt(3) / 3 * F.col("_x") - 1 / 3 * F.col("_y")) / a, "_r": 2 / 3 * F.col("_y") / a})
@@ -134,7 +144,8 @@ def with_cell(df: DataFrame, lat: str, lng: str, res: int, name: str = "geocode"
     df = df.withColumn("_far", F.when((dq > dr) & (dq > ds), 0).when(dr > ds, 1).otherwise(2))
     q = F.when(F.col("_far") == 0, -F.col("_rr") - F.col("_rs")).otherwise(F.col("_rq"))
     r = F.when(F.col("_far") == 1, -F.col("_rq") - F.col("_rs")).otherwise(F.col("_rr"))
-    return df.withColumn(name, F.lit(res * RES_UNIT) + (q + HALF) * SHIFT + r + HALF).drop("_x", "_y", "_q", "_r", "_rq", "_rr", "_rs", "_far")
+    cell = F.lit(res * RES_UNIT) + (q + HALF) * SHIFT + r + HALF
+    return df.withColumn(name, F.coalesce(cell, F.lit(-1)) if valid else cell).drop("_x", "_y", "_q", "_r", "_rq", "_rr", "_rs", "_far")
 
 
 def with_geometry(cells: DataFrame, res: int, box: Bbox, cell: str = "geocode") -> DataFrame:
@@ -142,18 +153,17 @@ def with_geometry(cells: DataFrame, res: int, box: Bbox, cell: str = "geocode")
     a = edge_km(res)
     w, h = a * sqrt(3) / 2, a / 2
     x, y = center_xy_sql(cell, res)
-    df = cells.withColumns({"_x": F.expr(x), "_y": F.expr(y)})
-    shape = [F.expr(lng_sql("_x")).alias("lng"), F.expr(lat_sql("_y")).alias("lat")]
-    for k, (dx, dy) in enumerate(((w, -h), (w, h), (0, a), (-w, h), (-w, -h), (0, -a))):
-        shape += [F.expr(lng_sql(f"(_x + {number(dx)})")).alias(f"x{k}"), F.expr(lat_sql(f"(_y + {number(dy)})")).alias(f"y{k}")]
-    # A filter on the edge flag must not be pushed below the shapes, where it would hold their
-    # expressions many times over; an aggregate by the (unique) cell stands in its way.
+    # A filter on the edge flag must not be pushed below the plane coordinates, where it would hold
+    # their expressions many times over; an aggregate by the (unique) cell stands in its way.
     keys = cells.columns
-    df = df.withColumn("_shape", F.struct(*shape)).groupBy(*keys).agg(F.first("_shape").alias("_shape"))
-    ring = [F.struct(F.col(f"_shape.x{k % 6}").alias("lng"), F.col(f"_shape.y{k % 6}").alias("lat")) for k in range(7)]
-    flag = meets_outline_sql([(f"_shape.x{k}", f"_shape.y{k}") for k in range(6)], box)
-    center = F.struct(F.col("_shape.lng").alias("lng"), F.col("_shape.lat").alias("lat"))
-    return df.select(*keys, center.alias("center"), F.array(*ring).alias("boundary"), F.expr(flag).alias("is_edge"))
+    df = cells.withColumns({"_x": F.expr(x), "_y": F.expr(y)}).groupBy(*keys).agg(F.first("_x").alias("_x"), F.first("_y").alias("_y"))
+    lng = {k: F.expr(lng_sql(f"(_x + {number(dx)})")).alias(k) for k, dx in (("w", -w), ("x", 0), ("e", w))}
+    lat = {k: F.expr(lat_sql(f"(_y + {number(dy)})")).alias(k) for k, dy in (("b", -a), ("l", -h), ("y", 0), ("h", h), ("t", a))}
+    df = df.select(*keys, *(c.alias(f"_{k}") for k, c in (lng | lat).items()))
+    corners = [("_e", "_l"), ("_e", "_h"), ("_x", "_t"), ("_w", "_h"), ("_w", "_l"), ("_x", "_b")]
+    ring = [F.struct(F.col(cx).alias("lng"), F.col(cy).alias("lat")) for cx, cy in (*corners, corners[0])]
+    center = F.struct(F.col("_x").alias("lng"), F.col("_y").alias("lat"))
+    return df.select(*keys, center.alias("center"), F.array(*ring).alias("boundary"), F.expr(meets_outline_sql(corners, box)).alias("is_edge"))
 
 
 def neighbors(cell_col: str) -> Column:

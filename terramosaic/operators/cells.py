@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terramosaic.functions import grid
-from terramosaic.operators.occurrences import in_box, with_geocode
+from terramosaic.operators.occurrences import in_cells
 from terramosaic.types import Bbox
 
 #: Cells up to which components are linked on the driver.
@@ -17,7 +17,7 @@ FULL = len(grid.STEPS)
 
 def cells(occurrences: DataFrame, res: int, box: Bbox) -> DataFrame:
     """Distinct cells with centre, closed boundary ring and edge flag; geometry only after the distinct."""
-    found = with_geocode(in_box(occurrences, box), res).where(F.col("geocode").isNotNull()).select("geocode").distinct()
+    found = in_cells(occurrences, box, res).select("geocode").distinct()
     return grid.with_geometry(found, res, box).select("geocode", "center", "boundary", "is_edge")
 
 
@@ -61,6 +61,7 @@ def edges(neighbors: DataFrame, column: str = "direct_and_indirect_neighbors") -
 def components(nodes: DataFrame, edge_table: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(geocode, component): the smallest cell that each one reaches, by min-label rounds with pointer jumps."""
     labels = nodes.select("geocode", F.col("geocode").alias("component"))
+    labels, edge_table = cut(labels), cut(edge_table)
     both = edge_table.select("a", "b").union(edge_table.select(F.col("b").alias("a"), F.col("a").alias("b")))
     for _ in range(max_rounds):
         near = both.join(labels.withColumnRenamed("geocode", "b"), "b").groupBy("a").agg(F.min("component").alias("low"))
@@ -126,6 +127,7 @@ def connected(neighbors: DataFrame, cell_table: DataFrame) -> DataFrame:
     Components come from the direct lists, in a distributed way; the pairs that
     join them are found on the driver, for at most DRIVER_CELLS cells.
     """
+    cell_table, neighbors = cut(cell_table), cut(neighbors)
     n = cell_table.count()
     if n > DRIVER_CELLS:
         raise ValueError(f"{n} cells are too many to link on the driver; use a coarser grid")
@@ -171,6 +173,7 @@ def geocode_neighbors_no_edges(neighbors: DataFrame, cell_table: DataFrame) -> D
 
 def connectivity(neighbors: DataFrame) -> DataFrame:
     """Edge table (i < j) in index order; an error unless there is one component."""
+    neighbors = cut(neighbors)
     edge_table = edges(neighbors)
     if components(neighbors.select("geocode"), edge_table).select("component").distinct().count() > 1:
         raise ValueError("the neighbour graph has more than one component")

@@ -22,3 +22,9 @@ def with_geocode(df: DataFrame, res: int, lat: str = LAT, lng: str = LNG) -> Dat
 
 def geocodes(df: DataFrame, res: int, lat: str = LAT, lng: str = LNG) -> DataFrame:
     return with_geocode(df.select(lat, lng), res, lat, lng).select("geocode")
+
+
+def in_cells(df: DataFrame, box: Bbox, res: int, lat: str = LAT, lng: str = LNG) -> DataFrame:
+    """Rows inside the box with their cell, which is never null."""
+    box = Bbox.of(max(box.sw.lat, -90.0), min(box.ne.lat, 90.0), max(box.sw.lng, -180.0), min(box.ne.lng, 180.0))
+    return grid.with_cell(in_box(df, box, lat, lng), lat, lng, res, valid=True)

@@ -142,4 +142,4 @@ def permanova(square: np.ndarray, labels: np.ndarray, spark, permutations: int =
 
     hits = spark.range(permutations).mapInPandas(run, "hit bigint").agg(F.sum("hit")).first()[0] or 0
     p = (1 + hits) / (1 + permutations) if permutations else float("nan")
-    return spark.createDataFrame([("PERMANOVA", "pseudo-F", own, p, permutations)], "method_name string, test_statistic_name string, test_statistic double, p_value double, permutations bigint")
+    return spark.createDataFrame([("PERMANOVA", "pseudo-F", float(own), float(p), permutations)], "method_name string, test_statistic_name string, test_statistic double, p_value double, permutations bigint")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terramosaic.operators.occurrences import in_box, with_geocode
+from terramosaic.operators.occurrences import in_cells
 from terramosaic.types import Bbox
 
 
@@ -18,7 +18,7 @@ def taxonomy(occurrences: DataFrame, cell_table: DataFrame, res: int, box: Bbox)
 
     The number is a window over distinct taxa, a small set next to the rows.
     """
-    seen = with_geocode(in_box(occurrences, box), res).join(cell_table.select("geocode"), "geocode", "left_semi")
+    seen = in_cells(occurrences, box, res).join(cell_table.select("geocode"), "geocode", "left_semi")
     pairs = seen.select("scientificName", F.col("taxonKey").alias("gbifTaxonId")).distinct()
     number = (F.row_number().over(Window.orderBy("scientificName", "gbifTaxonId")) - 1).cast("bigint")
     return pairs.select(number.alias("taxonId"), "scientificName", "gbifTaxonId")
@@ -30,7 +30,7 @@ def taxa_counts(occurrences: DataFrame, cell_table: DataFrame, taxa: DataFrame,
     Rows are added up by cell, name and key before the taxonomy is joined, so
     the join sees the reduced table.
     """
-    seen = with_geocode(in_box(occurrences, box), res).join(cell_table.select("geocode"), "geocode", "left_semi")
+    seen = in_cells(occurrences, box, res).join(cell_table.select("geocode"), "geocode", "left_semi")
     sums = seen.groupBy("geocode", "scientificName", F.col("taxonKey").alias("gbifTaxonId")).agg(F.sum(F.coalesce("individualCount", F.lit(1))).cast("bigint").alias("count"))
     return sums.join(taxa, ["scientificName", "gbifTaxonId"]).select("geocode", "taxonId", "count")
 

@@ -173,7 +173,7 @@ def p12_p13_lookup(spark, sf):
 
 @query(sql("seen", "SELECT geocode, count(*) AS n FROM seen GROUP BY 1"))
 def j1_semi_known_cells(spark, sf):
-    seen = occurrences.with_geocode(occurrences.in_box(d.occurrences(spark, sf), BOX), RES).join(d.inner_cells(spark, sf).select("geocode"), "geocode", "left_semi")
+    seen = occurrences.in_cells(d.occurrences(spark, sf), BOX, RES).join(d.inner_cells(spark, sf).select("geocode"), "geocode", "left_semi")
     return seen.groupBy("geocode").agg(F.count("*").alias("n"))
 
 
@@ -460,7 +460,7 @@ def f17_square(spark, sf):
     return rounded(d.site_square(spark, sf).agg(F.count("*").alias("n"), F.sum("d").alias("total")), "total")
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), p -> (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))))), 5) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id < 20 AND b.vec_id < 20 AND a.vec_id < b.vec_id")
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id < 20 AND b.vec_id < 20 AND a.vec_id < b.vec_id")
 def f16_euclidean(spark, sf):
     """Distances between the twenty reference vectors."""
     e = d.read(spark, sf, "embeddings").where("vec_id < 20").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))

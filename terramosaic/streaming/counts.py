@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from terramosaic.operators.occurrences import in_box, with_geocode
+from terramosaic.operators.occurrences import in_cells
 from terramosaic.types import Bbox
 
 
@@ -18,7 +18,7 @@ def stream_counts(occurrences: DataFrame, cell_table: DataFrame, res: int, box:
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        seen = with_geocode(in_box(batch, box), res).join(cell_table.select("geocode"), "geocode", "left_semi")
+        seen = in_cells(batch, box, res).join(cell_table.select("geocode"), "geocode", "left_semi")
         sums = seen.groupBy("geocode", "scientificName", "taxonKey").agg(F.sum(F.coalesce("individualCount", F.lit(1))).cast("bigint").alias("count"))
         sums.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 

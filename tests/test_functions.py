@@ -75,7 +75,7 @@ def test_neighbours_are_mutual_and_adjacent(spark):
 
 def test_edge_flag(spark):
     res = 3
-    cells = spark.range(1).select(F.explode(F.sequence(F.lit(25), F.lit(45))).alias("y")).select(F.col("y").cast("double").alias("lat"), F.explode(F.sequence(F.lit(-95), F.lit(-65))).cast("double").alias("lng"))
+    cells = spark.createDataFrame([(float(a), float(b)) for a in range(25, 46) for b in range(-95, -64)], "lat double, lng double")
     box = Bbox.of(30.0, 40.0, -90.0, -70.0)
     rows = grid.with_geometry(grid.with_cell(cells, "lat", "lng", res).select("geocode").distinct(), res, box).select(F.col("is_edge").alias("e"), F.col("boundary").alias("b")).collect()
     for r in rows:
