@@ -28,8 +28,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Memo entries before a memo is emptied.
-MEMO = 600_000
+#: Memo entries before a memo is emptied: words, pattern matches, token pairs. Together near 150 MB.
+MEMO_WORDS, MEMO_PIECES, MEMO_PAIRS = 300_000, 150_000, 250_000
 #: Longer pieces are not kept in the memo.
 MEMO_LEN = 64
 
@@ -88,7 +88,7 @@ class ByteBPE:
         key = (left, right)
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) >= MEMO:
+            if len(self.compatible) >= MEMO_PAIRS:
                 self.compatible.clear()
             known = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
             self.compatible[key] = known
@@ -129,7 +129,7 @@ class ByteBPE:
         if ids is None:
             ids = np.array(self.encode_piece(text.encode()), "<u4").tobytes()
             if len(text) <= MEMO_LEN:
-                if len(self.pieces) >= MEMO:
+                if len(self.pieces) >= MEMO_PIECES:
                     self.pieces.clear()
                 self.pieces[text] = ids
         return ids
@@ -145,7 +145,7 @@ class ByteBPE:
         words = self.words
         found = list(map(words.get, rest))
         if None in found:
-            if len(words) >= MEMO:
+            if len(words) >= MEMO_WORDS:
                 words.clear()
             for i, ids in enumerate(found):
                 if ids is None:

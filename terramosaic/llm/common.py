@@ -10,10 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from terramosaic.shipping import ship as ship
+from terramosaic import shipping
 
 #: Text bytes that one numpy pass works on; bounds the scratch arrays of a worker.
 CHUNK_BYTES = 4 << 20
+#: Rows and bytes of a batch between Spark and a Python worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,3 +82,14 @@ def doc_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield at, min(end, n)
         at = min(end, n)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors the sources, and bound what a Python worker holds at once.
+
+    Rows travel in batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes,
+    whatever the length of the texts.
+    """
+    shipping.ship(spark)
+    for key, limit in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(key, str(limit))
