@@ -24,10 +24,12 @@ def stage_path(key: str, base: str | None = None) -> str:
 def materialize(df: DataFrame, key: str, base: str | None = None) -> DataFrame:
     """Write a stage (always anew) and return a scan of it; cuts lineage and fixes non-deterministic parts.
 
-    ``base`` is a folder that driver and executors share. A plan must not read
-    the stage that it overwrites.
+    ``base`` is a folder that driver and executors share; without one it is
+    DATA_DIR, or the session's spark.checkpoint.dir. A plan must not read the
+    stage that it overwrites.
     """
-    path = stage_path(key, base)
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    path = stage_path(key, base or os.environ.get("DATA_DIR") or shared)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
