@@ -206,7 +206,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     counts = written(found.groupBy(id_col).agg(F.min("component_id").alias("_component"), F.count("*").alias("_n")), "components")
     keep = counts.where(F.col(id_col).isNotNull() & (F.col(id_col) == F.col("_component"))).select(id_col)
     repeated = counts.where(F.col(id_col).isNotNull() & (F.col("_n") > 1)).limit(1).count() > 0
-    out = docs.join(keep, id_col, "left_semi")
+    # Always a shuffled hash join: the ids kept grow with the input, so they are never broadcast.
+    out = docs.join(keep.hint("shuffle_hash"), id_col, "left_semi")
     if repeated:
         out = out.dropDuplicates([id_col])
     return out.unionByName(docs.where(F.col(id_col).isNull()))
