@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terramosaic.llm import byte_bpe, decontamination, language_id, pii, simhash
+from terramosaic.llm import byte_bpe, decontamination, language_id, near_copies, pii
 from terramosaic.llm.common import ship, shared_path, table
 
 
@@ -28,9 +28,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, the one with the smallest id."""
+    """One document of each component of near copies (five-word Jaccard of 0.8 or more) stays, the one with the smallest id."""
     ship(spark)
-    return simhash.keep_one(docs).select(*docs.columns)
+    return near_copies.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
