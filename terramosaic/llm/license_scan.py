@@ -1,8 +1,9 @@
 """License scans as an exact set-similarity join of text blocks with templates.
 
 A template is the word set of a license notice; a text block is one line of a
-document. A block matches if it holds at least ``threshold`` of a template's
-words. The join is exact: tokens are put in one global order, rarest first by
+document, or a window of words over several lines: as many as the template has,
+over ``threshold``, so that wrapped notices match as well. A block matches if it
+holds at least ``threshold`` of a template's words. The join is exact: tokens are put in one global order, rarest first by
 document frequency over all documents, and a block is a candidate for a
 template only if
 
@@ -81,6 +82,8 @@ class TemplateIndex:
         for k, (tokens, need) in enumerate(zip(self.tokens, self.need, strict=True)):
             for position, token in enumerate(tokens[: len(tokens) - need + 1]):
                 self.prefix.setdefault(token, []).append((k, position))
+        #: Words that a window over several lines may have.
+        self.span = [ceil(len(t.split()) / threshold - 1e-9) for t, _ in templates]
         self.rare = frozenset(w for w, r in self.rank.items() if r in self.prefix)
 
     def matches(self, block: list[bytes]) -> dict[int, float]:
@@ -103,14 +106,48 @@ class TemplateIndex:
                     out[k] = overlap / len(tokens)
         return out
 
+    def wrapped(self, lines: list[list[bytes]]) -> list[tuple[int, int, float]]:
+        """(line, template, containment) of the best window of each run of matching windows over two lines or more.
+
+        A window can only match a template that the whole text matches, so the
+        filters are applied to the text first.
+        """
+        spots = [(number, word) for number, line in enumerate(lines) for word in line]
+        out = []
+        for k in sorted(self.matches([w for _, w in spots])):
+            tokens, need, span = frozenset(self.tokens[k]), self.need[k], self.span[k]
+            hits = [(at, number, r) for at, (number, w) in enumerate(spots) if (r := self.rank.get(w)) in tokens]
+            held: dict[int, int] = {}
+            first, best, reach = 0, None, -1
+            for at, number, token in hits:
+                held[token] = held.get(token, 0) + 1
+                while hits[first][0] <= at - span:
+                    gone = hits[first][2]
+                    held[gone] -= 1
+                    if not held[gone]:
+                        del held[gone]
+                    first += 1
+                start, line, _ = hits[first]
+                if len(held) < need or line == number:
+                    continue
+                if best and start > reach:
+                    out.append(best)
+                    best = None
+                reach = at
+                if not best or len(held) / len(tokens) > best[2]:
+                    best = (line, k, len(held) / len(tokens))
+            if best:
+                out.append(best)
+        return out
+
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each input row, over its whole text.
 
     Columns: id, n_words, n_base, first_word, last_word (null without a base
     place), base_labels, labels, score (1 with a base place, otherwise the best
-    containment that reached the threshold, otherwise 0), blocks (line number,
-    label, containment). Null or empty text has no words and no labels; repeated
+    containment that reached the threshold, otherwise 0), blocks (number of the first
+    line, label, containment). Null or empty text has no words and no labels; repeated
     rows and null ids are kept as they are; other columns are not read. If a
     block and a template share no prefix token the block cannot match, so
     nothing is lost by skipping it.
@@ -140,8 +177,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 base = places(b" " + b" ".join(own) + b" ")
                 blocks = []
                 if not index.rare.isdisjoint(own):
-                    for number, line in enumerate(text.split(b"\n")):
-                        blocks += [(number, index.labels[k], share) for k, share in sorted(index.matches(words(line)).items())]
+                    lines = [words(line) for line in text.split(b"\n")]
+                    found = [(number, k, share) for number, line in enumerate(lines) for k, share in sorted(index.matches(line).items())]
+                    if len(lines) > 1:
+                        found = sorted({*found, *index.wrapped(lines)})
+                    blocks = [(number, index.labels[k], share) for number, k, share in found]
                 base_labels = {label for _, label in base}
                 labels = base_labels | {label for _, label, _ in blocks}
                 starts = [at for at, _ in base]
