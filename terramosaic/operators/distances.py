@@ -148,3 +148,16 @@ def nearest_clusters(distances: DataFrame, cluster: int, n: int) -> DataFrame:
     if not found.head(1):
         raise KeyError(cluster)
     return found.orderBy("distance", "cluster").limit(n)
+
+
+def euclidean_to_mean(vectors: DataFrame, row: str, vector: str) -> DataFrame:
+    """(row, squared, dist): each vector's squared and plain Euclidean distance to the mean vector of all.
+
+    Work grows in proportion to the rows: sums by position are combined in the
+    tasks, and the mean is one row. Null vectors have null distances.
+    """
+    own = vectors.select(row, F.col(vector).cast("array<double>").alias("_v"))
+    by_position = own.select(F.posexplode("_v").alias("_at", "_x")).groupBy("_at").agg(F.avg("_x").alias("_x"))
+    mean = by_position.agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda s: s["_x"]).alias("_mean"))
+    squared = F.aggregate(F.zip_with("_v", "_mean", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+    return own.crossJoin(F.broadcast(mean)).select(row, squared.alias("squared"), F.sqrt(squared).alias("dist"))

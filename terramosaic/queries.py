@@ -469,6 +469,12 @@ def f16_euclidean(spark, sf):
     return rounded(pairs.select("a", "b", F.sqrt(total).alias("dist")), "dist", digits=5)
 
 
+@query("WITH mean AS (SELECT list(x ORDER BY p) AS v FROM (SELECT p, avg(x) AS x FROM (SELECT unnest(range(1, len(embedding) + 1)) AS p, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY p)) SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), v) ** 2, 5) AS squared, round(list_distance(CAST(embedding AS DOUBLE[]), v), 5) AS dist FROM embeddings CROSS JOIN mean")
+def f16_distance_to_mean(spark, sf):
+    """Distances of all vectors to their mean vector."""
+    return rounded(distances.euclidean_to_mean(d.read(spark, sf, "embeddings"), "vec_id", "embedding"), "squared", "dist", digits=5)
+
+
 # ---- clustering ----------------------------------------------------------------
 
 
