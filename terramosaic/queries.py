@@ -559,7 +559,7 @@ def x3_pseudo_f(spark, sf):
 @query()
 def x3_permanova(spark, sf):
     rows = d.site_index(spark, sf).join(d.site_clusters(spark, sf), "geocode").orderBy("i").collect()
-    return statistics.permanova(distances.matrix(d.site_pairs(spark, sf), len(rows)), np.array([r["cluster"] for r in rows]), spark, 199)
+    return statistics.permanova(distances.matrix(d.site_pairs(spark, sf), len(rows)), np.array([r["cluster"] for r in rows]), spark)
 
 
 @query()
