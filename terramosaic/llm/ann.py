@@ -10,15 +10,22 @@ across, since it is the parallel part that changes large inner products. Codes
 are chosen by coordinate descent over subspaces, codebooks by one weighted
 least-squares solve for all codewords together.
 
-A search scans the codes of all vectors with per-query tables of 16 partial
-products a subspace (two subspaces share a byte, so a lookup covers two), keeps
-the best ``depth`` of a block, and reranks these exactly, in double precision,
-on the original vectors.
-
-Queries are packed into blocks and vectors into blocks; each pair of blocks is
-one row, so every query meets every vector without a pair of rows ever being
-made. The model is fitted on a bounded sample (``SAMPLE_ROWS``) and has a fixed
-size; every vector is indexed.
+Vectors are dealt to coarse cells, those of a k-means of the sample. A query
+looks into the cells whose centroid has the largest inner products with it. How
+many it needs depends on the data: it is measured on a part of the sample that
+the cells were not fitted on, so that COVERAGE of the true neighbours lie in
+them. Clustered vectors need few cells, vectors without structure most of them.
+
+Cells are packed into blocks of near VECTOR_BLOCK vectors (a crowded cell is
+spread over several), queries by their own nearest cell into blocks as well. A
+block of queries travels to the blocks of vectors that hold its cells; vectors
+move once. There the codes of the cells looked into are scanned with per-query
+tables of 16 partial products a subspace (two subspaces share a byte, so a
+lookup covers two), the best ``depth`` of the block are kept, and these are
+reranked exactly, in double precision, on the original vectors.
+
+The model is fitted on a bounded sample and has a fixed size; every vector is
+indexed. With ``exact`` every query meets every vector by its inner product.
 """
 
 from __future__ import annotations
@@ -32,13 +39,20 @@ from pyspark.sql import functions as F
 
 from terramosaic.llm.common import written
 
-SAMPLE_ROWS = 6000
+#: Sample rows for the codebooks, and for the cells (fewer of them for long vectors, CELL_BYTES in all).
+SAMPLE_ROWS, CELL_ROWS, CELL_BYTES = 6000, 32_768, 32 << 20
+#: The most cells, and the share of neighbours that must lie in the cells that a query looks into.
+MAX_CELLS, COVERAGE = 2048, 0.98
 #: Dimensions of a subspace, and the inner product (relative to the norm) above which scores matter.
 SUBSPACE = 2
 SCORE_FLOOR = 0.3
-VECTOR_BLOCK, QUERY_BLOCK = 8192, 512
+VECTOR_BLOCK, QUERY_BLOCK = 4096, 4096
 #: Candidates of one block that are reranked exactly.
 DEPTH = 160
+#: Query blocks that one copy of a vector block serves; a block in more demand is copied.
+SERVED = 64
+#: The most tasks of a search.
+MAX_TASKS = 20_000
 
 
 class Quantiser:
@@ -112,27 +126,89 @@ class Quantiser:
         return (part[::2, :, :, None] + part[1::2, :, None, :]).reshape(self.sub // 2, len(queries), 256).astype(np.float32)
 
 
-def search_block(model: Quantiser, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, k: int, depth: int = DEPTH) -> list[tuple[np.ndarray, ...]]:
+class Cells:
+    """Centroids of a k-means, and how many of the nearest a query looks into."""
+
+    def __init__(self, sample: np.ndarray, n: int, k: int, rounds: int = 8, seed: int = 13):
+        rng = np.random.default_rng(seed)
+        sample = np.unique(sample, axis=0)
+        sample = sample[rng.permutation(len(sample))].astype(np.float32)
+        test, own = sample[: min(4000, len(sample) // 4)], sample[min(4000, len(sample) // 4) :]
+        count = max(1, min(MAX_CELLS, int(np.sqrt(n)), len(own) // 16))
+        self.centroids = own[:count].copy()
+        for _ in range(rounds):
+            home = self.home(own)
+            sums = np.zeros((count, sample.shape[1]))
+            np.add.at(sums, home, own)
+            held = np.bincount(home, minlength=count)
+            self.centroids[held > 0] = (sums[held > 0] / held[held > 0, None]).astype(np.float32)
+        # Neighbours lie along the first principal direction of the centroids, so near cells share a block.
+        middle = self.centroids - self.centroids.mean(axis=0)
+        axis = np.linalg.svd(middle.astype(np.float64), full_matrices=False)[2][0] if count > 1 else np.zeros(sample.shape[1])
+        self.centroids = self.centroids[np.argsort(middle @ axis, kind="stable")]
+        self.probes = count
+        if count > 1 and len(test) > k:
+            queries = test[:300]
+            score = queries @ test.T
+            score[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
+            near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            rank = np.argsort(np.argsort(-(queries @ self.centroids.T), axis=1), axis=1)
+            place = np.sort(np.take_along_axis(rank, self.home(test)[near], axis=1).ravel())
+            self.probes = int(place[min(len(place) - 1, int(np.ceil(COVERAGE * len(place))))]) + 1
+
+    def home(self, vectors: np.ndarray) -> np.ndarray:
+        """The nearest centroid of each vector."""
+        half = (self.centroids**2).sum(axis=1) / 2
+        return np.concatenate([np.zeros(0, np.int64), *((vectors[a : a + 4096].astype(np.float32) @ self.centroids.T - half).argmax(axis=1) for a in range(0, len(vectors), 4096))])
+
+    def looked_into(self, queries: np.ndarray) -> np.ndarray:
+        """A row a query, true for the cells that it looks into."""
+        out = np.ones((len(queries), len(self.centroids)), bool)
+        if self.probes < len(self.centroids):
+            score = queries.astype(np.float32) @ self.centroids.T
+            least = np.partition(score, len(self.centroids) - self.probes, axis=1)[:, len(self.centroids) - self.probes]
+            out = score >= least[:, None]
+        return out
+
+
+def search_block(model: Quantiser, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, k: int, depth: int = DEPTH, cell: np.ndarray | None = None, wanted: np.ndarray | None = None, exact: bool = False) -> list[tuple[np.ndarray, ...]]:
     """The k best of one block for each query: (query_id, ids, scores). ``ids`` ascend.
 
-    Equal vectors are scanned once; of a group only the k + 1 smallest ids can be
-    among the k best.
+    ``wanted`` (queries x cells) says which cells a query looks into, ``cell``
+    which one each vector is of. Equal vectors are scanned once; of a group only
+    the k + 1 smallest ids can be among the k best.
     """
     _, first, group = np.unique(np.ascontiguousarray(vectors).view(f"V{vectors.dtype.itemsize * vectors.shape[1]}").ravel(), return_index=True, return_inverse=True)
-    group = group.ravel()
+    cell = np.zeros(len(ids), np.int64) if cell is None else cell
+    by_cell = np.argsort(cell[first], kind="stable")
+    rank = np.empty(len(first), np.int64)
+    rank[by_cell] = np.arange(len(first))
+    first, group = first[by_cell], rank[group.ravel()]
     order = np.argsort(group, kind="stable")
     begin = np.searchsorted(group[order], np.arange(len(first) + 1))
-    lone, unique = codes[first], vectors[first].astype(np.float64)
-    out = []
-    for a in range(0, len(queries), 64):
-        exact = queries[a : a + 64].astype(np.float64)
-        tables = model.tables(exact)
-        scores = np.zeros((len(exact), len(first)), np.float32)
-        for b in range(tables.shape[0]):
-            scores += tables[b][:, lone[:, b]]
-        for row in range(len(exact)):
+    lone, unique, cell = codes[first] if codes is not None else None, vectors[first].astype(np.float64), cell[first]
+    cuts = np.flatnonzero(np.diff(cell, prepend=-1))
+    depth, out = max(depth, 2 * k), []
+    for a in range(0, len(queries), 256):
+        own = queries[a : a + 256].astype(np.float64)
+        scores = np.full((len(own), len(first)), -np.inf, np.float32)
+        if exact:
+            scores = own @ unique.T
+        else:
+            tables = model.tables(own)
+            for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(first)], strict=True):
+                who = np.arange(len(own)) if wanted is None else np.flatnonzero(wanted[a : a + 256, cell[low]])
+                if len(who):
+                    part = np.zeros((len(who), high - low), np.float32)
+                    for b in range(tables.shape[0]):
+                        part += tables[b][np.ix_(who, lone[low:high, b])]
+                    scores[who, low:high] = part
+        for row in range(len(own)):
             near = np.argpartition(-scores[row], depth)[:depth] if len(first) > depth else np.arange(len(first))
-            value = unique[near] @ exact[row]
+            near = near[scores[row][near] > -np.inf]
+            if not len(near):
+                continue
+            value = scores[row][near] if exact else unique[near] @ own[row]
             if len(near) > 2 * k:  # keep what can still matter, ties included
                 least = np.partition(value, len(value) - k - 1)[len(value) - k - 1]
                 near, value = near[value >= least], value[value >= least]
@@ -146,6 +222,23 @@ def search_block(model: Quantiser, query_ids: np.ndarray, queries: np.ndarray, i
     return out
 
 
+def blocks_of(counts: dict[int, int], size: int) -> dict[int, tuple[int, int]]:
+    """Cell -> (first block, blocks): neighbouring cells share a block of near ``size`` rows, a larger cell has several of its own."""
+    out, block, held = {}, 0, 0
+    for cell in sorted(counts):
+        n = counts[cell]
+        if held and held + n > size:
+            block, held = block + 1, 0
+        if n > size:
+            many = -(-n // size)
+            out[cell] = (block, many)
+            block += many
+        else:
+            out[cell] = (block, 1)
+            held += n
+    return out
+
+
 def usable(vector: Column) -> Column:
     """Not null or empty, all components finite, not all zero."""
     wide = vector.cast("array<double>")
@@ -153,66 +246,109 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(wide, lambda v: v != 0)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", depth: int = DEPTH) -> DataFrame:
+def matrix_of(column: pa.ChunkedArray | pa.Array, dim: int, dtype: type) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), dtype).reshape(-1, dim)
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", depth: int = DEPTH, exact: bool = False) -> DataFrame:
     """query_id, rank (from 1), id, score: each query's k nearest found by inner product.
 
     Vectors that are null, empty, zero or hold a null or non-finite component
     take no part, nor do vectors of another length than the most common one
-    (ties: the shorter). Rows with the query's own id are no candidates; other
-    repeated rows are candidates of their own. Equal scores go to the smaller
-    id. Fewer candidates than k give all of them; an empty table gives no row.
+    (ties: the shorter), since they have no inner product with the rest. A query
+    id on several rows is one query, by the smallest of its vectors. Rows with
+    the query's own id are no candidates; other repeated rows are candidates of
+    their own. Equal scores go to the smaller id. Fewer candidates than k give
+    all of them; an empty table gives no row. ``exact`` scans every vector by
+    its inner product, without cells and codes.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[vector_col].dataType.elementType.simpleString()
     dtype = np.float32 if kind == "float" else np.float64
     cast = "array<float>" if kind == "float" else "array<double>"
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast(cast).alias("_v"), F.coalesce(is_query, F.lit(False)).alias("_q")).where(usable(F.col("_v")) & F.col("_id").isNotNull())
-    sizes = rows.groupBy(F.size("_v").alias("dim")).agg(F.count("*").alias("n"), F.sum(F.col("_q").cast("long")).alias("q")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    sizes = rows.groupBy(F.size("_v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], f"query_id bigint, rank int, `{id_col}` bigint, score double")
-    dim, n, n_queries = sizes[0]["dim"], sizes[0]["n"], sizes[0]["q"]
+    dim, n = sizes[0]["dim"], sizes[0]["n"]
     rows = rows.where(F.size("_v") == dim)
-    sampled = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(np.ceil(1_000_000 * min(1.0, SAMPLE_ROWS / n)))) if n > SAMPLE_ROWS else rows
-    sample = sampled.select("_id", "_v").toArrow()
-    matrix = np.array(sample.column("_v").combine_chunks().flatten(), dtype=np.float64).reshape(-1, dim)
-    model = Quantiser(matrix[np.lexsort((*matrix.T[:4], sample.column("_id").to_numpy()))])
-    shared = spark.sparkContext.broadcast(model)  # fixed size: 16 codewords a subspace
-
-    def matrix_of(column: pa.ChunkedArray) -> np.ndarray:
-        return np.asarray(column.combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype).reshape(-1, dim)
-
-    def pack(with_codes: bool):
-        def run(group: pa.Table) -> pa.Table:
-            ids, own = group.column("_id").to_numpy(), matrix_of(group.column("_v"))
-            order = np.argsort(ids, kind="stable")
-            ids, own = ids[order], own[order]
-            out = {"block": [group.column("_block")[0].as_py()], "ids": [ids.tobytes()], "vectors": [own.tobytes()]}
-            if with_codes:
-                out["codes"] = [shared.value.encode(own).tobytes()]
-            return pa.table({c: pa.array(v, pa.int32() if c == "block" else pa.binary()) for c, v in out.items()})
-
-        return run
-
-    n_blocks, n_query_blocks = max(1, -(-n // VECTOR_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
-
-    def block(count: int) -> Column:
-        return F.pmod(F.xxhash64("_id"), F.lit(count)).cast("int").alias("_block")
-
-    candidates = rows.select("_id", "_v", block(n_blocks)).groupBy("_block").applyInArrow(pack(True), "block int, ids binary, vectors binary, codes binary")
-    queries = rows.where("_q").select("_id", "_v", block(n_query_blocks)).groupBy("_block").applyInArrow(pack(False), "block int, ids binary, vectors binary")
-    queries = queries.select(F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    pairs = written(candidates, "ann-vectors").join(queries, "block").select("query_ids", "query_vectors", "ids", "vectors", "codes", "block", "query_block")
-    pairs = pairs.repartition(max(1, n_blocks * n_query_blocks), "block", "query_block")
+    n_sample = max(SAMPLE_ROWS, min(CELL_ROWS, CELL_BYTES // (4 * dim)))
+    share = int(np.ceil(1_000_000 * min(1.0, n_sample / n)))
+    sample = rows.where(F.pmod(F.xxhash64("_id", "_v"), F.lit(1_000_000)) < share).select("_id", "_v").dropDuplicates(["_id"]).limit(2 * n_sample).toArrow()
+    matrix = matrix_of(sample.column("_v"), dim, np.float64)
+    matrix = matrix[np.lexsort((*matrix.T[:4], sample.column("_id").to_numpy()))]
+    cells = Cells(matrix, n, k)
+    if exact:
+        cells.probes = len(cells.centroids)
+    model = Quantiser(matrix[:: max(1, -(-len(matrix) // SAMPLE_ROWS))])
+    shared = spark.sparkContext.broadcast((model, cells))  # 16 codewords a subspace, MAX_CELLS centroids
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_model, own_cells = shared.value
+        for batch in batches:
+            own = matrix_of(batch.column(1), dim, dtype)
+            codes = own_model.encode(own) if len(own) else np.zeros((0, 1), np.uint8)
+            home = own_cells.home(own).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in own], pa.binary()), batch.column(2), pa.array(home), pa.array([c.tobytes() for c in codes], pa.binary())], ["_id", "_v", "_q", "_cell", "_code"])
+
+    indexed = written(rows.mapInArrow(index, "_id bigint, _v binary, _q boolean, _cell int, _code binary"), "ann-index")
+    asked = indexed.where("_q").groupBy("_id").agg(F.min_by("_cell", "_v").alias("_cell"), F.min("_v").alias("_v"))
+
+    def counted(df: DataFrame) -> dict[int, int]:
+        return {r["_cell"]: r["n"] for r in df.groupBy("_cell").agg(F.count("*").alias("n")).collect()}  # at most MAX_CELLS rows
+
+    homes = blocks_of(counted(indexed), VECTOR_BLOCK)
+    query_homes = blocks_of(counted(asked), QUERY_BLOCK)
+    n_blocks = 1 + max((a + b - 1 for a, b in homes.values()), default=0)
+    n_query_blocks = 1 + max((a + b - 1 for a, b in query_homes.values()), default=0)
+    copies = -(-n_query_blocks // SERVED)
+
+    def block(places: dict[int, tuple[int, int]]) -> Column:
+        table = F.create_map(*(F.lit(x) for cell, (first, many) in (places or {-1: (0, 1)}).items() for x in (cell, (first << 24) + many)))
+        place = F.element_at(table, F.col("_cell"))
+        return (F.shiftright(place, 24) + F.pmod(F.xxhash64("_id"), F.pmod(place, F.lit(1 << 24)))).cast("int").alias("_block")
+
+    def pack_vectors(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_id")
+        out = {"block": group.column("_block")[0].as_py(), "ids": group.column("_id").to_numpy().tobytes()}
+        out |= {"vectors": b"".join(group.column("_v").to_pylist()), "codes": b"".join(group.column("_code").to_pylist()), "cells": group.column("_cell").to_numpy().tobytes()}
+        return pa.table({c: pa.array([v], pa.int32() if c == "block" else pa.binary()) for c, v in out.items()})
+
+    def pack_queries(group: pa.Table) -> pa.Table:
+        """A block of queries, and the vector blocks that it must see."""
+        group = group.sort_by("_id")
+        raw = b"".join(group.column("_v").to_pylist())
+        seen = np.flatnonzero(shared.value[1].looked_into(np.frombuffer(raw, dtype).reshape(-1, dim)).any(axis=0)).tolist()
+        need = sorted({x for c in seen if c in homes for x in range(homes[c][0], homes[c][0] + homes[c][1])})
+        number = group.column("_block")[0].as_py()
+        return pa.table({"number": pa.array([number], pa.int32()), "ids": pa.array([group.column("_id").to_numpy().tobytes()], pa.binary()), "vectors": pa.array([raw], pa.binary()), "need": pa.array([need], pa.list_(pa.int32()))})
+
+    packed = indexed.select("_id", "_v", "_code", "_cell", block(homes)).groupBy("_block").applyInArrow(pack_vectors, "block int, ids binary, vectors binary, codes binary, cells binary")
+    packed = packed.select("block", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(0).alias("kind"), "ids", "vectors", "codes", "cells")
+    queries = asked.select("_id", "_v", block(query_homes)).groupBy("_block").applyInArrow(pack_queries, "number int, ids binary, vectors binary, need array<int>")
+    nothing = F.lit(None).cast("binary")
+    queries = queries.select(F.explode("need").alias("block"), (F.col("number") % copies).alias("copy"), F.lit(1).alias("kind"), "ids", "vectors", nothing.alias("codes"), nothing.alias("cells"))
+    n_tasks = max(1, min(MAX_TASKS, n_blocks * copies))
+    together = packed.unionByName(queries).repartitionById(n_tasks, F.pmod(F.col("block") * copies + F.col("copy"), F.lit(n_tasks)).cast("int")).sortWithinPartitions("block", "copy", "kind")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition holds a block of vectors and then the queries that look into it."""
+        own_model, own_cells = shared.value
+        held: tuple = ()
         for batch in batches:
             for row in range(batch.num_rows):
-                raw = [batch.column(c)[row].as_buffer() for c in range(5)]
-                ids = np.frombuffer(raw[2], np.int64)
-                found = search_block(shared.value, np.frombuffer(raw[0], np.int64), np.frombuffer(raw[1], dtype).reshape(-1, dim), ids, np.frombuffer(raw[3], dtype).reshape(-1, dim), np.frombuffer(raw[4], np.uint8).reshape(len(ids), -1), k, depth)
+                ids = np.frombuffer(batch.column(3)[row].as_buffer(), np.int64)
+                own = np.frombuffer(batch.column(4)[row].as_buffer(), dtype).reshape(-1, dim)
+                if batch.column(2)[row].as_py() == 0:
+                    codes = np.frombuffer(batch.column(5)[row].as_buffer(), np.uint8).reshape(len(ids), -1)
+                    held = (ids, own, codes, np.frombuffer(batch.column(6)[row].as_buffer(), np.int32).astype(np.int64))
+                    continue
+                found = search_block(own_model, ids, own, *held[:3], k, depth, held[3], own_cells.looked_into(own), exact)
                 counts = [len(i) for _, i, _ in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in found], counts).astype(np.int64)), pa.array(np.concatenate([i for _, i, _ in found]).astype(np.int64)), pa.array(np.concatenate([s for _, _, s in found]).astype(np.float64))], ["query_id", id_col, "score"])
+                if sum(counts):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in found], counts).astype(np.int64)), pa.array(np.concatenate([i for _, i, _ in found]).astype(np.int64)), pa.array(np.concatenate([s for _, _, s in found]).astype(np.float64))], ["query_id", id_col, "score"])
 
-    best = pairs.mapInArrow(scan, f"query_id bigint, `{id_col}` bigint, score double")
+    best = together.mapInArrow(scan, f"query_id bigint, `{id_col}` bigint, score double")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)).cast("int"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")

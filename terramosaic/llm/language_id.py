@@ -8,25 +8,27 @@ against every codeword, each weighted by how reliable that bit was in training,
 and takes the nearest codeword; a text whose two nearest codewords are about
 equally near is flagged as ambiguous.
 
-The model is fitted on the driver from a bounded sample of labelled rows, at
-most ``SAMPLE_ROWS`` a language and ``SAMPLE_BYTES`` of each text. Prediction
-covers whole texts and is a map without a shuffle.
+The model is fitted on a bounded sample of labelled rows: of each language the
+``SAMPLE_ROWS`` distinct texts with the smallest hash (fewer where there are
+very many languages, at most ``SAMPLE_TOTAL`` in all). Whole texts are read; the
+executors turn each into its trigram counts, and only these reach the driver.
+Prediction covers whole texts and is a map without a shuffle.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terramosaic.llm.common import doc_chunks, utf8
 
-#: Bounds of the training sample.
-SAMPLE_ROWS = 500
-SAMPLE_BYTES = 8000
+#: Bounds of the training sample: distinct texts of a language, and of all languages.
+SAMPLE_ROWS, SAMPLE_TOTAL = 500, 20_000
 #: Hash buckets of the trigrams.
 BUCKETS = 4096
 #: A score below this is ambiguous.
@@ -80,10 +82,32 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def trigram_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Trigrams of each text by bucket, as a row of BUCKETS counts; a long text is counted in pieces."""
+    out = np.zeros((len(offsets) - 1, BUCKETS), np.int64)
+    for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        for at in range(a, b, SCORE_BYTES):
+            part = raw[at : min(b, at + SCORE_BYTES + 2)]
+            grams = trigram_buckets(part, np.array([0, len(part)]))
+            out[k] += np.bincount(grams[: max(0, len(part) - 2)], minlength=BUCKETS + 1)[:BUCKETS]
+    return out
+
+
 class Model:
     """Codewords, trigram log odds a bit, calibration and bit weights."""
 
     def __init__(self, texts: list[bytes], labels: list[str]):
+        """Fit on texts at hand."""
+        self.fit(trigram_counts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])), labels)
+
+    @classmethod
+    def of_counts(cls, counts: np.ndarray, labels: list[str]) -> Model:
+        model = cls.__new__(cls)
+        model.fit(counts, labels)
+        return model
+
+    def fit(self, counts: np.ndarray, labels: list[str]) -> None:
+        """``counts`` has a row of trigram counts for each labelled text."""
         self.languages = sorted(set(labels))
         self.code = codewords(len(self.languages))
         bits = self.code.shape[1] if len(self.languages) else 1
@@ -91,15 +115,12 @@ class Model:
         self.scale, self.reliability = np.ones(bits), np.ones(bits)
         if len(self.languages) < 2:
             return
-        offsets = np.cumsum([0, *map(len, texts)])
-        grams = trigram_buckets(np.frombuffer(b"".join(texts), np.uint8), offsets)
         label = np.array([self.languages.index(x) for x in labels])
-        counts = np.zeros((len(self.languages), BUCKETS + 1))
-        np.add.at(counts, (np.repeat(label, np.diff(offsets)), grams), 1)
-        share = (counts[:, :BUCKETS] + 0.5) / (counts[:, :BUCKETS].sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
+        total = np.stack([counts[label == k].sum(axis=0) for k in range(len(self.languages))]).astype(np.float64)
+        share = (total + 0.5) / (total.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
         for b in range(bits):
             self.weights[:BUCKETS, b] = np.log(share[self.code[:, b] > 0].mean(axis=0)) - np.log(share[self.code[:, b] < 0].mean(axis=0))
-        margin = self.margins(np.frombuffer(b"".join(texts), np.uint8), offsets)
+        margin = (counts @ self.weights[:BUCKETS].astype(np.float64)) / np.sqrt(np.maximum(counts.sum(axis=1, keepdims=True), 1))
         sign = self.code[label]
         for _ in range(200):  # logistic calibration: one positive slope a bit
             slope = (-sign * margin / (1 + np.exp(np.clip(sign * margin * self.scale, -50, 50)))).mean(axis=0)
@@ -120,21 +141,66 @@ class Model:
         return losses.argmin(axis=1), 1 / near.sum(axis=1)
 
 
-def train(docs: DataFrame, usable: Column, text_col: str = "text", label_col: str = "lang", order: Column | None = None) -> Model:
-    """Fit on a bounded sample: of each language the SAMPLE_ROWS rows with the smallest hash, near enough.
+def smallest_hashes(rows: DataFrame, size: int) -> list[tuple[str, int]]:
+    """(label, hash) of the ``size`` smallest distinct hashes of each label.
+
+    A task passes on at most ``size`` hashes a label, whatever the number of
+    rows or copies, so neither a shuffle nor the driver sees more than that.
+    """
+
+    def bottom(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, np.ndarray] = {}
+        for batch in batches:
+            coded = batch.column(0).dictionary_encode()
+            codes, hashes = coded.indices.to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            for k, label in enumerate(coded.dictionary.to_pylist()):
+                own = np.unique(np.concatenate([kept.get(label, hashes[:0]), hashes[codes == k]]))
+                kept[label] = own[:size]
+        for label, own in kept.items():
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(own), pa.string()), pa.array(own)], ["label", "h"])
+
+    ranked = rows.select("label", "h").mapInArrow(bottom, "label string, h bigint").distinct()
+    ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("k") <= size)
+    return sorted((r["label"], r["h"]) for r in ranked.select("label", "h").collect())
+
 
-    One scan counts rows by language, a second takes a hash range that holds
-    about the rows wanted; both are deterministic.
+def train(docs: DataFrame, usable: Column, text_col: str = "text", label_col: str = "lang") -> Model:
+    """Fit on the distinct texts with the smallest hashes, at most SAMPLE_ROWS a language, of the ``usable`` rows.
+
+    Rows without text or label take no part; a text that is copied very often
+    counts once. Without a labelled row nothing is learned, and with one
+    language that language is always predicted.
     """
-    order = F.xxhash64(text_col) if order is None else order
+    spark = docs.sparkSession
     rows = docs.where(usable & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r["label"]: r["n"] for r in rows.groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("n")).collect()}
-    keep = F.lit(False)
-    for label, n in counts.items():
-        keep = keep | ((F.col(label_col) == label) & (F.pmod(order, F.lit(1_000_000)) < int(np.ceil(1_000_000 * min(1.0, SAMPLE_ROWS / n)))))
-    sample = rows.where(keep).select(F.substring(F.encode(text_col, "utf-8"), 1, SAMPLE_BYTES).alias("text"), F.col(label_col).alias("label")).toArrow()
-    pairs = sorted(zip(sample.column("label").to_pylist(), sample.column("text").to_pylist(), strict=True))
-    return Model([t for _, t in pairs], [label for label, _ in pairs])
+    rows = rows.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    picked = smallest_hashes(rows, SAMPLE_ROWS)
+    n_labels = len({label for label, _ in picked})
+    if n_labels * SAMPLE_ROWS > SAMPLE_TOTAL:
+        size, seen = max(1, SAMPLE_TOTAL // n_labels), Counter()
+        picked = [p for p in picked if (seen.update([p[0]]) or seen[p[0]]) <= size]
+    wanted = spark.sparkContext.broadcast(frozenset(picked))  # at most SAMPLE_TOTAL pairs
+    hashes = spark.createDataFrame([(h,) for h in sorted({h for _, h in picked})], "h bigint")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[str, int]] = set()
+        for batch in batches:
+            raw, offsets = utf8(batch.column(1))
+            for k, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if key not in wanted.value or key in done:
+                    continue
+                done.add(key)
+                own = trigram_counts(raw[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]))[0]
+                at = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int64()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([own[at].astype("<i8").tobytes()], pa.binary())], ["label", "h", "at", "n"])
+
+    near = rows.join(F.broadcast(hashes), "h", "left_semi").select("label", "text", "h")  # bounded by SAMPLE_TOTAL
+    counted = near.mapInArrow(count, "label string, h bigint, at binary, n binary").dropDuplicates(["label", "h"])
+    found = sorted((r["label"], r["h"], r["at"], r["n"]) for r in counted.collect())
+    counts = np.zeros((len(found), BUCKETS), np.int64 if len(found) <= 4000 else np.int32)
+    for k, (_, _, at, n) in enumerate(found):
+        counts[k, np.frombuffer(at, "<u2")] = np.frombuffer(n, "<i8")
+    return Model.of_counts(counts, [label for label, _, _, _ in found])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -142,8 +208,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
 
     Null text, or text without a letter, is ``und`` with score 0; so is every
     text where no language was learned. A text of under three bytes has no
-    trigram and gets the first language with an even score. Repeated rows get
-    the same answer; only the text decides.
+    trigram and gets the first language with an even score; so does, by name,
+    the first of several equally near codewords. Repeated rows get the same
+    answer; only the text decides.
     """
     keep = docs.columns if keep is None else keep
     spark = docs.sparkSession

@@ -155,7 +155,8 @@ class WordEncoder:
     text are those of its space-separated words in order. A word of Latin-1
     letters with at most one mark behind it is one or two pre-tokens that
     normalising only lower-cases; these go straight to the library's BPE model.
-    Any other word goes through the library's whole pipeline.
+    Any other word goes through the library's whole pipeline, which also reads
+    special tokens that stand in the text (no special token holds a space).
     """
 
     SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)").fullmatch
@@ -167,7 +168,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocab)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.memo: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}

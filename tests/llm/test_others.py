@@ -40,6 +40,59 @@ def test_nearest_of_odd_vectors(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).collect() == []
 
 
+def test_repeated_query_rows_are_one_query(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 6)))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    plain = [tuple(r) for r in ann.nearest(df, F.col("vec_id") == 20).orderBy("rank").collect()]
+    assert [r[1] for r in plain] == list(range(1, 21)) and len({r[2] for r in plain}) == 20
+    again = df.unionByName(df.where("vec_id = 20")).unionByName(df.where("vec_id = 20"))
+    assert [tuple(r) for r in ann.nearest(again, F.col("vec_id") == 20).orderBy("rank").collect()] == plain
+    few = ann.nearest(df, F.col("vec_id") == 20, k=50, depth=3).collect()
+    assert len(few) == 50
+
+
+def brute(ids, x, queries, k=20):
+    out = {}
+    for q in queries:
+        score = x @ x[q]
+        score[q] = -np.inf
+        best = np.argpartition(-score, k)[: k + 1]
+        out[int(ids[q])] = set(ids[best[np.lexsort((ids[best], -score[best]))[:k]]].tolist())
+    return out
+
+
+@pytest.mark.parametrize("clusters", [0, 300])
+def test_recall_over_many_blocks(spark, clusters):
+    """100,000 vectors with and without structure; with structure most cells are passed over."""
+    import pyarrow as pa
+
+    n, dim, rng = 100_000, 32, np.random.default_rng(7)
+    x = rng.normal(size=(n, dim))
+    if clusters:
+        x = rng.normal(size=(clusters, dim))[rng.integers(0, clusters, n)] * 2 + 0.4 * x
+    x = x.astype(np.float32).astype(float)
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).ravel()), dim).cast(pa.list_(pa.float32()))
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": flat})).repartition(8)
+    cells = ann.Cells(x[:8000], n, 20)
+    assert cells.probes < len(cells.centroids) // 4 if clusters else cells.probes > len(cells.centroids) // 4
+    want = brute(np.arange(n), x, range(0, n, 500))
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 500 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len(want[q] & got[q]) for q in want) / (20 * len(want)) >= 0.93
+    if clusters:
+        few = {}
+        for r in ann.nearest(df, F.col("vec_id") % 5000 == 0, exact=True).collect():
+            few.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert few == {q: want[q] for q in few} and len(few) == 20
+
+
+def test_a_crowded_cell_is_spread_over_blocks():
+    homes = ann.blocks_of({0: 10, 1: 20, 2: 9000, 5: 30, 6: 4090}, 4096)
+    assert homes == {0: (0, 1), 1: (0, 1), 2: (1, 3), 5: (4, 1), 6: (5, 1)}
+
+
 def test_many_equal_vectors_give_the_smallest_ids(spark):
     rows = [(i, [1.0, 1.0, 0.5, 0.25]) for i in range(1000)] + [(2000, [1.0, 0.9, 0.5, 0.25])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
@@ -67,6 +120,51 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.limit(0)).collect() == []
 
 
+TEMPLATES = {
+    "angle": chat.Template(open="<|im_start|>", after_role="\n", close="<|im_end|>\n", controls=("<|im_start|>", "<|im_end|>"), role_controls=("\n",)),
+    "marks": chat.Template(open="[TURN(", after_role=")*] ", close="$^.+?\\E\\Q{2}|\n", controls=("[TURN(", "$^.+?"), role_controls=(")*]",)),
+    "many": chat.Template(open="<a>", after_role="=", close="</a>", controls=("<a>", "</a>", *(f"<{k}>" for k in range(14)), "0", "1"), role_controls=("=", "9")),
+}
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_chat_round_trip_with_other_templates(spark, name):
+    template = TEMPLATES[name]
+    marks = [template.open, template.after_role, template.close, *template.controls, *template.role_controls, "\\", "\\Q", "\\E", "$1", "0", "a"]
+    rnd = __import__("random").Random(2)
+    texts = ["".join(rnd.choice(marks) for _ in range(rnd.randint(0, 6))) for _ in range(120)]
+    rows = [(i // 4, i % 4, rnd.choice(["user", "assistant", template.close + "x", texts[i]]), t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, CONV)
+    out = chat.format_conversations(df, template)
+    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["t"]] for r in out.select("conv_id", chat.parse_formatted(F.col("formatted"), template).alias("t")).collect()}
+    assert got == {c: [(r, t) for k, _, r, t in rows if k == c] for c in got} and len(got) == 30
+    loss = {r["conv_id"]: r["l"] for r in out.select("conv_id", chat.loss_text(F.col("segments"), template).alias("l")).collect()}
+    assert loss == {c: "".join(t for k, _, r, t in rows if k == c and r == "assistant") for c in loss}
+
+
+@pytest.mark.parametrize("change", [{"close": "\n"}, {"close": "x</turn>"}, {"controls": ("aa", "###"), "close": "aab"}, {"after_role": " "}, {"open": "> "}, {"controls": ("###", "</turn>", "\\n")}, {"controls": ("###", "</turn>", "")}])
+def test_templates_that_cannot_be_read_back_are_refused(change):
+    with pytest.raises(ValueError):
+        chat.Template(**change)
+
+
+def test_the_machine_names_the_failing_turn(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "assistant", "c"), (1, 3, "user", "d"), (1, 4, "assistant", "e"), (2, 0, "system", "s"), (2, 1, "user", "u"), (3, 0, "assistant", "x")]
+    df = spark.createDataFrame(rows, CONV)
+    out = {r["conv_id"]: (r["state"], r["error_turn"], r["valid"]) for r in chat.format_conversations(df).collect()}
+    assert out == {1: ("error", 2, False), 2: ("user", None, True), 3: ("error", 0, False)}
+    masked = chat.format_conversations(df, chat.Template(mask_errors=True))
+    assert {r["conv_id"]: r["l"] for r in masked.select("conv_id", chat.loss_text(F.col("segments")).alias("l")).collect()} == {1: "b", 2: "", 3: ""}
+
+
+def test_a_long_conversation(spark):
+    n = 20_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text </turn> "), F.col("id")).alias("text"))
+    r = chat.digests(chat.format_conversations(df)).first()
+    want = "".join(f"text </turn> {i}" for i in range(1, n, 2))
+    assert r["n_turns"] == n and r["valid"] and r["loss_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_chat_plan_is_native(spark, sf):
     from terramosaic.llm.queries import QUERIES
 

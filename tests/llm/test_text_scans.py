@@ -170,6 +170,43 @@ def test_language(spark, odd_documents, no_documents):
     assert language_id.identify_documents(no_documents).collect() == []
 
 
+def test_decoding_against_plain_loops():
+    """Every codeword's loss, bit by bit; the nearest wins, the first of equal ones."""
+    import math
+
+    words_of = {"en": "the cat and a dog with", "fr": "le chat et la souris avec", "es": "el gato y los perros con", "de": "die katze und der hund mit", "xx": "zq qz zzq"}
+    rnd = random.Random(3)
+    texts = {k: [" ".join(rnd.choices(v.split(), k=30)).encode() for _ in range(6)] for k, v in words_of.items()}
+    model = language_id.Model([t for v in texts.values() for t in v], [k for k, v in texts.items() for _ in v])
+    for text in [b"the chat und gato", b"zz", b"le dog", b"qqq www", texts["de"][0], b"ab"]:
+        grams = [((text[i] << 16 | text[i + 1] << 8 | text[i + 2]) * 2654435761 % 2**32) >> 20 for i in range(len(text) - 2)]
+        losses = []
+        for k in range(len(model.languages)):
+            loss = 0.0
+            for b in range(model.code.shape[1]):
+                margin = sum(float(model.weights[g, b]) for g in grams) / math.sqrt(max(1, len(grams)))
+                value = max(-40, min(40, margin * model.scale[b]))
+                loss += model.reliability[b] * math.log1p(math.exp(-value * model.code[k, b]))
+            losses.append(loss)
+        got, score = model.predict(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert losses[got[0]] == pytest.approx(min(losses), rel=1e-5)
+        assert score[0] == pytest.approx(1 / sum(math.exp(min(losses) - x) for x in losses), rel=1e-4)
+        assert 2 / model.code.shape[0] < 1 and (len(text) > 2 or got[0] == 0)
+
+
+def test_training_reads_whole_texts_and_each_copy_once(spark, monkeypatch):
+    noise = "zz " * 4000
+    rows = [(i, noise + "le chat et la souris " * 50, "fr") for i in range(3)] + [(9, noise + "the cat and the dog " * 50, "en")] * 400
+    docs = spark.createDataFrame(rows + [(50, None, "en"), (51, "x", None)], "doc_id bigint, text string, lang string").repartition(5)
+    model = language_id.train(docs, F.lit(True))
+    whole = language_id.Model([(noise + "the cat and the dog " * 50).encode(), (noise + "le chat et la souris " * 50).encode()], ["en", "fr"])
+    assert model.languages == ["en", "fr"] and (model.weights == whole.weights).all()
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 2)
+    many = docs.unionByName(spark.createDataFrame([(100 + i, f"chat {i}", "fr") for i in range(40)], docs.schema))
+    assert len(language_id.smallest_hashes(many.where("text is not null and lang is not null").select(F.col("lang").alias("label"), F.xxhash64("text").alias("h")), 2)) == 3
+    assert language_id.train(docs.limit(0), F.lit(True)).languages == []
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 6, 9, 20):
         code = language_id.codewords(n)
