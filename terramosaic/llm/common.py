@@ -25,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Taken from ``spark.checkpoint.dir``; only a session that names none (a
-    local test) gets a folder of its own.
+    Taken from ``spark.checkpoint.dir``. Only a local session may name none (a
+    test) and gets a folder of its own; on a cluster that is an error.
     """
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_to = f"file://{tempfile.mkdtemp(prefix='terramosaic-')}"
         spark.conf.set("spark.checkpoint.dir", set_to)
     return set_to.rstrip("/")
@@ -47,7 +49,15 @@ def written(df: DataFrame, stem: str) -> DataFrame:
     """
     path = shared_path(df.sparkSession, stem)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def remove_written(*tables: DataFrame) -> None:
+    """Delete the files of tables made by written() that no later plan reads."""
+    for table in tables:
+        remove_dir(table.sparkSession, table._written)
 
 
 def remove_dir(spark: SparkSession, path: str) -> None:

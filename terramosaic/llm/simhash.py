@@ -31,12 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terramosaic.llm.common import doc_chunks, utf8, written
+from terramosaic.llm.common import doc_chunks, remove_written, utf8, written
 from terramosaic.llm.words import space_words
 
 SHINGLE = 3
 SEED = 42
 MAX_DISTANCE = 2
+#: Fingerprints stored under one key in one task.
+CROWDED = 2000
 #: Segments as (lowest bit, bits), and the pairs (exact, near).
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 PAIRS = ((0, 1), (1, 2), (2, 0))
@@ -130,8 +132,13 @@ def fuzzy_keys(fps: np.ndarray, near: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """All pairs (a < b) of distinct fingerprints (column fp) at MAX_DISTANCE or fewer differing bits."""
+def fuzzy_pairs(distinct: DataFrame) -> DataFrame:
+    """All pairs (a < b) of distinct fingerprints (column fp) at MAX_DISTANCE or fewer differing bits.
+
+    Fingerprints of templated texts can crowd under one key. The stored side of
+    a key with more than CROWDED fingerprints is dealt to several parts, and what
+    is looked up goes to each of them, so no task holds a crowded key alone.
+    """
 
     def keyed(near: bool):
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +151,14 @@ def links(distinct: DataFrame) -> DataFrame:
 
     stored = distinct.mapInArrow(keyed(False), "key bigint, a bigint")
     looked_up = distinct.mapInArrow(keyed(True), "key bigint, b bigint")
+    crowded = stored.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("key", F.ceil(F.col("n") / CROWDED).cast("int").alias("parts"))
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE)
-    return stored.join(looked_up, "key").where(close).select("a", "b").distinct()
+    crowded = written(crowded, "crowded")
+    if crowded.limit(1).count() == 0:
+        return stored.join(looked_up, "key").where(close).select("a", "b").distinct()
+    stored = stored.join(crowded, "key", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int"))
+    looked_up = looked_up.join(crowded, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    return stored.drop("parts").join(looked_up.drop("parts"), ["key", "part"]).where(close).select("a", "b").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -153,7 +166,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds; each shrinks the distance to
     the root and only keeps minima, so a node with very many links is an
-    aggregate, never a collected list. Each round is written, which cuts lineage.
+    aggregate, never a collected list. Each round is written, which cuts lineage,
+    and the round before is deleted.
     """
 
     def mark(df: DataFrame) -> tuple:
@@ -170,7 +184,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         oriented = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = oriented.groupBy("a").agg(F.min("b").alias("m"))
         small = oriented.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        done, edges = edges, written(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        remove_written(done)
         after = mark(edges)
         if after == before:
             break
@@ -190,24 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min(id_col).alias("smallest"))
-    roots = components(links(classes.select("fp")))
+    roots = components(fuzzy_pairs(classes.select("fp")))
     linked = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "smallest", F.coalesce("root", "fp").alias("root"))
     named = linked.join(linked.groupBy("root").agg(F.min("smallest").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, one of each component: the one with the smallest id, all columns kept.
-
-    Rows that repeat that id count as copies, so one of them stays. Rows with a
-    null id cannot be told apart by it and stay as they are.
-    """
-    found = near_duplicates(docs, id_col, text_col)
-    counts = written(found.groupBy(id_col).agg(F.min("component_id").alias("_component"), F.count("*").alias("_n")), "components")
-    keep = counts.where(F.col(id_col).isNotNull() & (F.col(id_col) == F.col("_component"))).select(id_col)
-    repeated = counts.where(F.col(id_col).isNotNull() & (F.col("_n") > 1)).limit(1).count() > 0
-    # Always a shuffled hash join: the ids kept grow with the input, so they are never broadcast.
-    out = docs.join(keep.hint("shuffle_hash"), id_col, "left_semi")
-    if repeated:
-        out = out.dropDuplicates([id_col])
-    return out.unionByName(docs.where(F.col(id_col).isNull()))

@@ -51,3 +51,26 @@ def test_stage_over_sf(spark, documents):
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
     got = {r["doc_id"] for r in dict(p.STAGES)["simhash_near_dedup"](spark, documents, "").collect()}
     assert got == {rows[i][0] for i in plain_kept(rows)}
+
+
+def test_rows_of_one_id_stay_apart(spark, odd_documents, no_documents):
+    body = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, body), (1, other), (2, body + " x"), (2, other), (3, "a b"), (3, "a b"), (4, None), (5, " "), (None, body), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((-1 if r["doc_id"] is None else r["doc_id"]), r["text"] or "") for r in near_copies.keep_one(docs).collect())
+    assert got == sorted([(1, body), (1, other), (3, "a b"), (4, ""), (-1, body), (-1, "")])
+    kept = near_copies.keep_one(odd_documents)
+    assert kept.columns == odd_documents.columns and kept.where("doc_id is null").count() == 2
+    assert near_copies.keep_one(no_documents).collect() == []
+
+
+def test_sketches_bound_the_overlap():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (1, 30, 700, 990, 1010, 3000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([rng.choice(a, max(1, n * 3 // 4), replace=False), rng.integers(0, 2**63, n // 3).astype(np.uint64)]))
+        got = near_copies.most_shared(near_copies.sketch(a), near_copies.sketch(b))
+        assert len(np.intersect1d(a, b)) <= got <= min(len(a), len(b))

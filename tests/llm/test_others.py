@@ -181,7 +181,8 @@ def test_pipeline_against_plain_stages(spark, sf):
 
     import corpus_pipeline as p
     from terramosaic.llm import byte_bpe, pii
-    from tests_llm_plain import WORD, LOWER, fingerprint
+    from test_near_copies import plain_kept
+    from tests_llm_plain import LOWER, WORD
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     own = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -189,17 +190,8 @@ def test_pipeline_against_plain_stages(spark, sf):
     assert [n for n, _ in p.STAGES] == ["language_id", "simhash_near_dedup", "benchmark_decontamination", "pii", "byte_bpe"]
     kept = stages["language_id"](spark, docs, sf)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k, t in own.items() if any(map(str.isalpha, t))}
-    prints = {k: fingerprint(t) for k, t in own.items()}
-    left, group = set(), {}
-    for k in sorted(own):
-        group[k] = {k}
-        for o in list(left | set(group)):
-            if o != k and (prints[o] ^ prints[k]).bit_count() <= 2:
-                merged = group[o] | group[k]
-                for x in merged:
-                    group[x] = merged
-        left.add(k)
-    unique = {min(g) for g in group.values()}
+    rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    unique = {rows[i][0] for i in plain_kept(rows)}
     step = stages["simhash_near_dedup"](spark, kept, sf)
     assert step.columns == docs.columns and {r["doc_id"] for r in step.collect()} == unique
     windows = set()

@@ -309,8 +309,6 @@ def test_simhash(documents, odd_documents, no_documents):
     want = sorted((-1 if r["doc_id"] is None else r["doc_id"], f"{p:016x}", smallest[find(k)]) for k, (r, p) in enumerate(zip(rows, prints)))
     assert by_row(simhash.near_duplicates(both).collect(), "doc_id", "fingerprint", "component_id") == want
     assert simhash.near_duplicates(no_documents).collect() == []
-    kept = simhash.keep_one(odd_documents)
-    assert [r["doc_id"] for r in kept.where("doc_id is not null").collect()].count(2) == 0
 
 
 def test_links_find_every_pair(spark):
@@ -325,7 +323,17 @@ def test_links_find_every_pair(spark):
             fps.add(x)
     fps = sorted(x - 2**64 if x >= 2**63 else x for x in fps)
     want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
-    got = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(x,) for x in fps], "fp bigint")).collect()}
+    got = {(r["a"], r["b"]) for r in simhash.fuzzy_pairs(spark.createDataFrame([(x,) for x in fps], "fp bigint")).collect()}
+    assert got == want and len(want) > 50
+
+
+def test_crowded_keys_are_dealt_to_several_parts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(0, 2**62))
+    fps = sorted({base ^ (1 << i) ^ (1 << j) for i in range(0, 23, 2) for j in range(30, 46, 3)} | {base})
+    want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 2}
+    monkeypatch.setattr(simhash, "CROWDED", 3)
+    got = {(r["a"], r["b"]) for r in simhash.fuzzy_pairs(spark.createDataFrame([(x,) for x in fps], "fp bigint")).collect()}
     assert got == want and len(want) > 50
 
 
