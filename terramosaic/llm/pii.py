@@ -1,21 +1,24 @@
 """Personal data: exact base patterns and a character-level BiLSTM-CRF.
 
-The tagger reads characters as classes (letters, digits and the marks that
-matter), runs an LSTM in both directions, and decodes the best tag path under
-CRF transitions. It is trained in numpy, by maximum likelihood with
-back-propagation through time, from windows with labelled spans; the default
-training set is generated from a fixed seed, so the model does not depend on
-the corpus. Weights are a few thousand numbers and are broadcast.
-
-A text is cut into windows of WINDOW characters at every STRIDE; each character
-takes its tag from the window in whose middle half it lies, so spans that cross
-window borders are put together from the tags of the whole text. All four kinds
-need a digit or an at sign: a window without either is all outside by
-definition and is not run.
-
-Tagged spans join the base spans if they pass the same test of their kind as a
-base match (parts, Luhn, digit count) and overlap no base span. Base spans
-always stay.
+The tagger reads characters as classes (letters, hexadecimal letters, digits
+and the marks that matter), runs an LSTM in both directions, and scores tag
+sequences with CRF transitions. It is trained in numpy, by maximum likelihood
+with back-propagation through time, from windows with labelled spans; the
+default training set is generated from a fixed seed, so the model does not
+depend on the corpus. It is labelled with more than the base patterns know:
+local phone numbers, cards with other separators, addresses with a written-out
+at sign, and secrets (keys and tokens), a kind of its own. Weights are a few
+thousand numbers and are broadcast.
+
+A text is cut into windows of WINDOW characters at every STRIDE, and every
+window is run. Reconciling is global: the emission scores of overlapping windows
+are averaged, those near a window's edge with less weight, and the whole text is
+decoded once under the CRF. That decode is exact and yet done in blocks: a cut
+between blocks is kept only if all paths that survive LOOK characters further on
+run through "outside" at the cut; otherwise the two blocks are decoded as one.
+
+Tagged spans join the base spans if they pass the test of their kind (digits,
+parts, Luhn, length) and overlap no base span. Base spans always stay.
 """
 
 from __future__ import annotations
@@ -32,13 +35,17 @@ from pyspark.sql import DataFrame
 
 from terramosaic.llm.common import utf8
 
-KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE = 64, 32
+#: Kinds of the base patterns, and all kinds in order.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+WINDOW, STRIDE = 128, 96
 HIDDEN = 12
-#: Windows of one numpy pass.
-BATCH = 2048
-#: Tags: 0 outside, 1 + 2k begins kind k, 2 + 2k continues it.
-TAGS = 1 + 2 * len(KINDS)
+#: Windows of one numpy pass, and characters that are decoded together.
+BATCH, PIECE = 2048, 1 << 19
+#: Characters of a block of the decode, in which a cut is looked for, and by which a cut must be settled.
+BLOCK, CHOICE, LOOK = 448, 32, 48
+#: Tags: 0 outside, 1 + k inside a span of kind k. Spans of one kind that touch are one.
+TAGS = 1 + len(KINDS)
 
 # ---- base patterns ---------------------------------------------------------
 
@@ -48,6 +55,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: An address with a written-out at sign, and a date, which is no phone number.
+OBFUSCATED = re.compile(r"[A-Za-z0-9._%+-]+\s?[\[({]\s?at\s?[\])}]\s?[A-Za-z0-9-]+.*[A-Za-z]", re.IGNORECASE).fullmatch
+DATE = re.compile(r"[0-9]{4}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}|[0-9]{1,2}[-./ ][0-9]{1,2}[-./ ][0-9]{4}").fullmatch
 
 
 def luhn(digits: str) -> bool:
@@ -76,16 +86,20 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 
 def valid(kind: str, piece: str) -> bool:
-    """The test that a match of each kind must pass."""
+    """The test that a span of each kind must pass; a base match meets its pattern besides."""
     if kind == "email":
-        return "@" in piece
+        return "@" in piece or bool(OBFUSCATED(piece))
+    if kind == "secret":
+        return len(piece) >= 16 and len(set(piece)) >= 8 and any(c.isdigit() for c in piece) and any(c.isalpha() for c in piece) and not any(c.isspace() for c in piece)
     if kind == "ip":
         parts = piece.split(".")
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and int(p[-400:]) <= 255 and (len(p) < 400 or not p[:-400].strip("0")) for p in parts)
     digits = "".join(c for c in piece if "0" <= c <= "9")
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)
-    return 9 <= len(digits) <= 15
+    if piece.startswith("+"):
+        return 9 <= len(digits) <= 15
+    return 7 <= len(digits) <= 15 and len(digits) < len(piece) and not DATE(piece)
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -99,34 +113,40 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 # ---- character classes -----------------------------------------------------
 
 MARKS = "@.-+()%_,:;/='\"|!?#&*$ \n"
-CLASSES = 5 + len(MARKS)
-LOWER, UPPER, DIGIT, OTHER_LETTER, OTHER = range(5)
+LOWER, UPPER, DIGIT, OTHER_LETTER, OTHER, LOWER_HEX, UPPER_HEX = range(7)
+CLASSES = 7 + len(MARKS)
 
 
 @cache
 def class_table() -> np.ndarray:
     table = np.full(256, OTHER, np.uint8)
     table[97:123], table[65:91], table[48:58] = LOWER, UPPER, DIGIT
+    table[97:103], table[65:71] = LOWER_HEX, UPPER_HEX
     table[192:] = OTHER_LETTER
     for k, mark in enumerate(MARKS):
-        table[ord(mark)] = 5 + k
+        table[ord(mark)] = 7 + k
     return table
 
 
 def classes(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.where(points < 256, class_table()[np.minimum(points, 255)], OTHER_LETTER)
+    return np.where(points < 256, class_table()[np.minimum(points, 255)], np.uint8(OTHER_LETTER))
 
 
 # ---- the tagger ------------------------------------------------------------
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def slope(y: np.ndarray) -> np.ndarray:
+    """Derivative of x / (1 + |x|), from its value."""
+    return (1 - np.abs(y)) ** 2
 
 
 class Direction:
-    """One LSTM over class ids; the input weights are a row a class."""
+    """One LSTM over class ids; the input weights are a row a class.
+
+    Its squashing function is x / (1 + |x|), moved to 0..1 for the gates, since a
+    tanh would take most of the time of a scan.
+    """
 
     def __init__(self, rng: np.random.Generator):
         self.p = {"x": rng.normal(0, 0.3, (CLASSES, 4 * HIDDEN)).astype(np.float32), "h": rng.normal(0, 0.3, (HIDDEN, 4 * HIDDEN)).astype(np.float32)}
@@ -136,18 +156,27 @@ class Direction:
         n, steps = ids.shape
         h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
         out, tape = np.zeros((steps, n, HIDDEN), np.float32), []
+        z, size, from_h = np.empty((n, 4 * HIDDEN), np.float32), np.empty((n, 4 * HIDDEN), np.float32), np.empty((n, 4 * HIDDEN), np.float32)
+        half, one, columns = np.float32(0.5), np.float32(1), np.ascontiguousarray(ids.T).astype(np.intp)
         for t in range(steps):
-            z = self.p["x"][ids[:, t]] + h @ self.p["h"]
-            gates = sigmoid(z[:, : 3 * HIDDEN])
+            np.take(self.p["x"], columns[t], axis=0, out=z, mode="clip")
+            np.matmul(h, self.p["h"], out=from_h)
+            z += from_h
+            np.abs(z, out=size)
+            size += one
+            z /= size
+            g, gates = z[:, 3 * HIDDEN :], z[:, : 3 * HIDDEN]
+            gates *= half
+            gates += half
             i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
-            g = np.tanh(z[:, 3 * HIDDEN :])
             before_h, before_c = h, c
-            c = f * c + i * g
-            tc = np.tanh(c)
+            c = f * c
+            c += i * g
+            tc = c / (one + np.abs(c))
             h = o * tc
             out[t] = h
             if keep:
-                tape.append((before_h, before_c, i, f, o, g, tc))
+                tape.append((before_h, before_c, i.copy(), f.copy(), o.copy(), g.copy(), tc))
         return out, tape
 
     def backward(self, ids: np.ndarray, tape: list, grad: np.ndarray) -> dict[str, np.ndarray]:
@@ -156,9 +185,9 @@ class Direction:
         for t in range(len(tape) - 1, -1, -1):
             before_h, before_c, i, f, o, g, tc = tape[t]
             dh = dh + grad[t]
-            dc = dc + dh * o * (1 - tc**2)
-            dz = np.concatenate([dc * g * i * (1 - i), dc * before_c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g**2)], axis=1)
-            np.add.at(out["x"], ids[:, t], dz)
+            dc = dc + dh * o * slope(tc)
+            dz = np.concatenate([dc * g * slope(2 * i - 1) / 2, dc * before_c * slope(2 * f - 1) / 2, dh * tc * slope(2 * o - 1) / 2, dc * i * slope(g)], axis=1)
+            out["x"] += (np.arange(CLASSES)[:, None] == ids[None, :, t]).astype(np.float32) @ dz
             out["h"] += before_h.T @ dz
             dh, dc = dz @ self.p["h"].T, dc * f
         return out
@@ -171,43 +200,25 @@ class Tagger:
         rng = np.random.default_rng(seed)
         self.left, self.right = Direction(rng), Direction(rng)
         self.p = {"out": rng.normal(0, 0.3, (2 * HIDDEN, TAGS)).astype(np.float32), "bias": np.zeros(TAGS, np.float32), "move": np.zeros((TAGS, TAGS), np.float32)}
-        # An inside tag follows only its own begin or inside tag.
-        self.mask = np.zeros((TAGS, TAGS), np.float32)
-        for k in range(len(KINDS)):
-            self.mask[:, 2 + 2 * k] = -30
-            self.mask[[1 + 2 * k, 2 + 2 * k], 2 + 2 * k] = 0
-        self.first = np.array([0.0] + [0.0, -30.0] * len(KINDS), np.float32)
 
     def states(self, ids: np.ndarray, keep: bool = False):
         a, tape_a = self.left.forward(ids, keep)
         b, tape_b = self.right.forward(ids[:, ::-1], keep)
         return np.concatenate([a, b[::-1]], axis=2), tape_a, tape_b
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """Best tag path of each window (Viterbi)."""
+    def emissions(self, ids: np.ndarray) -> np.ndarray:
+        """Tag scores of windows, shape (windows, characters, tags)."""
         h, _, _ = self.states(ids)
-        emit = h @ self.p["out"] + self.p["bias"]
-        move = self.p["move"] + self.mask
-        steps, n, _ = emit.shape
-        score, back = emit[0] + self.first, np.zeros((steps, n, TAGS), np.int8)
-        for t in range(1, steps):
-            options = score[:, :, None] + move[None]
-            back[t] = options.argmax(axis=1)
-            score = options.max(axis=1) + emit[t]
-        path = np.zeros((n, steps), np.int8)
-        path[:, -1] = score.argmax(axis=1)
-        for t in range(steps - 1, 0, -1):
-            path[:, t - 1] = back[t, np.arange(n), path[:, t]]
-        return path
+        return (h @ self.p["out"] + self.p["bias"]).transpose(1, 0, 2)
 
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, list[dict[str, np.ndarray]]]:
         """Mean negative log likelihood and its gradients, by the forward-backward algorithm."""
         h, tape_a, tape_b = self.states(ids, keep=True)
         emit = (h @ self.p["out"] + self.p["bias"]).astype(np.float64)
-        move = (self.p["move"] + self.mask).astype(np.float64)
+        move = self.p["move"].astype(np.float64)
         steps, n, _ = emit.shape
         alpha, beta = np.zeros_like(emit), np.zeros_like(emit)
-        alpha[0] = emit[0] + self.first
+        alpha[0] = emit[0]
         for t in range(1, steps):
             alpha[t] = log_sum(alpha[t - 1][:, :, None] + move[None], 1) + emit[t]
         for t in range(steps - 2, -1, -1):
@@ -218,7 +229,7 @@ class Tagger:
         for t in range(1, steps):
             d_move += np.exp(alpha[t - 1][:, :, None] + move[None] + (emit[t] + beta[t])[:, None, :] - total[:, None, None]).sum(axis=0)
         rows = np.arange(n)
-        gold = emit[0, rows, tags[:, 0]] + self.first[tags[:, 0]]
+        gold = emit[0, rows, tags[:, 0]]
         d_emit[0, rows, tags[:, 0]] -= 1
         for t in range(1, steps):
             gold += emit[t, rows, tags[:, t]] + move[tags[:, t - 1], tags[:, t]]
@@ -231,8 +242,8 @@ class Tagger:
         b = self.right.backward(ids[:, ::-1], tape_b, dh[::-1, :, HIDDEN:])
         return float((total - gold).mean()), [own, a, b]
 
-    def fit(self, ids: np.ndarray, tags: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.02, seed: int = 6) -> list[float]:
-        """Adam over shuffled batches; returns the mean loss of each epoch."""
+    def fit(self, ids: np.ndarray, tags: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.06, seed: int = 6) -> list[float]:
+        """Adam over shuffled batches, its rate falling to a tenth; returns the mean loss of each epoch."""
         rng = np.random.default_rng(seed)
         groups = [self.p, self.left.p, self.right.p]
         first = [{k: np.zeros_like(v) for k, v in g.items()} for g in groups]
@@ -245,12 +256,13 @@ class Tagger:
                 loss, grads = self.gradients(ids[pick], tags[pick])
                 seen.append(loss)
                 step += 1
+                now = rate * (1 - 0.9 * step / (epochs * -(-len(ids) // batch)))
                 for g, grad, m, v in zip(groups, grads, first, second, strict=True):
                     for k in g:
                         clipped = np.clip(grad[k], -1, 1)
                         m[k] = 0.9 * m[k] + 0.1 * clipped
                         v[k] = 0.999 * v[k] + 0.001 * clipped**2
-                        g[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                        g[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
             losses.append(float(np.mean(seen)))
         return losses
 
@@ -279,23 +291,36 @@ def labelled_example(rng: np.random.Generator) -> tuple[str, list[tuple[int, int
         return gap.join(number[i : i + 4] for i in range(0, len(number), 4))
 
     def phone() -> str:
-        shape = str(rng.choice(["+1 (ddd) ddd-dddd", "(ddd) ddd-dddd", "+dd ddd ddd dddd", "+dd.dd.dddd.dddd", "ddd-ddd-dddd"]))
+        shape = str(rng.choice(["+d (ddd) ddd-dddd", "(ddd) ddd-dddd", "+dd ddd ddd dddd", "+dd.dd.dddd.dddd", "ddd-ddd-dddd", "0dd dddd dddd", "0ddd/ddd ddd dd", "+dd-ddddd-ddddd", "ddd.ddd.dddd", "(0dd) dddddd"]))
         return "".join(digits(1) if c == "d" else c for c in shape)
 
     def email() -> str:
-        local = "".join(str(rng.choice([word(), digits(2), "."])) for _ in range(rng.integers(1, 4))) + word()
-        return f"{local.replace('é', 'e')}@{word().replace('é', 'e')}.{'example.' * int(rng.integers(0, 2))}{rng.choice(['com', 'org', 'net', 'de'])}"
+        local = "".join(str(rng.choice([word(), digits(2), ".", "_", word()])) for _ in range(rng.integers(1, 4))) + word()
+        at, dot = (("@", "."), ("@", "."), ("@", "."), (" [at] ", " [dot] "), ("(at)", "."), (" (at) ", " (dot) "))[int(rng.integers(0, 6))]
+        return f"{local.replace('é', 'e')}{at}{word().replace('é', 'e')}{dot}{('example' + dot) * int(rng.integers(0, 2))}{rng.choice(['com', 'org', 'net', 'de', 'example'])}"
+
+    def characters(alphabet: str, low: int, high: int) -> str:
+        return "".join(str(rng.choice(list(alphabet))) for _ in range(int(rng.integers(low, high))))
+
+    def secret() -> tuple[str, str, str]:
+        """What leads to the secret, the secret, and what closes it."""
+        body = (lambda: hashlib.sha1(digits(9).encode()).hexdigest(), lambda: hashlib.sha256(digits(9).encode()).hexdigest().upper()[: int(rng.integers(32, 64))], lambda: characters("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789", 20, 44), lambda: "AKIA" + characters("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16, 17), lambda: "sk-" + characters("abcdefghijklmnopqrstuvwxyz0123456789", 24, 40))[int(rng.integers(0, 5))]()
+        name = str(rng.choice(["token", "key", "secret", "password", "api_key", "TOKEN", "Key"]))
+        lead, close = ((f'{name} = "', '"'), (f"{name}='", "'"), (f"{name}: ", ""), ("", ""))[int(rng.integers(0, 4))]
+        return lead, body, close
 
     makers = (email, lambda: ".".join(map(str, rng.integers(0, 256, 4))), card, phone)
-    decoys = (lambda: digits(int(rng.integers(1, 6))), lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f'token = "{hashlib.sha1(digits(8).encode()).hexdigest()}"', lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"@{word()}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"{digits(3)},{digits(3)}.{digits(2)}")
+    decoys = (lambda: digits(int(rng.integers(1, 7))), lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}.{digits(2)}.{digits(4)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"@{word()}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"{digits(3)},{digits(3)}.{digits(2)}", lambda: f"({word()})", lambda: f'{word()} = "{word()}"', lambda: f"{word()}{digits(2)}", lambda: characters("abcdef", 3, 9), lambda: word().upper() + str(rng.choice(["!!", "$$$", "%%%", "***"])), lambda: "".join(word() for _ in range(4)))
     text, spans = "", []
     for _ in range(int(rng.integers(5, 14))):
         draw = rng.random()
-        if draw < 0.16:
+        if draw < 0.26:
             k = int(rng.integers(0, len(KINDS)))
-            piece = makers[k]()
+            lead, piece, close = secret() if KINDS[k] == "secret" else ("", makers[k](), "")
+            text += lead
             spans.append((len(text), len(text) + len(piece), k))
-        elif draw < 0.32:
+            piece += close
+        elif draw < 0.42:
             piece = decoys[int(rng.integers(0, len(decoys)))]()
         else:
             piece = word()
@@ -304,34 +329,30 @@ def labelled_example(rng: np.random.Generator) -> tuple[str, list[tuple[int, int
     return text, spans
 
 
-def windows_of(length: int) -> range:
-    return range(0, max(1, length - STRIDE), STRIDE)
+def windows_of(length: int, window: int = WINDOW, stride: int = STRIDE) -> range:
+    return range(0, max(1, length - (window - stride)), stride)
 
 
 def training_windows(examples: list[tuple[str, list[tuple[int, int, int]]]]) -> tuple[np.ndarray, np.ndarray]:
-    ids, tags = [], []
+    """Windows of half the size that a scan has, with their tags."""
+    ids, tags, size = [], [], WINDOW // 2
     for text, spans in examples:
-        own, tag = padded(classes(text)), np.zeros(len(text), np.int64)
+        own, tag = classes(text), np.zeros(len(text) + size, np.int64)
         for a, b, k in spans:
-            tag[a], tag[a + 1 : b] = 1 + 2 * k, 2 + 2 * k
-        tag = np.concatenate([tag, np.zeros(len(own) - len(tag), np.int64)])
-        for at in windows_of(len(text)):
-            piece = tag[at : at + WINDOW].copy()
-            if piece[0] and piece[0] % 2 == 0:
-                piece[0] -= 1  # a span cut by the window's edge begins there
-            ids.append(own[at : at + WINDOW])
-            tags.append(piece)
+            tag[a:b] = 1 + k
+        for at in windows_of(len(text), size, STRIDE // 2):
+            ids.append(padded(own[at : at + size], size))
+            tags.append(tag[at : at + size])
     return np.array(ids), np.array(tags)
 
 
-def padded(ids: np.ndarray) -> np.ndarray:
-    """Filled with line ends to a whole number of windows."""
-    last = windows_of(len(ids))[-1]
-    return np.concatenate([ids, np.full(max(0, last + WINDOW - len(ids)), 5 + MARKS.index("\n"), ids.dtype)])
+def padded(ids: np.ndarray, size: int) -> np.ndarray:
+    """Filled with line ends."""
+    return np.concatenate([ids, np.full(size - len(ids), 7 + MARKS.index("\n"), ids.dtype)])
 
 
 @cache
-def default_tagger(n: int = 500, seed: int = 3) -> Tagger:
+def default_tagger(n: int = 1000, seed: int = 3) -> Tagger:
     """Trained on ``n`` generated texts."""
     rng, tagger = np.random.default_rng(seed), Tagger()
     tagger.fit(*training_windows([labelled_example(rng) for _ in range(n)]))
@@ -341,54 +362,186 @@ def default_tagger(n: int = 500, seed: int = 3) -> Tagger:
 # ---- detection -------------------------------------------------------------
 
 
-def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, str, int]]]:
-    """Spans of the tagger for each text, stitched over overlapping windows."""
-    rows, where, tags = [], [], []
+def edge_weights() -> np.ndarray:
+    """How much a window says about each of its characters: little near its edges, where context is missing."""
+    place = np.arange(WINDOW)
+    return np.minimum(np.minimum(place, WINDOW - 1 - place) + 1, WINDOW - STRIDE).astype(np.float32)
+
+
+def emissions_of(tagger: Tagger, pieces: list[tuple[np.ndarray, int, int]]) -> np.ndarray:
+    """Tag scores of the characters low..high of some texts (classes, low, high), one after the other: window scores, averaged."""
+    rows, target, odd, size = [], [], [], 0
+    for own, low, high in pieces:
+        last = windows_of(len(own))[-1]
+        first = max(0, (low - WINDOW) // STRIDE + 1)
+        for number in range(first, max(first, min(last, high - 1) // STRIDE) + 1):
+            at = number * STRIDE
+            window = own[at : at + WINDOW]
+            rows.append(padded(window, WINDOW))
+            target.append((size + at - low, size, size + high - low))
+            odd.append(number % 2)
+        size += high - low
+    score, total = np.zeros((size, TAGS), np.float32), np.zeros(size, np.float32)
+    weight, step = edge_weights(), np.arange(WINDOW)
+    order = np.argsort(odd, kind="stable")  # windows of one parity do not overlap
+    cut = int(np.searchsorted(np.array(odd)[order], 1))
+    for low, high in ((0, cut), (cut, len(order))):
+        for a in range(low, high, BATCH):
+            pick = order[a : min(high, a + BATCH)]
+            emit = tagger.emissions(np.stack([rows[k] for k in pick]))
+            spot = np.array([target[k] for k in pick])
+            place = spot[:, :1] + step
+            inside = (place >= spot[:, 1:2]) & (place < spot[:, 2:])
+            score[place[inside]] += (emit * weight[None, :, None])[inside]
+            total[place[inside]] += np.broadcast_to(weight, place.shape)[inside]
+    return score / np.maximum(total, 1e-9)[:, None]
+
+
+def blocks_in(score: np.ndarray, low: int, high: int, final: bool, closed: set[int]) -> list[int]:
+    """Where the decode of low..high may be cut: near every BLOCK characters, where "outside" leads most."""
+    cuts, at = [], low + BLOCK
+    end = high - LOOK
+    while at + CHOICE <= end:
+        lead = score[at : at + CHOICE, 0] - score[at : at + CHOICE, 1:].max(axis=1)
+        spot = at + int(lead.argmax())
+        if spot not in closed:
+            cuts.append(spot)
+        at += BLOCK
+    return cuts
+
+
+def best_paths(tagger: Tagger, score: np.ndarray, rows: list[tuple[int, int, int, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """(tags by row, whether the cut at its end is settled) of rows (start, cut, end, begins).
+
+    A row that does not begin its text starts outside; a row whose cut is its end
+    ends there freely, any other must be outside at its cut, and is read on to its end.
+    """
+    start, cut, end = (np.array([r[k] for r in rows]) for k in range(3))
+    begins, free = np.array([r[3] for r in rows]), cut == end
+    move = tagger.p["move"].astype(np.float32)
+    length, n = end - start, len(rows)
+    steps, shortest = int(length.max()), int(length.min())
+    back = np.zeros((steps, n, TAGS), np.int8)
+    outside = np.full(TAGS, -1e9, np.float32)
+    outside[0] = 0
+    value = score[start] + np.where(begins[:, None], np.float32(0), outside)
+    for t in range(1, steps):
+        best, pick = value[:, :1] + move[0], np.zeros((n, TAGS), np.int8)
+        for tag in range(1, TAGS):
+            option = value[:, tag : tag + 1] + move[tag]
+            better = option > best
+            pick[better] = tag
+            np.maximum(best, option, out=best)
+        back[t] = pick
+        best += score[np.minimum(start + t, end - 1)]
+        value = best if t < shortest else np.where((t < length)[:, None], best, value)
+    every, spot = np.arange(n), np.where(free, length - 1, cut - start)
+    survivor = np.broadcast_to(np.arange(TAGS, dtype=np.int8), (n, TAGS)).copy()
+    path = np.zeros((n, steps), np.int8)
+    path[every, spot] = np.where(free, value.argmax(axis=1), 0)
+    for t in range(steps - 1, 0, -1):
+        beyond = (t < length) & (t > spot)
+        if beyond.any():
+            survivor[beyond] = np.take_along_axis(back[t][beyond], survivor[beyond].astype(np.int64), axis=1)
+        inner = np.flatnonzero(t <= spot)
+        path[inner, t - 1] = back[t, inner, path[inner, t]]
+    return path, free | (survivor == 0).all(axis=1)
+
+
+def decoded(tagger: Tagger, score: np.ndarray, bounds: list[tuple[int, int, bool, bool]]) -> tuple[np.ndarray, list[int]]:
+    """(tag of each character, where each piece is settled to) under the CRF, for pieces (low, high, begins, final) of ``score``.
+
+    The result is that of one decode of a whole piece. A piece that is not final
+    is settled to its last cut; 0 characters if there is none.
+    """
+    tags, settled = np.zeros(len(score), np.int8), [0] * len(bounds)
+    closed: list[set[int]] = [set() for _ in bounds]
+    todo = [k for k, (low, high, _, _) in enumerate(bounds) if high > low]
+    while todo:
+        rows, owner = [], []
+        for k in todo:
+            low, high, begins, final = bounds[k]
+            cuts = blocks_in(score, low, high, final, closed[k])
+            starts = [low, *cuts]
+            for j, a in enumerate(starts):
+                if j + 1 < len(starts):
+                    rows.append((a, starts[j + 1], min(high, starts[j + 1] + LOOK), begins and j == 0))
+                    owner.append(k)
+                elif final:
+                    rows.append((a, high, high, begins and j == 0))
+                    owner.append(k)
+            settled[k] = high if final else starts[-1]
+        again: set[int] = set()
+        for a in range(0, len(rows), BATCH):
+            part = rows[a : a + BATCH]
+            path, ok = best_paths(tagger, score, part)
+            for (low, cut, end, _), k, own, sure in zip(part, owner[a : a + BATCH], path, ok.tolist(), strict=True):
+                stop = end if cut == end else cut
+                tags[low:stop] = own[: stop - low]
+                if not sure:
+                    closed[k].add(cut)
+                    again.add(k)
+        todo = sorted(again)
+    return tags, settled
+
+
+def spans_in(tags: np.ndarray) -> list[tuple[int, str, int]]:
+    """(start, kind, end) of the runs of one tag."""
+    edge = np.flatnonzero(np.diff(tags, prepend=0, append=0))
+    return [(a, KINDS[tags[a] - 1], b) for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False) if tags[a]]
+
+
+def tags_of(tagger: Tagger, texts: list[str]) -> list[np.ndarray]:
+    """The best tags of whole texts. Texts are decoded together up to PIECE characters, a longer one piece after piece."""
+    out: list[np.ndarray] = [np.zeros(len(t), np.int8) for t in texts]
+    own = [classes(t) for t in texts]
+    short = [k for k, t in enumerate(texts) if 0 < len(t) <= PIECE]
+    for a, b in in_batches([texts[k] for k in short], PIECE):
+        ends = np.cumsum([0, *(len(texts[k]) for k in short[a:b])]).tolist()
+        tags, _ = decoded(tagger, emissions_of(tagger, [(own[k], 0, len(own[k])) for k in short[a:b]]), [(x, y, True, True) for x, y in zip(ends, ends[1:], strict=False)])
+        for k, x, y in zip(short[a:b], ends, ends[1:], strict=False):
+            out[k] = tags[x:y]
     for k, text in enumerate(texts):
-        own = classes(text)
-        trigger = np.concatenate([[0], np.cumsum((own == DIGIT) | (own == 5))])
-        tags.append({})
-        whole = None
-        for at in windows_of(len(text)):
-            if trigger[min(at + WINDOW, len(own))] > trigger[at]:
-                whole = padded(own) if whole is None else whole
-                rows.append(whole[at : at + WINDOW])
-                where.append((k, at))
-    for a in range(0, len(rows), BATCH):
-        for (k, at), path in zip(where[a : a + BATCH], tagger.decode(np.array(rows[a : a + BATCH])), strict=True):
-            tags[k][at] = path
-    out = []
-    quarter = (WINDOW - STRIDE) // 2
-    for text, found in zip(texts, tags, strict=True):
-        spans, last = [], (windows_of(len(text))[-1] if text else 0)
-        open_kind, start, end = -1, 0, 0
-        for at in sorted(found):
-            low, high = (0 if at == 0 else quarter), (WINDOW if at == last else WINDOW - quarter)
-            path = found[at]
-            if not path[low:high].any():
-                continue
-            for offset in range(low, min(high, len(text) - at)):
-                tag, place = int(path[offset]), at + offset
-                kind = (tag - 1) // 2 if tag else -1
-                if open_kind >= 0 and (kind != open_kind or tag % 2 == 1 or place != end):
-                    spans.append((start, KINDS[open_kind], end))
-                    open_kind = -1
-                if kind >= 0:
-                    if open_kind < 0:
-                        open_kind, start = kind, place
-                    end = place + 1
-        if open_kind >= 0:
-            spans.append((start, KINDS[open_kind], end))
-        out.append(spans)
+        at, size = 0, PIECE
+        while len(text) > PIECE and at < len(text):
+            high = min(len(text), at + size)
+            tags, settled = decoded(tagger, emissions_of(tagger, [(own[k], at, high)]), [(0, high - at, at == 0, high == len(text))])
+            out[k][at : at + settled[0]] = tags[: settled[0]]
+            size = PIECE if settled[0] else 2 * size
+            at += settled[0]
+    return out
+
+
+def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, str, int]]]:
+    """Spans of the tagger for each whole text."""
+    return [spans_in(tags) for tags in tags_of(tagger, texts)]
+
+
+def apart(spans: list[tuple[int, str, int]], base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """The spans, which do not overlap each other, that overlap no base span either; both by start, one pass."""
+    out, at, reach = [], 0, 0
+    for a, kind, b in spans:
+        while at < len(base) and base[at][0] < b:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= a:
+            out.append((a, kind, b))
     return out
 
 
+def admitted(kind: str, piece: str) -> str | None:
+    """The kind under which a tagged span is taken, or None. A number of fewer digits than any card has is tried as a phone number."""
+    if kind == "card" and sum("0" <= c <= "9" for c in piece) < 12:
+        kind = "phone"
+    return kind if valid(kind, piece) else None
+
+
 def all_spans(tagger: Tagger, texts: list[str]) -> list[tuple[list, list]]:
     """(base spans, all spans) for each text."""
     out = []
     for text, tagged in zip(texts, tagged_spans(tagger, texts), strict=True):
         base = base_spans(text)
-        extra = [s for s in tagged if valid(s[1], text[s[0] : s[2]]) and not any(a < s[2] and s[0] < b for a, _, b in base)]
+        extra = apart([(a, found, b) for a, kind, b in tagged if (found := admitted(kind, text[a:b]))], base)
         out.append((base, sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))))
     return out
 
@@ -397,13 +550,7 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, kind, b in spans)
 
 
-def may_hold(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows with a digit or an at sign; no other row can hold a span."""
-    count = np.concatenate([[0], np.cumsum(((raw >= 48) & (raw <= 57)) | (raw == 64))])
-    return count[offsets[1:]] > count[offsets[:-1]]
-
-
-def in_batches(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def in_batches(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
     at = 0
     while at < len(texts):
         end, size = at, 0
@@ -419,7 +566,9 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tagg
 
     A map without a shuffle over whole texts. Null or empty text has no spans
     (base_sha256 is that of nothing); repeated rows and null ids are kept; other
-    columns are not read. Counts and base_sha256 are of the base spans.
+    columns are not read. Counts and base_sha256 are of the base spans; ``spans``
+    has those of the tagger as well. Memory is bounded by a text and PIECE
+    characters of scores, however long the text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tagger or default_tagger())  # fixed size
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -429,18 +578,18 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tagg
         model = shared.value
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
-            counts = np.zeros((len(KINDS), batch.num_rows), np.int64)
+            counts = np.zeros((len(BASE_KINDS), batch.num_rows), np.int64)
             digests, listed = [nothing] * batch.num_rows, [""] * batch.num_rows
-            picked = np.flatnonzero(may_hold(raw, offsets)).tolist()
-            texts = [raw[offsets[k] : offsets[k + 1]].tobytes().decode() for k in picked]
-            for a, b in in_batches(texts):
-                for k, (base, spans) in zip(picked[a:b], all_spans(model, texts[a:b]), strict=True):
+            texts = [raw[x:y].tobytes().decode() for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            for a, b in in_batches(texts, PIECE):
+                for k, (base, spans) in zip(range(a, b), all_spans(model, texts[a:b]), strict=True):
                     for _, kind, _ in base:
-                        counts[KINDS.index(kind), k] += 1
-                    digests[k], listed[k] = hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts), pa.array(digests, pa.string()), pa.array(listed, pa.string())], [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                        counts[BASE_KINDS.index(kind), k] += 1
+                    if spans:
+                        digests[k], listed[k] = hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts), pa.array(digests, pa.string()), pa.array(listed, pa.string())], [id_col, *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
 
-    schema = f"`{id_col}` {id_type}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string"
+    schema = f"`{id_col}` {id_type}, " + ", ".join(f"n_{k} bigint" for k in BASE_KINDS) + ", base_sha256 string, spans string"
     return docs.select(id_col, text_col).mapInArrow(rows, schema)
 
 
@@ -468,11 +617,10 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
         model = shared.value
         for batch in batches:
             raw, offsets = utf8(batch.column(at))
-            picked = np.flatnonzero(may_hold(raw, offsets)).tolist()
-            texts = [raw[offsets[k] : offsets[k + 1]].tobytes().decode() for k in picked]
+            texts = [raw[x:y].tobytes().decode() for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             fresh: dict[int, str] = {}
-            for a, b in in_batches(texts):
-                for k, text, (_, spans) in zip(picked[a:b], texts[a:b], all_spans(model, texts[a:b]), strict=True):
+            for a, b in in_batches(texts, PIECE):
+                for k, text, (_, spans) in zip(range(a, b), texts[a:b], all_spans(model, texts[a:b]), strict=True):
                     if spans:
                         fresh[k] = redacted(text, spans)
             columns = list(batch.columns)
