@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terramosaic.functions import grid
 from terramosaic.operators.occurrences import in_cells
+from terramosaic.shipping import shared_folder
 from terramosaic.types import Bbox
 
-#: Cells up to which components are linked on the driver.
-DRIVER_CELLS = 200_000
+#: Cells up to which components are found and linked on the driver (a row a cell, six edges a cell).
+DRIVER_CELLS = 50_000
 FULL = len(grid.STEPS)
 
 
@@ -58,8 +60,41 @@ def edges(neighbors: DataFrame, column: str = "direct_and_indirect_neighbors") -
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
 
 
+def local_components(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node that each of the (ascending) nodes reaches; edges to other nodes are ignored."""
+    x, y = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
+    known = (x < len(nodes)) & (y < len(nodes))
+    x, y = x[known], y[known]
+    known = (nodes[x] == a[known]) & (nodes[y] == b[known])
+    x, y, label = x[known], y[known], np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        label = label[label]
+        if (label == before).all():
+            return nodes[label]
+
+
 def components(nodes: DataFrame, edge_table: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(geocode, component): the smallest cell that each one reaches, by min-label rounds with pointer jumps."""
+    """(geocode, component): the smallest cell that each one reaches.
+
+    Up to DRIVER_CELLS cells and ten edges a cell the graph is labelled on the
+    driver; a larger one by min-label rounds with pointer jumps, which give the same.
+    """
+    found = nodes.select("geocode").distinct().limit(DRIVER_CELLS + 1).toArrow().column("geocode").to_numpy()
+    if len(found) <= DRIVER_CELLS:
+        pairs = edge_table.select("a", "b").limit(10 * DRIVER_CELLS + 1).toArrow()
+        if pairs.num_rows <= 10 * DRIVER_CELLS:
+            found = np.sort(found)
+            labels = local_components(found, pairs.column("a").to_numpy(), pairs.column("b").to_numpy())
+            return nodes.sparkSession.createDataFrame(pa.table({"geocode": pa.array(found, pa.int64()), "component": pa.array(labels, pa.int64())}))
+    return spread_components(nodes, edge_table, max_rounds)
+
+
+def spread_components(nodes: DataFrame, edge_table: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """As components(), in distributed rounds."""
     labels = nodes.select("geocode", F.col("geocode").alias("component"))
     labels, edge_table = cut(labels), cut(edge_table)
     both = edge_table.select("a", "b").union(edge_table.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -80,9 +115,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration with a reliable checkpoint in the session's shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terramosaic-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -94,8 +127,6 @@ def component_links(rows: list[tuple[int, float, float, int, int]]) -> list[tupl
     component is left; a cell of the far side with a full ring is no target.
     Ties go to the earlier rows. An error if no pair is left.
     """
-    import numpy as np
-
     geo = [r[0] for r in rows]
     xy = np.array([r[1:3] for r in rows], float).reshape(-1, 2)
     component = np.array([r[3] for r in rows])
@@ -124,16 +155,16 @@ def component_links(rows: list[tuple[int, float, float, int, int]]) -> list[tupl
 def connected(neighbors: DataFrame, cell_table: DataFrame) -> DataFrame:
     """Add indirect neighbours so that the graph has one component.
 
-    Components come from the direct lists, in a distributed way; the pairs that
-    join them are found on the driver, for at most DRIVER_CELLS cells.
+    Components come from the direct lists; the pairs that join them are found on
+    the driver, for at most DRIVER_CELLS cells. More are refused only if there
+    is something to join.
     """
     cell_table, neighbors = cut(cell_table), cut(neighbors)
-    n = cell_table.count()
-    if n > DRIVER_CELLS:
-        raise ValueError(f"{n} cells are too many to link on the driver; use a coarser grid")
     labels = components(cell_table, edges(neighbors, "direct_neighbors"))
     if labels.select("component").distinct().count() <= 1:
         links = []
+    elif (n := cell_table.count()) > DRIVER_CELLS:
+        raise ValueError(f"{n} cells are too many to link on the driver; use a coarser grid")
     else:
         found = cell_table.join(labels, "geocode").join(neighbors.select("geocode", F.size("direct_neighbors").alias("degree")), "geocode")
         rows = found.select("geocode", "center.lng", "center.lat", "component", "degree").orderBy("geocode").collect()

@@ -1,10 +1,13 @@
 """Feature scaling and Bray-Curtis distances, kept in long form.
 
 Counts are sparse: a row is (row id, feature, value) and missing means zero.
-Medians and quartiles over all rows are read off the sorted non-zeros, and a
-distance starts from per-row sums, so neither a pivot nor a dense matrix is
-made. The pair table is n * (n - 1) / 2 rows for n cells, which a coarse grid
-keeps to thousands; MAX_ROWS guards it.
+Medians and quartiles over all rows are read off the sorted non-zeros. A zero
+becomes one and the same value in all rows of a feature, so a distance is made
+of sums by row and a correction for the features that both rows hold: neither a
+pivot nor a dense matrix is made, and the join is over non-zeros only. The pair
+table is n * (n - 1) / 2 rows for n cells, which a coarse grid keeps to
+thousands; MAX_ROWS guards it (5,000 cells are 12.5 million pairs and, in the
+kernels, a matrix of 200 MB).
 """
 
 from __future__ import annotations
@@ -13,13 +16,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_ROWS = 20_000
+MAX_ROWS = 5_000
 
 
 def dense(long: DataFrame, row: str, feature: str, value: str) -> DataFrame:
-    """All (row, feature) cells with zeros filled in; for the reduced tables only."""
+    """All (row, feature) cells with zeros filled in: the dense matrix itself, for those who ask for it."""
     rows, features = long.select(row).distinct(), long.select(feature).distinct()
-    return rows.crossJoin(F.broadcast(features)).join(long, [row, feature], "left").select(row, feature, F.coalesce(value, F.lit(0)).cast("double").alias(value))
+    return rows.crossJoin(features).join(long, [row, feature], "left").select(row, feature, F.coalesce(value, F.lit(0)).cast("double").alias(value))
 
 
 def implicit_percentiles(long: DataFrame, feature: str, value: str, n_rows: int | Column, shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
@@ -48,6 +51,37 @@ def scaled(long: DataFrame, row: str, feature: str, value: str) -> DataFrame:
     return full.join(stats, feature).select(row, feature, ((F.col(value) - F.col("_p")[1]) / F.when(spread == 0, 1.0).otherwise(spread)).alias(value))
 
 
+def scaled_nonzeros(long: DataFrame, row: str, feature: str, value: str, n_rows: int) -> DataFrame:
+    """(row, feature, x, z) of the non-zeros: the value and a zero, both robustly scaled over n rows."""
+    spread = F.col("p2") - F.col("p0")
+    stats = implicit_percentiles(long, feature, value, n_rows).select(feature, F.col("p1").alias("_m"), F.when(spread == 0, 1.0).otherwise(spread).alias("_w"))
+    own = long.where(F.col(value) > 0).join(stats, feature)
+    return own.select(row, feature, ((F.col(value) - F.col("_m")) / F.col("_w")).alias("x"), (-F.col("_m") / F.col("_w")).alias("z"))
+
+
+def sparse_bray_curtis(long: DataFrame, row: str, feature: str, value: str, rows: DataFrame, undefined: float | None = 1.0) -> DataFrame:
+    """(a < b, distance) of the scaled values of every two of ``rows``; ``long`` holds the non-zeros, none negative.
+
+    As bray_curtis(scaled(...)), by sums over non-zeros. With z the scaled zero,
+    a row against the zero row has D = sum |x - z| and S = sum |x + z| - |2z|;
+    features that two rows share correct D(a) + D(b) and S(a) + S(b).
+    """
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    own = scaled_nonzeros(long, row, feature, value, rows.count())
+    whole = own.groupBy(feature).agg(F.first("z").alias("z")).agg(F.coalesce(F.sum(F.abs(2 * z)), F.lit(0.0)).alias("_z"))
+    alone = rows.join(own.groupBy(row).agg(F.sum(F.abs(x - z)).alias("_d"), F.sum(F.abs(x + z) - F.abs(2 * z)).alias("_s")), row, "left").na.fill(0.0, ["_d", "_s"])
+    both = own.select(F.col(row).alias("a"), feature, "x", "z").join(own.select(F.col(row).alias("b"), feature, F.col("x").alias("y")), feature).where("a < b")
+    shared = both.groupBy("a", "b").agg(F.sum(F.abs(x - y) - F.abs(x - z) - F.abs(y - z)).alias("d"), F.sum(F.abs(x + y) - F.abs(x + z) - F.abs(y + z) + F.abs(2 * z)).alias("s"))
+    a, b = alone.select(F.col(row).alias("a"), F.col("_d").alias("da"), F.col("_s").alias("sa")), alone.select(F.col(row).alias("b"), F.col("_d").alias("db"), F.col("_s").alias("sb"))
+    # Every two rows are the result itself; the one-row table of zeros comes along.
+    pairs = a.join(b, F.col("a") < F.col("b")).join(shared, ["a", "b"], "left").crossJoin(whole)
+    d = F.col("da") + F.col("db") + F.coalesce("d", F.lit(0.0))
+    s = F.col("_z") + F.col("sa") + F.col("sb") + F.coalesce("s", F.lit(0.0))
+    # Sums that cancel leave a rest of rounding: distances are not negative, and equal rows are at 0.
+    rest = 1e-13 * (F.col("_z") + F.abs("sa") + F.abs("sb") + F.col("da") + F.col("db"))
+    return pairs.select("a", "b", F.when(s <= rest, F.lit(undefined)).when(d <= rest, 0.0).otherwise(d / s).alias("distance"))
+
+
 def bray_curtis(features: DataFrame, row: str, feature: str, value: str, undefined: float | None = 1.0) -> DataFrame:
     """(a < b, distance): sum |x - y| / sum |x + y| over features; ``undefined`` where that is no number."""
     a = features.select(F.col(row).alias("a"), F.col(feature).alias("f"), F.col(value).alias("x"))
@@ -62,11 +96,11 @@ def geocode_distances(counts: DataFrame, cell_index: DataFrame, reducer: str = "
     if n > MAX_ROWS:
         raise ValueError(f"{n} cells give too many pairs; use a coarser grid")
     long = counts.join(cell_index, "geocode").select("i", "taxonId", "count")
-    features = scaled(long, "i", "taxonId", "count")
     if reducer != "identity":
-        features = reduced(features, reducer, dims)
-        return bray_curtis(features, "i", "feature", "value").select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("distance").alias("d"))
-    return bray_curtis(features, "i", "taxonId", "count").select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("distance").alias("d"))
+        found = bray_curtis(reduced(scaled(long, "i", "taxonId", "count"), reducer, dims), "i", "feature", "value")
+    else:
+        found = sparse_bray_curtis(long, "i", "taxonId", "count", cell_index.select("i"))
+    return found.select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("distance").alias("d"))
 
 
 def reduced(features: DataFrame, reducer: str, dims: int | None = None) -> DataFrame:
@@ -125,9 +159,10 @@ def matrix(pairs: DataFrame, n: int) -> np.ndarray:
 def cluster_distances(statistics: DataFrame) -> DataFrame:
     """(a < b, distance) of clusters by their scaled average shares; one cluster is an error."""
     own = statistics.where(F.col("cluster").isNotNull()).select("cluster", "taxonId", "average")
-    if own.select("cluster").distinct().limit(2).count() < 2:
+    clusters = own.select("cluster").distinct()
+    if clusters.limit(2).count() < 2:
         raise ValueError("distances need two clusters")
-    return bray_curtis(scaled(own, "cluster", "taxonId", "average"), "cluster", "taxonId", "average")
+    return sparse_bray_curtis(own, "cluster", "taxonId", "average", clusters)
 
 
 def cluster_distance(distances: DataFrame, a: int, b: int) -> float:

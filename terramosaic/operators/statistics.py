@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terramosaic.functions.fisher import fisher_p
+from terramosaic.operators.cells import cut
 
 #: Fixed values.
 MAX_P, MIN_COUNT = 0.05, 5
@@ -66,8 +67,11 @@ def neighbor_totals(statistics: DataFrame, neighbors: DataFrame) -> DataFrame:
 def contingency(statistics: DataFrame, neighbors: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """Per (cluster, taxon) with enough individuals on both sides: counts, totals and the log2 ratio of shares.
 
-    Totals include taxa below the threshold; clusters without neighbours are skipped.
+    Totals include taxa below the threshold; clusters without neighbours are
+    skipped. The statistics are read four times, so they are cut off from what
+    made them first.
     """
+    statistics = cut(statistics)
     around = neighbor_totals(statistics, neighbors)
     own = statistics.where(F.col("cluster").isNotNull()).select("cluster", "taxonId", F.col("count").alias("cluster_count"))
     own_total, around_total = own.groupBy("cluster").agg(F.sum("cluster_count").alias("cluster_total")), around.groupBy("cluster").agg(F.sum("neighbor_count").alias("neighbor_total"))
@@ -109,6 +113,12 @@ def pseudo_f(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return size.crossJoin(sums).select("n", "groups", value.alias("test_statistic"))  # one row each
 
 
+def dense_codes(labels: np.ndarray) -> tuple[np.ndarray, int]:
+    """Labels numbered from 0 in their order, and how many there are."""
+    names, codes = np.unique(labels, return_inverse=True)
+    return codes, len(names)
+
+
 def permanova(square: np.ndarray, labels: np.ndarray, spark, permutations: int = PERMUTATIONS, seed: int = 0) -> DataFrame:
     """One row: method, pseudo-F and its permutation p (seeded; NaN for 0 permutations).
 
@@ -119,8 +129,7 @@ def permanova(square: np.ndarray, labels: np.ndarray, spark, permutations: int =
     n = len(square)
     if len(labels) != n:
         raise ValueError("labels and distances differ in length")
-    names, codes = np.unique(labels, return_inverse=True)
-    g = len(names)
+    codes, g = dense_codes(labels)
     if g < 2 or g == n:
         raise ValueError("the grouping needs at least two groups, and two rows in some group")
     d2 = square.astype(float) ** 2

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terramosaic import defaults
+from terramosaic import defaults, schemas
 from terramosaic.operators import boundary, cells, coloring, distances, export, metrics, statistics, taxa, ward
 from terramosaic.sources import darwin_core, images
 from terramosaic.sources.sinks import materialize, write_geojson, write_text
@@ -50,10 +51,10 @@ class Regions:
 
 def run(spark: SparkSession, source: str | DataFrame, settings: Settings | None = None, resolve=None) -> Regions:
     """Regions of a source (a path, or occurrence rows). Stages are written where later ones branch from them."""
-    s, t = settings or Settings(), {}
+    s, t, own = settings or Settings(), {}, uuid.uuid4().hex
 
     def keep(name: str, df: DataFrame) -> DataFrame:
-        t[name] = materialize(df, f"{name}-{id(t)}", s.stage_dir)
+        t[name] = materialize(schemas.check(df, name) if name in schemas.STAGES else df, f"{name}-{own}", s.stage_dir)
         return t[name]
 
     raw = darwin_core.scan(spark, source) if isinstance(source, str) else source

@@ -13,12 +13,13 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 
 from terramosaic import defaults
+from terramosaic.shipping import shared_folder
 
 logger = logging.getLogger(__name__)
 
 
-def stage_path(key: str, base: str | None = None) -> str:
-    return f"{(base or os.environ.get('DATA_DIR', 'tmp')).rstrip('/')}/stages/{hashlib.sha256(key.encode()).hexdigest()}.parquet"
+def stage_path(key: str, base: str) -> str:
+    return f"{base.rstrip('/')}/stages/{hashlib.sha256(key.encode()).hexdigest()}.parquet"
 
 
 def materialize(df: DataFrame, key: str, base: str | None = None) -> DataFrame:
@@ -28,8 +29,7 @@ def materialize(df: DataFrame, key: str, base: str | None = None) -> DataFrame:
     DATA_DIR, or the session's spark.checkpoint.dir. A plan must not read the
     stage that it overwrites.
     """
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    path = stage_path(key, base or os.environ.get("DATA_DIR") or shared)
+    path = stage_path(key, base or os.environ.get("DATA_DIR") or shared_folder(df.sparkSession))
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
