@@ -19,10 +19,10 @@ two sets is at most the sum of the smaller counts. The bound is exact, so
 nothing is lost, and most pairs that share a passage only are dropped by it.
 
 A large group of near copies would have a square of pairs. First each document
-is paired with the smallest holder of each of its prefix shingles only, and
-what is similar is merged to components; then pairs across components are
-tried. Pairs within a component need no try, so the components are those of
-all similar pairs.
+is paired with one other holder of each of its prefix shingles only (stars), and
+what is similar is merged to components; this is done again while it pays, and
+then pairs across components are tried. Pairs within a component need no try,
+so the components are those of all similar pairs.
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ THRESHOLD = 0.8
 MOST_COMMON, COUNTED = 400_000, 4 << 20
 #: Slots of a sketch, and of one of a set of LARGE shingles or more.
 SLOTS, MORE_SLOTS, LARGE = 64, 512, 1000
+#: The most rounds of stars before all pairs across components are tried, and stars a key in later rounds; decides the work, never the result.
+MOST_STARS, CENTRES = 4, 8
 #: Bits of the map of nodes whose texts are read again for verifying.
 MAP_BITS = 24
 
@@ -212,7 +214,7 @@ def similar_links(texts: DataFrame, size: int = SHINGLE, threshold: float = THRE
     survey = written(surveyed(texts, size), "survey")
     prints = survey.where("kind = 0").groupBy(F.col("x").alias("node")).agg(F.min("y").alias("fp"))
     smallest = prints.groupBy("fp").agg(F.min("node").alias("first"))
-    equal = prints.join(smallest, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    equal = prints.join(smallest, "fp").where("node <> first").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"))
     fuzzy = fuzzy_pairs(smallest.select("fp"))
     ends = [smallest.select(F.col("fp").alias(c), F.col("first").alias(f"n{c}")) for c in "ab"]
     fuzzy = fuzzy.join(ends[0], "a").join(ends[1], "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
@@ -223,35 +225,51 @@ def similar_links(texts: DataFrame, size: int = SHINGLE, threshold: float = THRE
     keyed = sets.select("node", "n", F.posexplode("keys").alias("at", "key"))
     # The rest behind the shingle, with itself, bounds what is in common.
     keyed = keyed.select("key", "node", "n", (F.col("n") - F.col("at")).alias("rest"))
-    holders = keyed.groupBy("key").agg(F.min(F.struct("node", "n", "rest")).alias("first"), F.count("*").alias("holders")).where("holders > 1")
-    shared = written(keyed.join(holders.hint("merge"), "key").select("key", "node", "n", "rest", "first"), "shared")
+    holders = keyed.groupBy("key").agg(F.count("*").alias("holders"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("mix")).where("holders > 1")
+    # Shingles of one passage stand in the same documents: only the first of them in the order is needed, whose rest is the largest.
+    shared = keyed.join(holders.hint("merge"), "key").select(F.xxhash64("holders", "low", "mix").alias("key"), "holders", "node", "n", "rest")
+    shared = written(shared.groupBy("key", "node").agg(F.min("n").alias("n"), F.max("rest").alias("rest"), F.max("holders").alias("holders")), "shared")
 
     def enough(n: str, rest: str, m: str, more: str) -> Column:
         size_ok = F.least(n, m) >= threshold * F.greatest(n, m) - 1e-6
         return size_ok & (F.least(rest, more) >= threshold / (1 + threshold) * (F.col(n) + F.col(m)) - 1e-6)
 
-    star = shared.where((F.col("node") != F.col("first.node")) & enough("n", "rest", "first.n", "first.rest"))
-    star = star.select(F.col("first.node").alias("a"), F.col("node").alias("b"))
-    tried = written(star.unionByName(equal).unionByName(fuzzy).distinct(), "star")
-    links = similar(tried, sized, texts, size, threshold)
-
-    roots = components(links)
-    named = written(shared.drop("first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
-    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    open_ = written(named.join(mixed, "key").select("key", "root", "node", "n", "rest"), "open")
-    remove_written(shared, named)
+    # Rounds of stars: under each key first the document that most others have something in common with, later
+    # several drawn by a hash, are paired with all those of other components. What is similar is merged, and the
+    # keys that still hold several components are looked at again; all pairs of components would be many more.
+    proposed, links, tried, open_ = equal.unionByName(fuzzy), None, None, shared.withColumn("root", F.col("node"))
+    for turn in range(MOST_STARS):
+        if turn:
+            drawn = [F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(k)).alias("o"), "node", "root", "n", "rest")) for k in range(CENTRES)]
+            centre = open_.groupBy("key").agg(F.array(*drawn).alias("c"))
+        else:
+            weighed = open_.join(open_.groupBy("node").agg(F.sum("holders").alias("weight")), "node")
+            centre = weighed.groupBy("key").agg(F.array(F.max(F.struct("weight", "node", "root", "n", "rest"))).alias("c"))
+        centre = centre.select("key", F.explode("c").alias("c")).select("key", F.col("c.node").alias("a"), F.col("c.root").alias("centre"), F.col("c.n").alias("m"), F.col("c.rest").alias("more"))
+        star = open_.join(centre, "key").where((F.col("root") != F.col("centre")) & enough("n", "rest", "m", "more"))
+        star = star.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        fresh = star.unionByName(proposed).distinct() if turn == 0 else star.distinct().join(tried, ["a", "b"], "left_anti")
+        fresh = written(fresh, "star")
+        found = similar(fresh, sized, texts, size, threshold)
+        links = found if links is None else written(links.unionByName(found), "links")
+        tried = fresh if tried is None else written(tried.unionByName(fresh), "tried")
+        named = written(shared.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+        mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        open_ = written(named.join(mixed, "key").select("key", "root", "node", "n", "rest", "holders"), "open")
+        if found.count() * 64 < open_.count():  # few merge any more
+            break
     # Bounds of each component's rows under a key first, so that components, not documents, are paired.
     groups = open_.groupBy("key", "root").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("rest").alias("r"))
     x, y = groups.toDF("key", "ra", "an0", "an1", "ar"), groups.toDF("key", "rb", "bn0", "bn1", "br")
     can = (F.col("an1") >= threshold * F.col("bn0") - 1e-6) & (F.col("bn1") >= threshold * F.col("an0") - 1e-6)
     can &= F.least("ar", "br") >= threshold / (1 + threshold) * (F.col("an0") + F.col("bn0")) - 1e-6
     apart = x.join(y, "key").where((F.col("ra") < F.col("rb")) & can).select("key", "ra", "rb")
-    left = open_.toDF("key", "ra", "a", "n", "rest")
-    right = open_.toDF("key", "rb", "b", "m", "more")
+    left = open_.select("key", F.col("root").alias("ra"), F.col("node").alias("a"), "n", "rest")
+    right = open_.select("key", F.col("root").alias("rb"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("rest").alias("more"))
     across = apart.join(left, ["key", "ra"]).join(right, ["key", "rb"]).where(enough("n", "rest", "m", "more"))
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = similar(across, sized, texts, size, threshold)
-    remove_written(survey, sets, tried, open_)
+    remove_written(survey, sets, shared, open_)
     return links.unionByName(more)
 
 
