@@ -38,10 +38,12 @@ from terramosaic.llm.common import utf8
 #: Kinds of the base patterns, and all kinds in order.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
-WINDOW, STRIDE = 128, 96
+WINDOW, STRIDE = 192, 160
 HIDDEN = 12
+#: Characters of a training window.
+TRAINED = 96
 #: Windows of one numpy pass, and characters that are decoded together.
-BATCH, PIECE = 2048, 1 << 19
+BATCH, PIECE = 1024, 1 << 19
 #: Characters of a block of the decode, in which a cut is looked for, and by which a cut must be settled.
 BLOCK, CHOICE, LOOK = 448, 32, 48
 #: Tags: 0 outside, 1 + k inside a span of kind k. Spans of one kind that touch are one.
@@ -179,6 +181,33 @@ class Direction:
                 tape.append((before_h, before_c, i.copy(), f.copy(), o.copy(), g.copy(), tc))
         return out, tape
 
+    def scan(self, ids: np.ndarray) -> np.ndarray:
+        """As forward(), shape (steps, HIDDEN, windows): the layout in which long scans are fastest."""
+        n, steps = ids.shape
+        h, c, out = np.zeros((HIDDEN, n), np.float32), np.zeros((HIDDEN, n), np.float32), np.empty((steps, HIDDEN, n), np.float32)
+        z, size, from_h = (np.empty((4 * HIDDEN, n), np.float32) for _ in range(3))
+        x, weights = np.ascontiguousarray(self.p["x"].T), np.ascontiguousarray(self.p["h"].T)
+        half, one, columns = np.float32(0.5), np.float32(1), np.ascontiguousarray(ids.T).astype(np.intp)
+        for t in range(steps):
+            np.take(x, columns[t], axis=1, out=z, mode="clip")
+            np.matmul(weights, h, out=from_h)
+            z += from_h
+            np.abs(z, out=size)
+            size += one
+            z /= size
+            gates, g = z[: 3 * HIDDEN], z[3 * HIDDEN :]
+            gates *= half
+            gates += half
+            c *= gates[HIDDEN : 2 * HIDDEN]
+            g *= gates[:HIDDEN]
+            c += g
+            h = out[t]
+            np.abs(c, out=h)
+            h += one
+            np.divide(c, h, out=h)
+            h *= gates[2 * HIDDEN :]
+        return out
+
     def backward(self, ids: np.ndarray, tape: list, grad: np.ndarray) -> dict[str, np.ndarray]:
         out = {k: np.zeros_like(v) for k, v in self.p.items()}
         dh, dc = np.zeros_like(grad[0]), np.zeros_like(grad[0])
@@ -208,8 +237,9 @@ class Tagger:
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
         """Tag scores of windows, shape (windows, characters, tags)."""
-        h, _, _ = self.states(ids)
-        return (h @ self.p["out"] + self.p["bias"]).transpose(1, 0, 2)
+        left, right = self.left.scan(ids), self.right.scan(ids[:, ::-1])[::-1]
+        ahead, behind = (np.ascontiguousarray(w.T) for w in (self.p["out"][:HIDDEN], self.p["out"][HIDDEN:]))
+        return (ahead @ left + behind @ right + self.p["bias"][:, None]).transpose(2, 0, 1)
 
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, list[dict[str, np.ndarray]]]:
         """Mean negative log likelihood and its gradients, by the forward-backward algorithm."""
@@ -334,13 +364,13 @@ def windows_of(length: int, window: int = WINDOW, stride: int = STRIDE) -> range
 
 
 def training_windows(examples: list[tuple[str, list[tuple[int, int, int]]]]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of half the size that a scan has, with their tags."""
-    ids, tags, size = [], [], WINDOW // 2
+    """Windows of TRAINED characters, with their tags."""
+    ids, tags, size = [], [], TRAINED
     for text, spans in examples:
         own, tag = classes(text), np.zeros(len(text) + size, np.int64)
         for a, b, k in spans:
             tag[a:b] = 1 + k
-        for at in windows_of(len(text), size, STRIDE // 2):
+        for at in windows_of(len(text), size, 3 * size // 4):
             ids.append(padded(own[at : at + size], size))
             tags.append(tag[at : at + size])
     return np.array(ids), np.array(tags)
@@ -370,31 +400,23 @@ def edge_weights() -> np.ndarray:
 
 def emissions_of(tagger: Tagger, pieces: list[tuple[np.ndarray, int, int]]) -> np.ndarray:
     """Tag scores of the characters low..high of some texts (classes, low, high), one after the other: window scores, averaged."""
-    rows, target, odd, size = [], [], [], 0
+    rows, target, size = [], [], 0
     for own, low, high in pieces:
         last = windows_of(len(own))[-1]
-        first = max(0, (low - WINDOW) // STRIDE + 1)
-        for number in range(first, max(first, min(last, high - 1) // STRIDE) + 1):
-            at = number * STRIDE
+        for at in range(max(0, (low - WINDOW) // STRIDE + 1) * STRIDE, min(last, high - 1) + 1, STRIDE):
             window = own[at : at + WINDOW]
-            rows.append(padded(window, WINDOW))
-            target.append((size + at - low, size, size + high - low))
-            odd.append(number % 2)
+            rows.append(padded(window, WINDOW) if len(window) < WINDOW else window)
+            first, end = max(at, low), min(at + WINDOW, high)
+            target.append((first - at, end - at, size + first - low))
         size += high - low
-    score, total = np.zeros((size, TAGS), np.float32), np.zeros(size, np.float32)
-    weight, step = edge_weights(), np.arange(WINDOW)
-    order = np.argsort(odd, kind="stable")  # windows of one parity do not overlap
-    cut = int(np.searchsorted(np.array(odd)[order], 1))
-    for low, high in ((0, cut), (cut, len(order))):
-        for a in range(low, high, BATCH):
-            pick = order[a : min(high, a + BATCH)]
-            emit = tagger.emissions(np.stack([rows[k] for k in pick]))
-            spot = np.array([target[k] for k in pick])
-            place = spot[:, :1] + step
-            inside = (place >= spot[:, 1:2]) & (place < spot[:, 2:])
-            score[place[inside]] += (emit * weight[None, :, None])[inside]
-            total[place[inside]] += np.broadcast_to(weight, place.shape)[inside]
-    return score / np.maximum(total, 1e-9)[:, None]
+    score, total, weight = np.zeros((size, TAGS), np.float32), np.zeros(size, np.float32), edge_weights()
+    for a in range(0, len(rows), BATCH):
+        emit = np.ascontiguousarray(tagger.emissions(np.stack(rows[a : a + BATCH])) * weight[None, :, None])
+        for own, (x, y, spot) in zip(emit, target[a : a + BATCH], strict=True):
+            score[spot : spot + y - x] += own[x:y]
+            total[spot : spot + y - x] += weight[x:y]
+    score /= np.maximum(total, 1e-9)[:, None]
+    return score
 
 
 def blocks_in(score: np.ndarray, low: int, high: int, final: bool, closed: set[int]) -> list[int]:
@@ -417,34 +439,39 @@ def best_paths(tagger: Tagger, score: np.ndarray, rows: list[tuple[int, int, int
     ends there freely, any other must be outside at its cut, and is read on to its end.
     """
     start, cut, end = (np.array([r[k] for r in rows]) for k in range(3))
-    begins, free = np.array([r[3] for r in rows]), cut == end
-    move = tagger.p["move"].astype(np.float32)
+    begins, free, move = np.array([r[3] for r in rows]), cut == end, tagger.p["move"].astype(np.float32)
     length, n = end - start, len(rows)
     steps, shortest = int(length.max()), int(length.min())
-    back = np.zeros((steps, n, TAGS), np.int8)
-    outside = np.full(TAGS, -1e9, np.float32)
+    outside = np.full((TAGS, 1), -1e9, np.float32)
     outside[0] = 0
-    value = score[start] + np.where(begins[:, None], np.float32(0), outside)
+    value = np.empty((steps, TAGS, n), np.float32)  # best score of each tag at each step
+    value[0] = score[start].T + np.where(begins, np.float32(0), outside)
+    option, stays = np.empty((TAGS, n), np.float32), np.empty((steps, n), bool)  # stays: outside comes from outside
+    columns, to = np.ascontiguousarray(score.T), [m[:, None] for m in move]
     for t in range(1, steps):
-        best, pick = value[:, :1] + move[0], np.zeros((n, TAGS), np.int8)
+        best, before = value[t], value[t - 1]
+        np.add(before[0], to[0], out=best)
+        alone = best[0].copy()
         for tag in range(1, TAGS):
-            option = value[:, tag : tag + 1] + move[tag]
-            better = option > best
-            pick[better] = tag
+            np.add(before[tag], to[tag], out=option)
             np.maximum(best, option, out=best)
-        back[t] = pick
-        best += score[np.minimum(start + t, end - 1)]
-        value = best if t < shortest else np.where((t < length)[:, None], best, value)
+        np.equal(best[0], alone, out=stays[t])
+        best += columns.take(start + t, axis=1, mode="clip")
+        if t >= shortest:
+            best[:, t >= length] = before[:, t >= length]
     every, spot = np.arange(n), np.where(free, length - 1, cut - start)
-    survivor = np.broadcast_to(np.arange(TAGS, dtype=np.int8), (n, TAGS)).copy()
-    path = np.zeros((n, steps), np.int8)
-    path[every, spot] = np.where(free, value.argmax(axis=1), 0)
+    survivor = np.broadcast_to(np.arange(TAGS), (n, TAGS)).copy()
+    path, first_spot = np.zeros((steps, n), np.int8), int(spot.min())
+    path[spot, every] = np.where(free, value[steps - 1].argmax(axis=0), 0)
     for t in range(steps - 1, 0, -1):
-        beyond = (t < length) & (t > spot)
-        if beyond.any():
-            survivor[beyond] = np.take_along_axis(back[t][beyond], survivor[beyond].astype(np.int64), axis=1)
-        inner = np.flatnonzero(t <= spot)
-        path[inner, t - 1] = back[t, inner, path[inner, t]]
+        beyond = np.flatnonzero((t < length) & (t > spot))
+        if len(beyond):
+            came = (value[t - 1][:, beyond].T[:, None, :] + move.T[None]).argmax(axis=2)  # (row, to)
+            survivor[beyond] = np.take_along_axis(came, survivor[beyond], axis=1)
+        moved = np.flatnonzero((path[t] != 0) | ~stays[t] if t <= first_spot else ((path[t] != 0) | ~stays[t]) & (t <= spot))
+        if len(moved):  # all others were outside before as well
+            path[t - 1, moved] = (value[t - 1][:, moved] + move[:, path[t, moved]]).argmax(axis=0)
+    path = path.T
     return path, free | (survivor == 0).all(axis=1)
 
 
