@@ -6,10 +6,13 @@ The encoder walks a match of the split pattern left to right with the longest
 token that the automaton finds at the current byte, or the next shorter token
 that this one starts with, until it is compatible with the token before it: two
 tokens are compatible if merging their joined bytes gives just
-these two. A sequence whose neighbours are all compatible is the sequence that
+these two. That is seen at the seam: merges go by rank, so the parts that touch
+there grow step by step into the two tokens, and the tokens are compatible if
+no pair of parts across the seam merges before one of them is used up. A sequence whose neighbours are all compatible is the sequence that
 the merges produce, so the walk backtracks only where no token fits, and marks
 such byte positions as dead; no position is expanded twice. Compatibility is
-memoised by token pair.
+memoised by token pair. The automaton is asked at a byte for the longest token
+in the bytes that a token can span, so the time is linear in a piece's length.
 
 Whole texts are encoded. A text is first cut at single spaces between words (a
 cut the split pattern always makes itself), which lets the encoder look a word
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -51,6 +55,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class ByteBPE:
     """Encoder and decoder for one rank file."""
 
@@ -65,33 +74,72 @@ class ByteBPE:
         self.length = [len(raw) for raw in self.bytes_of]
         #: For each token the next shorter token that it starts with, or -1.
         self.shorter = [next((ranks[raw[:k]] for k in range(len(raw) - 1, 0, -1) if raw[:k] in ranks), -1) for raw in self.bytes_of]
+        self.width = max(self.length)
+        #: For each token the parts at its left and right edge, from a byte up to itself; None if its merges do not give it.
+        self.edges: dict[int, tuple[list[int], list[int]] | None] = {}
         self.split = regex.compile(pattern).findall
         self.compatible: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def merged(self, raw: bytes) -> list[int]:
-        """The merges by definition: lowest rank first, leftmost among equals. Only for token pairs."""
+    def merged(self, raw: bytes, below: float = float("inf")) -> list[int]:
+        """The merges by definition, of ranks under ``below``: lowest rank first, leftmost among equals. For short strings."""
         parts, ranks = [raw[i : i + 1] for i in range(len(raw))], self.ranks
         while len(parts) > 1:
-            best, at = None, -1
+            best, at = below, -1
             for i in range(len(parts) - 1):
                 r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
+                if r is not None and r < best:
                     best, at = r, i
-            if best is None:
+            if at < 0:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ranks[p] for p in parts]
 
+    def edges_of(self, token: int) -> tuple[list[int], list[int]] | None:
+        """Parts at the left and at the right edge of a token; None unless every part has a lower rank than what it is merged to."""
+        if token in self.edges:
+            return self.edges[token]
+        found = None
+        if self.length[token] == 1:
+            found = ([token], [token])
+        else:
+            parts = self.merged(self.bytes_of[token], token)
+            if len(parts) == 2 and max(parts) < token and (left := self.edges_of(parts[0])) and (right := self.edges_of(parts[1])):
+                found = ([*left[0], token], [*right[1], token])
+        self.edges[token] = found
+        return found
+
+    def seam_holds(self, left: int, right: int) -> bool:
+        """Whether merging the joined bytes of two tokens gives just these two."""
+        own, other = self.edges_of(left), self.edges_of(right)
+        if own is None or other is None:
+            return self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+        a_parts, b_parts, ranks, bytes_of = own[1], other[0], self.ranks, self.bytes_of
+        i = j = 0
+        while True:
+            a, b = a_parts[i], b_parts[j]
+            a_next = a_parts[i + 1] if i + 1 < len(a_parts) else None
+            b_next = b_parts[j + 1] if j + 1 < len(b_parts) else None
+            across = ranks.get(bytes_of[a] + bytes_of[b])
+            if across is not None:
+                # Of equal ranks the leftmost goes first: a merge in the left token before the seam, the seam before one in the right.
+                if (a_next is None or across < a_next) and (b_next is None or across <= b_next):
+                    return False
+            if a_next is None and b_next is None:
+                return True
+            if b_next is None or (a_next is not None and a_next <= b_next):
+                i += 1
+            else:
+                j += 1
+
     def fits(self, left: int, right: int) -> bool:
         key = (left, right)
         known = self.compatible.get(key)
         if known is None:
             if len(self.compatible) >= MEMO_PAIRS:
                 self.compatible.clear()
-            known = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            self.compatible[key] = known
+            known = self.compatible[key] = self.seam_holds(left, right)
         return known
 
     def encode_piece(self, raw: bytes) -> list[int]:
@@ -99,12 +147,21 @@ class ByteBPE:
         whole = self.ranks.get(raw)
         if whole is not None:
             return [whole]
-        text, n = raw.decode("latin-1"), len(raw)
+        text, n, width = raw.decode("latin-1"), len(raw), self.width
         longest, length, shorter, compatible = self.automaton.iter_long, self.length, self.shorter, self.compatible
+        # One pass of the automaton gives the walk that never has to go back; mostly that is all.
+        path = [token for _, token in longest(text)]
+        last = -1
+        for token in path:
+            if last >= 0 and not (compatible[last, token] if (last, token) in compatible else self.fits(last, token)):
+                break
+            last = token
+        else:
+            return path
         dead: set[int] = set()
-        path: list[int] = []
+        path = []
         at, last = 0, -1
-        token = next(longest(text))[1]
+        token = next(longest(text[:width]))[1]
         while True:
             end = at + length[token]
             if end not in dead and (last < 0 or (compatible[last, token] if (last, token) in compatible else self.fits(last, token))):
@@ -112,7 +169,7 @@ class ByteBPE:
                 if end == n:
                     return path
                 at, last = end, token
-                token = next(longest(text, at))[1]
+                token = next(longest(text[at : at + width]))[1]
                 continue
             token = shorter[token]
             while token < 0:  # no token fits here: this position is dead, shorten the one before
@@ -127,7 +184,7 @@ class ByteBPE:
     def piece(self, text: str) -> bytes:
         ids = self.pieces.get(text)
         if ids is None:
-            ids = np.array(self.encode_piece(text.encode()), "<u4").tobytes()
+            ids = packed(self.encode_piece(text.encode()))
             if len(text) <= MEMO_LEN:
                 if len(self.pieces) >= MEMO_PIECES:
                     self.pieces.clear()

@@ -45,6 +45,45 @@ def test_byte_bpe_is_exact_on_very_long_pieces(reference, text):
     assert np.frombuffer(codec.encode(text), "<u4").tolist() == reference.encode_ordinary(text)
 
 
+def test_seams_agree_with_the_merges():
+    codec = byte_bpe.codec(byte_bpe.default_vocab(), byte_bpe.default_pattern())
+    rnd, tokens = random.Random(6), sorted(codec.ranks.values())
+    for _ in range(20_000):
+        left, right = rnd.choice(tokens), rnd.choice(tokens[: rnd.choice([300, 5000, len(tokens)])])
+        assert codec.seam_holds(left, right) == (codec.merged(codec.bytes_of[left] + codec.bytes_of[right]) == [left, right]), (left, right)
+    twins = [codec.ranks[c * 2] for c in (b"a", b" ", b"-", b"=") if c * 2 in codec.ranks]
+    for left in twins:
+        for right in tokens[:2000]:
+            assert codec.seam_holds(left, right) == (codec.merged(codec.bytes_of[left] + codec.bytes_of[right]) == [left, right])
+
+
+def test_irregular_ranks():
+    """A vocabulary in which a part has a higher rank than what it is merged to."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"ab": 257, b"bc": 258, b"cab": 259}
+    codec = byte_bpe.ByteBPE(ranks, r"[a-z]+")
+    for n in range(1, 7):
+        for k in range(3**n):
+            text = "".join("abc"[k // 3**i % 3] for i in range(n))
+            whole = codec.ranks.get(text.encode())
+            assert np.frombuffer(codec.encode(text), "<u4").tolist() == ([whole] if whole is not None else codec.merged(text.encode())), text
+
+
+@pytest.mark.parametrize("unit", ["é", "a", "ab", "xyzzy"])
+def test_byte_bpe_is_linear(unit):
+    import time
+
+    codec = byte_bpe.codec(byte_bpe.default_vocab(), byte_bpe.default_pattern())
+    took = []
+    for n in (100_000, 1_000_000):
+        raw = (unit * n).encode()[:n]
+        raw = raw if len(unit.encode()) == len(unit) else raw[: n // 2 * 2]
+        began = time.process_time()
+        ids = codec.encode_piece(raw)
+        took.append(time.process_time() - began)
+        assert b"".join(codec.bytes_of[i] for i in ids) == raw
+    assert took[1] < 25 * took[0] + 1
+
+
 def test_byte_bpe_documents(reference, odd_documents, no_documents):
     rows = byte_bpe.encode_documents(odd_documents).collect()
     want = sorted((r["doc_id"] or -1, hashlib.sha256(np.array(reference.encode_ordinary(r["text"] or ""), "<u4").tobytes()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in odd_documents.collect())
