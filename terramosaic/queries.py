@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -12,7 +13,7 @@ from terramosaic import standin as d
 from terramosaic.functions import colors, grid, wkb
 from terramosaic.functions.fisher import fisher_p
 from terramosaic.operators import boundary, cells, coloring, distances, export, metrics, occurrences, plot_data, statistics, taxa, ward
-from terramosaic.shipping import ship
+from terramosaic.shipping import shared_folder, ship
 from terramosaic.sources import darwin_core, images
 from terramosaic.standin import BOX, RES, sql
 
@@ -56,8 +57,10 @@ def s5_column_rename(spark, sf):
 
 @query('SELECT CAST(p_size AS BIGINT) AS "taxonKey", count(*) AS n FROM part GROUP BY 1')
 def s6_taxon_key_cast(spark, sf):
-    rows = d.read(spark, sf, "part").select(F.col("p_size").cast("string").alias("taxonKey"))
-    return rows.select(F.col("taxonKey").cast("bigint").alias("taxonKey")).groupBy("taxonKey").agg(F.count("*").alias("n"))
+    """A snapshot in which the key is text and its name in lower case, scanned."""
+    path = shared(spark, "snapshot")
+    d.read(spark, sf, "part").select(F.col("p_size").cast("string").alias("taxonkey")).write.parquet(path)
+    return darwin_core.scan(spark, path).groupBy("taxonKey").agg(F.count("*").alias("n"))
 
 
 @query("SELECT n_nationkey, 'WGS84' AS datum FROM nation")
@@ -74,11 +77,7 @@ def s2_s3_archive_scan(spark, sf):
 
 def shared(spark: SparkSession, stem: str) -> str:
     """A fresh path in the folder that driver and executors share."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{stem}-{uuid.uuid4().hex}"
 
 
 def archive(spark: SparkSession, rows: DataFrame) -> str:
@@ -97,15 +96,33 @@ def s9_stage_materialization(spark, sf):
     return materialize(d.read(spark, sf, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n")), "nations", shared(spark, "stages"))
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS \"taxonId\", CASE WHEN n_nationkey % 3 = 0 THEN 'https://example.org/' || n_nationkey END AS image_url FROM nation WHERE n_nationkey < 20")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS \"taxonId\", CASE WHEN n_nationkey % 3 = 0 THEN 'https://example.org/' || n_nationkey END AS image_url FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name <> 'ASIA')")
 def s13_x5_images(spark, sf):
-    nations = d.read(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("taxonId"))
-    taxonomy = nations.where("taxonId < 20").select("taxonId", (F.col("taxonId") + 100).alias("gbifTaxonId"))
+    """Images of taxa; those that the taxonomy does not have are left out."""
+    return nation_images(spark, sf)
+
+
+def nation_images(spark, sf) -> DataFrame:
+    nations = d.read(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("taxonId"), F.col("n_regionkey").alias("r_regionkey"))
+    taxonomy = nations.join(d.read(spark, sf, "region").where("r_name <> 'ASIA'"), "r_regionkey").select("taxonId", (F.col("taxonId") + 100).alias("gbifTaxonId"))
     links = nations.where("taxonId % 3 = 0").select((F.col("taxonId") + 100).alias("gbifTaxonId"), F.concat(F.lit("https://example.org/"), "taxonId").alias("image_url"))
     return images.significant_taxa_images(nations, taxonomy, images.from_table(links))
 
 
-@query(sql("innercells", f"SELECT geocode, round({grid.center_sql('geocode', RES)[0]}, 6) AS lng, round({grid.center_sql('geocode', RES)[1]}, 6) AS lat FROM innercells"))
+@query("SELECT CAST(n_nationkey AS BIGINT) AS \"taxonId\", 'https://example.org/' || n_nationkey AS image_url FROM nation WHERE n_nationkey % 3 = 0 AND n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name <> 'ASIA')")
+def p12_with_images(spark, sf):
+    return export.with_images(nation_images(spark, sf))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS geocode, CAST(n_regionkey AS INT) AS cluster FROM nation")
+def p13_cluster_of(spark, sf):
+    """The cluster of each cell, looked up one by one."""
+    clusters = cells.cut(d.site_clusters(spark, sf))
+    geocodes = [r["geocode"] for r in clusters.select("geocode").collect()]
+    return spark.createDataFrame([(g, statistics.cluster_of(clusters, g)) for g in geocodes], "geocode bigint, cluster int")
+
+
+@query(sql("innercells center", "SELECT geocode, round(lng, 6) + 0e0 AS lng, round(lat, 6) + 0e0 AS lat FROM center WHERE geocode IN (SELECT geocode FROM innercells)"))
 def s14_f20_wkb_round_trip(spark, sf):
     """Centres encoded as WKB and read back as GeoJSON."""
     raw = d.inner_cells(spark, sf).select("geocode", wkb.point_wkb("center.lng", "center.lat").alias("w"))
@@ -163,11 +180,6 @@ def p9_p10_f1_geocode(spark, sf):
     return occurrences.with_geocode(occurrences.in_box(d.occurrences(spark, sf), BOX), RES).groupBy("geocode").agg(F.count("*").alias("n"))
 
 
-@query(sql("site", "SELECT geocode, count FROM site WHERE taxonId = 3"))
-def p12_p13_lookup(spark, sf):
-    return d.sites(spark, sf).where("taxonId = 3").select("geocode", "count")
-
-
 # ---- joins and aggregates ----------------------------------------------------
 
 
@@ -197,9 +209,10 @@ def j5_cells_with_counts(spark, sf):
     return cells.with_counts(d.inner_cells(spark, sf), d.counts(spark, sf)).select("geocode")
 
 
-@query(sql("site", "SELECT geocode, CAST(sum(count) AS BIGINT) AS n FROM site WHERE taxonId < 10 GROUP BY 1"))
+@query(sql("site brands clus", ", known AS (SELECT * FROM site WHERE taxonId IN (SELECT taxonId FROM brands WHERE scientificName LIKE '%3')) SELECT cluster, taxonId AS \"taxonId\", CAST(sum(count) AS BIGINT) AS count FROM (SELECT NULL::INT AS cluster, taxonId, count FROM known UNION ALL SELECT cluster, taxonId, count FROM known JOIN clus USING (geocode)) GROUP BY 1, 2"))
 def j6_known_taxa(spark, sf):
-    return d.sites(spark, sf).join(d.brands(spark, sf).where("taxonId < 10").select("taxonId"), "taxonId", "left_semi").groupBy("geocode").agg(F.sum("count").alias("n"))
+    """Statistics under a taxonomy that lacks most taxa: their counts are left out."""
+    return statistics.cluster_taxa_statistics(d.sites(spark, sf), d.site_clusters(spark, sf), d.brands(spark, sf).where("scientificName LIKE '%3'")).select("cluster", "taxonId", "count")
 
 
 @query(sql("site clus", "SELECT cluster, CAST(sum(count) AS BIGINT) AS n FROM site JOIN clus USING (geocode) GROUP BY 1"))
@@ -207,11 +220,13 @@ def j7_counts_by_cluster(spark, sf):
     return d.sites(spark, sf).join(F.broadcast(d.site_clusters(spark, sf)), "geocode").groupBy("cluster").agg(F.sum("count").alias("n"))
 
 
-@query(sql("clus site", "SELECT clus.geocode, clus.geocode IN (SELECT geocode FROM site WHERE taxonId = 3) AS has FROM clus"))
+@query(sql("clus site", "SELECT geocode, geocode IN (SELECT geocode FROM site) AS has FROM (SELECT geocode FROM clus UNION ALL SELECT 100 + r_regionkey FROM region)"))
 def j13_u5_semi_anti(spark, sf):
-    one = d.sites(spark, sf).where("taxonId = 3")
-    have = d.site_clusters(spark, sf).join(one, "geocode", "left_semi").select("geocode", F.lit(True).alias("has"))
-    return have.union(plot_data.cells_without_counts(d.site_clusters(spark, sf), one).select("geocode", F.lit(False)))
+    """Cells with and without counts; the regions stand for cells in which nothing was seen."""
+    some = d.site_clusters(spark, sf).unionByName(d.read(spark, sf, "region").select((F.col("r_regionkey") + 100).cast("bigint").alias("geocode"), F.lit(0).alias("cluster")))
+    counts = d.sites(spark, sf)
+    have = cells.with_counts(some, counts).select("geocode", F.lit(True).alias("has"))
+    return have.union(plot_data.cells_without_counts(some, counts).select("geocode", F.lit(False)))
 
 
 @query(sql("cont brands", 'SELECT cluster, "taxonId", "scientificName" FROM cont LEFT JOIN brands USING ("taxonId")'))
@@ -261,9 +276,9 @@ def a10_members(spark, sf):
     return statistics.members(d.site_clusters(spark, sf)).select("cluster", F.array_join("geocodes", ",").alias("geocodes"))
 
 
-@query(sql("clus", "SELECT count(DISTINCT cluster) AS n, max(cluster) AS last FROM clus"))
+@query(sql("clus", "SELECT max(cluster) AS last FROM clus"))
 def a13_cluster_labels(spark, sf):
-    return d.site_clusters(spark, sf).agg(F.countDistinct("cluster").alias("n"), F.max("cluster").alias("last"))
+    return spark.createDataFrame([(statistics.last_label(d.site_clusters(spark, sf)),)], "last int")
 
 
 @query(sql("quart", 'SELECT "taxonId", round(q1, 6) AS q1, round(q2, 6) AS q2, round(q3, 6) AS q3 FROM quart'))
@@ -273,15 +288,16 @@ def a12_percentiles(spark, sf):
     return rounded(found.select("taxonId", F.col("p0").alias("q1"), F.col("p1").alias("q2"), F.col("p2").alias("q3")), "q1", "q2", "q3")
 
 
-@query(sql("allcells", f"SELECT round(min(x), 6) AS west, round(max(x), 6) AS east, round(min(y), 6) AS south, round(max(y), 6) AS north FROM (SELECT unnest([{', '.join(x for x, _ in grid.corners_sql('geocode', RES))}]) AS x, unnest([{', '.join(y for _, y in grid.corners_sql('geocode', RES))}]) AS y FROM allcells)"))
+@query(sql("corner", "SELECT round(min(x), 6) AS west, round(max(x), 6) AS east, round(min(y), 6) AS south, round(max(y), 6) AS north FROM corner"))
 def a14_envelope(spark, sf):
     return rounded(export.envelope(d.cell_table(spark, sf)), "west", "east", "south", "north")
 
 
-@query(sql("filled idx", 'SELECT geocode, max(CASE WHEN "taxonId" = 0 THEN v END) AS t0, max(CASE WHEN "taxonId" = 1 THEN v END) AS t1, max(CASE WHEN "taxonId" = 2 THEN v END) AS t2 FROM filled JOIN idx USING (i) GROUP BY 1'))
+@query(sql("filled idx", f"SELECT geocode, {', '.join(f'max(CASE WHEN taxonId = {k} THEN v END) AS t{k}' for k in range(25))} FROM filled JOIN idx USING (i) GROUP BY 1"))
 def a15_f19_pivot(spark, sf):
-    full = distances.dense(d.sites(spark, sf), "geocode", "taxonId", "count").where("taxonId < 3")
-    return full.groupBy("geocode").pivot("taxonId", [0, 1, 2]).agg(F.first("count")).toDF("geocode", "t0", "t1", "t2")
+    """The dense matrix of sites and brands (25 brands at every scale)."""
+    full = distances.dense(d.sites(spark, sf), "geocode", "taxonId", "count")
+    return full.groupBy("geocode").pivot("taxonId", list(range(25))).agg(F.first("count")).toDF("geocode", *(f"t{k}" for k in range(25)))
 
 
 # ---- windows, sorts ----------------------------------------------------------
@@ -302,9 +318,12 @@ def v10_w4_differences(spark, sf):
     return rounded(metrics.differences(metrics.inertia(d.site_pairs(spark, sf), d.site_labels(spark, sf))).select("num_clusters", "delta"), "delta")
 
 
-@query(sql("clus", "SELECT geocode, CAST(dense_rank() OVER (ORDER BY cluster DESC) - 1 AS INT) AS label FROM clus"))
+@query(sql("clus", "SELECT geocode, CAST(dense_rank() OVER (ORDER BY 3 * cluster % 7) - 1 AS INT) AS label FROM clus"))
 def w5_dense_labels(spark, sf):
-    return d.site_clusters(spark, sf).select("geocode", (F.dense_rank().over(Window.orderBy(F.desc("cluster"))) - 1).cast("int").alias("label"))
+    """Labels with gaps (0, 3, 6, 2, 5), numbered from 0 as the permutation test does."""
+    rows = d.site_clusters(spark, sf).select("geocode", (3 * F.col("cluster") % 7).alias("label")).collect()
+    codes, _ = statistics.dense_codes(np.array([r["label"] for r in rows]))
+    return spark.createDataFrame(list(zip([r["geocode"] for r in rows], codes.tolist(), strict=True)), "geocode bigint, label int")
 
 
 @query(sql("idx", "SELECT geocode, i FROM idx"))
@@ -331,12 +350,12 @@ def t7_t8_sorted_taxa(spark, sf):
 # ---- functions ---------------------------------------------------------------
 
 
-@query(sql("allcells", f"SELECT geocode, round({grid.center_sql('geocode', RES)[0]}, 6) AS lng, round({grid.center_sql('geocode', RES)[1]}, 6) AS lat FROM allcells"))
+@query(sql("center", "SELECT geocode, round(lng, 6) + 0e0 AS lng, round(lat, 6) + 0e0 AS lat FROM center"))
 def f2_center(spark, sf):
     return rounded(d.cell_table(spark, sf).select("geocode", "center.lng", "center.lat"), "lng", "lat")
 
 
-@query(sql("allcells", f"SELECT geocode, k, round(x, 6) AS lng, round(y, 6) AS lat FROM (SELECT geocode, unnest(range(0, 7)) AS k, unnest([{', '.join(x for x, _ in (*grid.corners_sql('geocode', RES), grid.corners_sql('geocode', RES)[0]))}]) AS x, unnest([{', '.join(y for _, y in (*grid.corners_sql('geocode', RES), grid.corners_sql('geocode', RES)[0]))}]) AS y FROM allcells)"))
+@query(sql("corner", "SELECT geocode, k, round(x, 6) AS lng, round(y, 6) AS lat FROM corner"))
 def f3_boundary(spark, sf):
     points = d.cell_table(spark, sf).select("geocode", F.posexplode("boundary").alias("k", "p"))
     return rounded(points.select("geocode", F.col("k").cast("bigint").alias("k"), F.col("p.lng").alias("lng"), F.col("p.lat").alias("lat")), "lng", "lat")
@@ -395,13 +414,45 @@ def g6_edges(spark, sf):
     return cells.edges(cells.adjacency(d.cell_table(spark, sf)), "direct_neighbors").agg(F.count("*").alias("edges"))
 
 
-@query("SELECT CAST(1 AS BIGINT) AS components")
+def scattered(spark, sf) -> DataFrame:
+    """Three groups of cells that do not touch."""
+    return d.cell_table(spark, sf).where("center.lat < 31 OR center.lat > 41 OR (center.lat BETWEEN 35 AND 37 AND center.lng BETWEEN -78 AND -74)")
+
+
+SCATTERED = "part_ AS (SELECT * FROM center WHERE lat < 31 OR lat > 41 OR (lat BETWEEN 35 AND 37 AND lng BETWEEN -78 AND -74))"
+REACH = f"{SCATTERED}, near AS (SELECT geocode, neighbor FROM adj WHERE geocode IN (SELECT geocode FROM part_) AND neighbor IN (SELECT geocode FROM part_)), reach(a, b) AS (SELECT geocode, geocode FROM part_ UNION SELECT reach.a, near.neighbor FROM reach JOIN near ON near.geocode = reach.b), comp AS (SELECT a AS geocode, min(b) AS component FROM reach GROUP BY a)"
+
+
+def recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(recursive(sql("adj center", f", {REACH} SELECT geocode, component FROM comp")))
+def g3_components(spark, sf):
+    """Components of cells by their direct neighbours."""
+    parts = scattered(spark, sf)
+    return cells.components(parts.select("geocode"), cells.edges(cells.adjacency(parts), "direct_neighbors"))
+
+
+@query(recursive(sql("adj center", f", {REACH} SELECT (SELECT count(DISTINCT component) FROM comp) AS before, (SELECT count(DISTINCT component) FROM comp) - 1 AS links, CAST(1 AS BIGINT) AS after")))
 def g3_connected(spark, sf):
-    """Two far groups of cells and a lone one, joined into one component."""
-    table = d.cell_table(spark, sf, 2)
-    parts = table.where("center.lat < 31 OR center.lat > 41 OR (center.lat BETWEEN 35 AND 36.5 AND center.lng BETWEEN -77 AND -74)")
-    found = cells.geocode_neighbors(parts)
-    return cells.components(parts.select("geocode"), cells.edges(found)).agg(F.countDistinct("component").alias("components"))
+    """Groups of cells joined into one component: as many links as there are groups, less one."""
+    parts = cells.cut(scattered(spark, sf))
+    found = cells.cut(cells.geocode_neighbors(parts))
+    before = cells.components(parts.select("geocode"), cells.edges(found, "direct_neighbors")).agg(F.countDistinct("component").alias("before"))
+    links = found.agg((F.sum(F.size("direct_and_indirect_neighbors") - F.size("direct_neighbors")) / 2).cast("bigint").alias("links"))
+    after = cells.components(parts.select("geocode"), cells.edges(found)).agg(F.countDistinct("component").alias("after"))
+    return before.crossJoin(links).crossJoin(after)
+
+
+@query(recursive(sql("adj center", f", {REACH}, gap AS (SELECT x.component AS a, y.component AS b, min(power(p.lng - q.lng, 2) + power(p.lat - q.lat, 2)) AS d FROM comp x JOIN center p ON p.geocode = x.geocode JOIN comp y ON y.component <> x.component JOIN center q ON q.geocode = y.geocode WHERE (SELECT count(*) FROM near WHERE near.geocode = y.geocode) < 6 GROUP BY 1, 2) SELECT round(min(d), 9) AS nearest FROM gap")))
+def g3_j17_nearest_link(spark, sf):
+    """The shortest of the links that join the groups: the nearest pair of cells of two groups."""
+    parts = cells.cut(scattered(spark, sf))
+    found = cells.geocode_neighbors(parts).select("geocode", F.explode(F.array_except("direct_and_indirect_neighbors", "direct_neighbors")).alias("other"))
+    spot = parts.select("geocode", "center.lng", "center.lat")
+    both = found.join(spot, "geocode").join(spot.toDF("other", "x", "y"), "other")
+    return rounded(both.agg(F.min(F.pow(F.col("lng") - F.col("x"), 2) + F.pow(F.col("lat") - F.col("y"), 2)).alias("nearest")), "nearest", digits=9)
 
 
 @query(sql("innercells adj", "SELECT geocode, count(*) AS n FROM adj WHERE geocode IN (SELECT geocode FROM innercells) AND neighbor IN (SELECT geocode FROM innercells) GROUP BY 1"))
@@ -416,13 +467,16 @@ def g5_connectivity(spark, sf):
     return cells.connectivity(d.site_neighbors(spark, sf)).agg(F.count("*").alias("edges"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS clashes, CAST(5 AS BIGINT) AS n")
+def pick_sql(k: str) -> str:
+    """Colours of regions 0..k - 1 one after the other: the smallest that no neighbour before it has."""
+    return f"ring_ AS (SELECT cluster, list(other) AS others FROM ring GROUP BY 1), step(k, used) AS (SELECT 0, []::INT[] UNION ALL SELECT k + 1, list_append(used, (SELECT min(c) FROM range(0, 6) t(c) WHERE NOT list_contains([used[o + 1] FOR o IN others IF o < k], c))::INT) FROM step JOIN ring_ ON ring_.cluster = step.k WHERE k < {k})"
+
+
+@query(recursive(sql("ring", f", {pick_sql('5')} SELECT CAST(i AS INT) AS cluster, ['#fed976', '#fd8c3c', '#e2191c'][used[i + 1] + 1] AS color FROM step, range(0, 5) t(i) WHERE k = 5")))
 def g8_g9_g11_coloring(spark, sf):
-    ring = d.region_ring(spark, sf)
-    color = coloring.cluster_colors(ring)
-    other = color.select(F.col("cluster").alias("o"), F.col("color").alias("oc"))
-    pairs = ring.select("cluster", F.explode("direct_neighbors").alias("o")).join(color, "cluster").join(other, "o")
-    return pairs.agg(F.sum((F.col("color") == F.col("oc")).cast("long")).alias("clashes"), F.countDistinct("cluster").alias("n"))
+    """Greedy colours of the ring of regions, through the map of colours; all have two neighbours, so they go by number."""
+    found = coloring.as_map(coloring.cluster_colors(d.region_ring(spark, sf)))
+    return spark.createDataFrame(sorted(found.items()), "cluster int, color string")
 
 
 @query()
@@ -460,15 +514,6 @@ def f17_square(spark, sf):
     return rounded(d.site_square(spark, sf).agg(F.count("*").alias("n"), F.sum("d").alias("total")), "total")
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id < 20 AND b.vec_id < 20 AND a.vec_id < b.vec_id")
-def f16_euclidean(spark, sf):
-    """Distances between the twenty reference vectors."""
-    e = d.read(spark, sf, "embeddings").where("vec_id < 20").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    pairs = e.toDF("a", "x").join(e.toDF("b", "y"), F.col("a") < F.col("b"))
-    total = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    return rounded(pairs.select("a", "b", F.sqrt(total).alias("dist")), "dist", digits=5)
-
-
 @query("WITH mean AS (SELECT list(x ORDER BY p) AS v FROM (SELECT p, avg(x) AS x FROM (SELECT unnest(range(1, len(embedding) + 1)) AS p, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY p)) SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), v) ** 2, 5) AS squared, round(list_distance(CAST(embedding AS DOUBLE[]), v), 5) AS dist FROM embeddings CROSS JOIN mean")
 def f16_distance_to_mean(spark, sf):
     """Distances of all vectors to their mean vector."""
@@ -478,20 +523,55 @@ def f16_distance_to_mean(spark, sf):
 # ---- clustering ----------------------------------------------------------------
 
 
-@query("SELECT k AS num_clusters, k AS clusters, CAST(25 AS BIGINT) AS cells FROM (VALUES (2), (3), (4), (5), (6)) t(k)")
+#: Constrained Ward by definition: 23 times the two touching clusters whose union adds the least to the sum of
+#: squares become one (c is the smallest member). A row of the distance matrix is a feature vector.
+WARD = """, link AS (SELECT DISTINCT x.i AS a, y.i AS b FROM (SELECT n_nationkey AS p, unnest([(n_nationkey + 1) % 25, (n_nationkey + 24) % 25, (n_nationkey + 5) % 25, (n_nationkey + 20) % 25]) AS q FROM nation) e JOIN idx x ON x.geocode = p JOIN idx y ON y.geocode = q),
+tree(step, i, c) AS (
+  SELECT 0, i, i FROM idx
+  UNION ALL
+  SELECT step + 1, i, CASE WHEN c = b THEN a ELSE c END FROM tree, (
+    SELECT p.c AS a, q.c AS b
+    FROM (SELECT c, j, avg(d) AS m, count(*) AS n FROM tree t JOIN sq ON sq.i = t.i GROUP BY c, j) p
+    JOIN (SELECT c, j, avg(d) AS m, count(*) AS n FROM tree t JOIN sq ON sq.i = t.i GROUP BY c, j) q ON p.j = q.j AND p.c < q.c
+    WHERE (p.c, q.c) IN (SELECT least(u.c, v.c), greatest(u.c, v.c) FROM tree u JOIN link ON link.a = u.i JOIN tree v ON v.i = link.b)
+    GROUP BY 1, 2 ORDER BY any_value(p.n * q.n / (p.n + q.n)) * sum((p.m - q.m) * (p.m - q.m)) LIMIT 1)
+  WHERE step < 23)"""
+
+
+@query(recursive(sql("sq idx", WARD + " SELECT num_clusters, CAST(count(DISTINCT c) AS INT) AS clusters, count(*) AS cells, max(n) AS largest FROM (SELECT CAST(25 - step AS INT) AS num_clusters, c, count(*) OVER (PARTITION BY step, c) AS n FROM tree WHERE step BETWEEN 19 AND 23) GROUP BY 1")))
 def c1_c2_c3_u3_ward(spark, sf):
-    """Clusters and cells by k of the constrained tree over the sites."""
-    edges = cells.connectivity(d.site_neighbors(spark, sf))
-    multi = ward.cluster_multi_k(d.site_pairs(spark, sf), edges, d.site_index(spark, sf), 2, 6)
-    return multi.groupBy("num_clusters").agg(F.countDistinct("cluster").cast("int").alias("clusters"), F.count("*").alias("cells"))
+    """Clusters, cells and the largest cluster by k of the constrained tree over the sites."""
+    sizes = ward_labels(spark, sf).groupBy("num_clusters", "cluster").agg(F.count("*").alias("n"))
+    return sizes.groupBy("num_clusters").agg(F.count("*").cast("int").alias("clusters"), F.sum("n").alias("cells"), F.max("n").alias("largest"))
 
 
-@query()
-def c3_ward_labels(spark, sf):
+def ward_labels(spark, sf) -> DataFrame:
     return ward.cluster_multi_k(d.site_pairs(spark, sf), cells.connectivity(d.site_neighbors(spark, sf)), d.site_index(spark, sf), 2, 6)
 
 
-@query()
+@query(recursive(sql("sq idx", WARD + " SELECT geocode, CAST(25 - step AS INT) AS num_clusters, first.f AS first FROM (SELECT step, i, c FROM tree WHERE step BETWEEN 19 AND 23) t JOIN idx USING (i) JOIN (SELECT step, c, min(geocode) AS f FROM tree JOIN idx USING (i) GROUP BY 1, 2) first USING (step, c)")))
+def c3_ward_labels(spark, sf):
+    """Which cells are together for each k; a cluster is named by its smallest cell."""
+    multi = ward_labels(spark, sf)
+    return multi.select("geocode", "num_clusters", F.min("geocode").over(Window.partitionBy("num_clusters", "cluster")).alias("first"))
+
+
+#: Ward's update of squared distances, summed up: 2 |A| |B| / (|A| + |B|) times (mean across - half of both means within).
+LINKAGE = """, tree(step, i, c, pos) AS (
+  SELECT 0, i, i, 0 FROM idx
+  UNION ALL
+  SELECT step + 1, i, CASE WHEN c = b THEN a ELSE c END, CASE WHEN c = b THEN pos + size ELSE pos END FROM tree, (
+    SELECT x.a, x.b, CAST(p.n AS INT) AS size
+    FROM (SELECT u.c AS a, v.c AS b, sum(sq.d * sq.d) AS s FROM tree u JOIN sq ON sq.i = u.i JOIN tree v ON v.i = sq.j GROUP BY 1, 2) x
+    JOIN (SELECT u.c, sum(sq.d * sq.d) AS s FROM tree u JOIN sq ON sq.i = u.i JOIN tree v ON v.i = sq.j AND v.c = u.c GROUP BY 1) pp ON pp.c = x.a
+    JOIN (SELECT u.c, sum(sq.d * sq.d) AS s FROM tree u JOIN sq ON sq.i = u.i JOIN tree v ON v.i = sq.j AND v.c = u.c GROUP BY 1) qq ON qq.c = x.b
+    JOIN (SELECT c, count(*) AS n FROM tree GROUP BY 1) p ON p.c = x.a JOIN (SELECT c, count(*) AS n FROM tree GROUP BY 1) q ON q.c = x.b
+    WHERE x.a < x.b
+    ORDER BY 2 * p.n * q.n / (p.n + q.n) * (x.s / (p.n * q.n) - pp.s / (2 * p.n * p.n) - qq.s / (2 * q.n * q.n)) LIMIT 1)
+  WHERE step < 24)"""
+
+
+@query(recursive(sql("sq idx", LINKAGE + " SELECT pos AS place, geocode FROM tree JOIN idx USING (i) WHERE step = 24")))
 def c4_linkage_order(spark, sf):
     order = plot_data.heatmap_rows(d.site_pairs(spark, sf), d.site_index(spark, sf))
     return spark.createDataFrame(list(enumerate(order)), "place int, geocode bigint")
@@ -542,11 +622,42 @@ def v7_elbow(spark, sf):
     return spark.createDataFrame([found], "k1 int, k2 int, k3 int")
 
 
-@query()
+#: The knee of inertia by k (differences from the diagonal, highs, and the first fall below a high less one step), else the best score.
+KNEE = """, curve AS (SELECT num_clusters AS k, comb, (num_clusters - min(num_clusters) OVER ()) / (max(num_clusters) OVER () - min(num_clusters) OVER ()) AS u, (inertia - min(inertia) OVER ()) / (max(inertia) OVER () - min(inertia) OVER ()) AS v FROM metrics),
+bent AS (SELECT *, max(v) OVER () - v - u AS dd FROM curve),
+marked AS (SELECT *, dd >= coalesce(lag(dd) OVER w, dd) AND dd >= coalesce(lead(dd) OVER w, dd) AS high, dd <= coalesce(lag(dd) OVER w, dd) AND dd <= coalesce(lead(dd) OVER w, dd) AS low, lead(dd) OVER w AS ahead, (SELECT abs(avg(g)) FROM (SELECT u - lag(u) OVER (ORDER BY k) AS g FROM bent)) AS stride FROM bent WINDOW w AS (ORDER BY k)),
+tops AS (SELECT *, max(CASE WHEN high THEN k END) OVER (ORDER BY k) AS top FROM marked),
+falls AS (SELECT t.k, t.top FROM tops t JOIN marked m ON m.k = t.top WHERE t.ahead < CASE WHEN EXISTS (SELECT 1 FROM marked l WHERE l.low AND NOT l.high AND l.k > t.top AND l.k <= t.k) THEN 0 ELSE m.dd - t.stride END)"""
+
+
+@query(sql("metrics", KNEE + " SELECT CAST(coalesce((SELECT top FROM falls ORDER BY k LIMIT 1), (SELECT num_clusters FROM metrics ORDER BY comb DESC, num_clusters LIMIT 1)) AS INT) AS k"))
 def v8_v9_choose_k(spark, sf):
     return spark.createDataFrame([(metrics.choose_k(table_of_metrics(spark, sf)),)], "k int")
 
 
+@query(sql("metrics", KNEE + """, line AS (SELECT first(v ORDER BY k) AS v0, last(v ORDER BY k) AS v1 FROM bent) SELECT m.num_clusters AS k, round(m.inertia, 6) AS inertia, CAST(coalesce((SELECT top FROM falls ORDER BY k LIMIT 1), 0) AS INT) AS elbow_k, round(abs((v1 - v0) * b.u - b.v + v0) / sqrt(power(v1 - v0, 2) + 1), 6) + 0e0 AS distance, round(m.inertia - coalesce(lag(m.inertia) OVER w, m.inertia), 6) AS first, round((m.inertia - coalesce(lag(m.inertia) OVER w, m.inertia)) - coalesce(lag(m.inertia) OVER w - coalesce(lag(m.inertia, 2) OVER w, lag(m.inertia) OVER w), m.inertia - coalesce(lag(m.inertia) OVER w, m.inertia)), 6) AS second FROM metrics m JOIN bent b ON b.k = m.num_clusters, line WINDOW w AS (ORDER BY m.num_clusters)"""))
+def v10_elbow_analysis(spark, sf):
+    found = metrics.elbow_analysis(metrics.inertia(d.site_pairs(spark, sf), d.site_labels(spark, sf)))
+    rows = zip(found["k_values"], found["inertia"], [found["elbow_k"]] * len(found["k_values"]), found["distances"], found["first_derivative"], found["second_derivative"], strict=True)
+    return rounded(spark.createDataFrame([tuple(r) for r in rows], "k int, inertia double, elbow_k int, distance double, first double, second double"), "inertia", "distance", "first", "second")
+
+
+@query(sql("cdist clus", "SELECT x.cluster AS a, y.cluster AS b, round(coalesce(distance, 0e0), 6) AS distance FROM (SELECT DISTINCT cluster FROM clus) x CROSS JOIN (SELECT DISTINCT cluster FROM clus) y LEFT JOIN cdist ON cdist.a = least(x.cluster, y.cluster) AND cdist.b = greatest(x.cluster, y.cluster) AND x.cluster <> y.cluster"))
+def m5_cluster_distance(spark, sf):
+    """The distance of any two clusters, in either order, looked up one by one."""
+    table = cells.cut(distances.cluster_distances(d.site_statistics(spark, sf)))
+    names = sorted({x for r in table.select("a", "b").collect() for x in r})
+    rows = [(a, b, distances.cluster_distance(table, a, b)) for a in names for b in names]
+    return rounded(spark.createDataFrame(rows, "a int, b int, distance double"), "distance")
+
+
+@query("SELECT CAST(n_nationkey AS INT) AS k, '#' || printf('%02x%02x%02x', CAST(floor(f(5) * 255) AS INT), CAST(floor(f(3) * 255) AS INT), CAST(floor(f(1) * 255) AS INT)) AS color FROM nation".replace("f(5)", "(0.8e0 - 0.4e0 * greatest(0, least(least((5 + n_nationkey / 25e0 * 6) % 6, 4 - (5 + n_nationkey / 25e0 * 6) % 6), 1)))").replace("f(3)", "(0.8e0 - 0.4e0 * greatest(0, least(least((3 + n_nationkey / 25e0 * 6) % 6, 4 - (3 + n_nationkey / 25e0 * 6) % 6), 1)))").replace("f(1)", "(0.8e0 - 0.4e0 * greatest(0, least(least((1 + n_nationkey / 25e0 * 6) % 6, 4 - (1 + n_nationkey / 25e0 * 6) % 6), 1)))"))
+def f8_hsv(spark, sf):
+    """A colour wheel of the nations: hue by number, saturation 0.5, value 0.8."""
+    keys = sorted(r["n_nationkey"] for r in d.read(spark, sf, "nation").select("n_nationkey").collect())
+    return spark.createDataFrame([(k, colors.hsv_hex(k / 25, 0.5, 0.8)) for k in keys], "k int, color string")
+
+
 # ---- tests, outlines, exports ----------------------------------------------------
 
 
@@ -562,9 +673,19 @@ def x3_permanova(spark, sf):
     return statistics.permanova(distances.matrix(d.site_pairs(spark, sf), len(rows)), np.array([r["cluster"] for r in rows]), spark)
 
 
-@query()
+#: Fisher's two-sided p by definition: the hypergeometric terms over the whole support that are no larger than the table's own.
+FISHER = """, t AS (SELECT *, CAST(cluster_count AS BIGINT) AS a, CAST(cluster_total AS BIGINT) AS r1, CAST(neighbor_total AS BIGINT) AS r2, CAST(cluster_count + neighbor_count AS BIGINT) AS c1 FROM cont),
+term AS (SELECT cluster, taxonId, a, k, lgamma(r1 + 1) - lgamma(k + 1) - lgamma(r1 - k + 1) + lgamma(r2 + 1) - lgamma(c1 - k + 1) - lgamma(r2 - c1 + k + 1) - lgamma(r1 + r2 + 1) + lgamma(c1 + 1) + lgamma(r1 + r2 - c1 + 1) AS lp FROM (SELECT *, unnest(range(greatest(0, c1 - r2), least(r1, c1) + 1)) AS k FROM t)),
+own AS (SELECT cluster, taxonId, lp AS mine FROM term WHERE k = a),
+pv AS (SELECT cluster, taxonId, least(1e0, sum(exp(lp))) AS p_value FROM term JOIN own USING (cluster, taxonId) WHERE lp <= mine + 1e-7 GROUP BY 1, 2),
+sig AS (SELECT cont.*, p_value, log2_fold_change AS f, ln(cluster_count) AS c FROM cont JOIN pv USING (cluster, taxonId) WHERE p_value < 0.05),
+scored AS (SELECT *, CASE WHEN f <= 0 OR max(f) OVER () = min(f) OVER () OR max(c) OVER () = min(c) OVER () THEN 0e0 ELSE (f - min(f) OVER ()) / (max(f) OVER () - min(f) OVER ()) * (c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER ()) END AS high, CASE WHEN f >= 0 OR max(f) OVER () = min(f) OVER () OR max(c) OVER () = min(c) OVER () THEN 0e0 ELSE (1 - (f - min(f) OVER ()) / (max(f) OVER () - min(f) OVER ())) * (c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER ()) END AS low FROM sig)"""
+
+
+@query(sql("cont", FISHER + ' SELECT cluster, taxonId AS "taxonId", round(p_value, 6) + 0e0 AS p_value, round(log2_fold_change, 6) AS log2_fold_change, cluster_count, neighbor_count, round(high, 6) + 0e0 AS high_log2_high_count_score, round(low, 6) + 0e0 AS low_log2_high_count_score FROM scored'))
 def x2_significant_differences(spark, sf):
-    return statistics.significant_differences(d.site_statistics(spark, sf), d.region_ring(spark, sf))
+    found = statistics.significant_differences(d.site_statistics(spark, sf), d.region_ring(spark, sf))
+    return rounded(found, "p_value", "log2_fold_change", "high_log2_high_count_score", "low_log2_high_count_score")
 
 
 def banded(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -573,7 +694,12 @@ def banded(spark, sf) -> tuple[DataFrame, DataFrame]:
     return table, table.select("geocode", F.floor((F.col("center.lng") + 90) / 6).cast("int").alias("cluster"))
 
 
-@query(sql("innercells", f"SELECT CAST(floor(({grid.center_sql('geocode', RES)[0]} + 90) / 6) AS INT) AS cluster, round(sum(area), 4) AS area FROM (SELECT geocode, ({' + '.join(f'({a[0]} * {b[1]} - {b[0]} * {a[1]})' for a, b in zip(grid.corners_sql('geocode', RES), [*grid.corners_sql('geocode', RES)[1:], grid.corners_sql('geocode', RES)[0]], strict=True))}) / 2 AS area FROM innercells) GROUP BY 1"))
+BANDS = ", band AS (SELECT geocode, CAST(floor((lng + 90) / 6) AS INT) AS cluster FROM center WHERE geocode IN (SELECT geocode FROM innercells))"
+#: Sides of cells that no second cell of the same cluster has.
+OUTLINE = BANDS + ", lone AS (SELECT cluster, any_value(round(x0, 6)) AS x0, any_value(round(y0, 6)) AS y0, any_value(round(x1, 6)) AS x1, any_value(round(y1, 6)) AS y1 FROM side JOIN band USING (geocode) GROUP BY cluster, round((x0 + x1) / 2, 6), round((y0 + y1) / 2, 6) HAVING count(*) = 1)"
+
+
+@query(sql("side center innercells", BANDS + " SELECT cluster, round(sum(x0 * y1 - x1 * y0) / 2, 4) AS area FROM side JOIN band USING (geocode) GROUP BY 1"))
 def x4_boundary_area(spark, sf):
     """Area (square degrees) inside each dissolved outline; equal to the sum over its cells."""
     table, clusters = banded(spark, sf)
@@ -582,10 +708,27 @@ def x4_boundary_area(spark, sf):
     return rounded(edges.groupBy("cluster").agg(area.alias("area")), "area", digits=4)
 
 
-@query()
+def coordinates(df: DataFrame, geometry: str) -> DataFrame:
+    """(cluster, polygon, ring, at, lng, lat) of each point of a MultiPolygon's GeoJSON text."""
+    rings = df.select("cluster", F.posexplode(F.from_json(F.get_json_object(geometry, "$.coordinates"), "array<array<array<array<double>>>>")).alias("polygon", "p"))
+    points = rings.select("cluster", "polygon", F.posexplode("p").alias("ring", "r")).select("cluster", "polygon", "ring", F.posexplode("r").alias("at", "xy"))
+    return points.select("cluster", "polygon", "ring", "at", F.col("xy")[0].alias("lng"), F.col("xy")[1].alias("lat"))
+
+
+@query(sql("side center innercells", OUTLINE + " SELECT cluster, least(a, b) AS a, greatest(a, b) AS b FROM (SELECT cluster, CAST(round(x0 * 1e4) AS BIGINT) || ' ' || CAST(round(y0 * 1e4) AS BIGINT) AS a, CAST(round(x1 * 1e4) AS BIGINT) || ' ' || CAST(round(y1 * 1e4) AS BIGINT) AS b FROM lone)"))
 def x4_j15_cluster_boundary(spark, sf):
+    """Every step along every ring of the dissolved outlines, as a pair of points on a lattice of 1e-4 degrees."""
     table, clusters = banded(spark, sf)
-    return boundary.cluster_boundary(clusters, table)
+    points = coordinates(boundary.cluster_boundary(clusters, table).select("cluster", wkb.geometry_json("geometry").alias("g")), "g")
+    spot = F.concat_ws(" ", *(F.round(F.col(c) * 1e4).cast("bigint").cast("string") for c in ("lng", "lat")))
+    steps = points.select("cluster", "at", spot.alias("a"), F.lead(spot).over(Window.partitionBy("cluster", "polygon", "ring").orderBy("at")).alias("b")).where("b IS NOT NULL")
+    return steps.select("cluster", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+@query(sql("side center innercells", OUTLINE + " SELECT cluster, count(*) AS steps FROM lone GROUP BY 1"))
+def x4_outline_edges(spark, sf):
+    table, clusters = banded(spark, sf)
+    return boundary.outline_edges(clusters, table).groupBy("cluster").agg(F.count("*").alias("steps"))
 
 
 def export_frames(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -596,21 +739,46 @@ def export_frames(spark, sf) -> tuple[DataFrame, DataFrame]:
     return outline, pairs
 
 
-@query()
+@query(sql("side center innercells", OUTLINE + """ SELECT cluster, 'FeatureCollection' AS collection, 'Feature' AS type, 'MultiPolygon' AS geometry, 0.7e0 AS opacity, CAST(1 AS INT) AS weight, cluster AS property, n AS steps, round(area, 4) AS area FROM (SELECT cluster, count(*) AS n FROM lone GROUP BY 1) JOIN (SELECT cluster, sum(x0 * y1 - x1 * y0) / 2 AS area FROM side JOIN band USING (geocode) GROUP BY 1) USING (cluster)"""))
 def j9_f21_f22_features(spark, sf):
-    return export.features(*export_frames(spark, sf))
+    """The feature collection, written as text and read again: properties, and steps and area of each geometry."""
+    text = export.feature_collection(*export_frames(spark, sf))
+    found = spark.createDataFrame([(text,)], "t string").select(F.get_json_object("t", "$.type").alias("collection"), F.explode(F.from_json(F.get_json_object("t", "$.features"), "array<string>")).alias("f"))
+    part = lambda path: F.get_json_object("f", path)
+    rows = found.select(part("$.properties.cluster").cast("int").alias("cluster"), "collection", part("$.type").alias("type"), part("$.geometry.type").alias("geometry"), part("$.properties.fillOpacity").cast("double").alias("opacity"), part("$.properties.weight").cast("int").alias("weight"), part("$.properties.cluster").cast("int").alias("property"), part("$.geometry").alias("g"))
+    ring = Window.partitionBy("cluster", "polygon", "ring").orderBy("at")
+    x, y = F.lead("lng").over(ring), F.lead("lat").over(ring)
+    steps = coordinates(rows, "g").select("cluster", (F.col("lng") * y - x * F.col("lat")).alias("turn")).where("turn IS NOT NULL")
+    sizes = steps.groupBy("cluster").agg(F.count("*").alias("steps"), (F.sum("turn") / 2).alias("area"))
+    return rounded(rows.drop("g").join(sizes, "cluster"), "area", digits=4)
+
+
+@query("SELECT CAST(n_nationkey AS INT) AS cluster, lower(c) AS \"fillColor\", lower('#' || printf('%02x%02x%02x', n_nationkey * 5, n_nationkey, 100)) AS color FROM (SELECT n_nationkey, '#' || printf('%02x%02x%02x', n_nationkey * 10, n_nationkey * 2, 200) AS c FROM nation)")
+def f21_feature_colors(spark, sf):
+    """Fill and line colours of features, one for each nation."""
+    n = F.col("n_nationkey")
+    fill = F.format_string("#%02x%02x%02x", n * 10, n * 2, F.lit(200))
+    rows = d.read(spark, sf, "nation").select(n.cast("int").alias("cluster"), fill.alias("color"), colors.darken_column(fill).alias("darkened_color"), wkb.point_wkb(n.cast("double"), F.lit(1.5)).alias("geometry"))
+    found = export.features(rows.select("cluster", "geometry"), rows.select("cluster", "color", "darkened_color"))
+    return found.select("cluster", F.get_json_object("feature", "$.properties.fillColor").alias("fillColor"), F.get_json_object("feature", "$.properties.color").alias("color"))
 
 
-@query()
+@query(sql("cont brands center innercells", FISHER + BANDS + """ SELECT s.cluster, s.taxonId AS taxon_id, b.scientificName AS scientific_name, b.gbifTaxonId AS gbif_taxon_id, round(f, 6) AS log2_fold_change, cluster_count, neighbor_count, round(high, 6) + 0e0 AS high, round(low, 6) + 0e0 AS low, CASE WHEN s.taxonId % 2 = 0 THEN 'https://example.org/' || s.taxonId END AS image_url FROM scored s JOIN brands b ON b.taxonId = s.taxonId AND b.scientificName NOT LIKE '%5' WHERE s.cluster IN (SELECT cluster FROM band)"""))
 def f23_j10_j11_documents(spark, sf):
+    """The clusters' JSON documents read again: significant taxa known to the taxonomy, with images where there are any."""
     outline, shades = export_frames(spark, sf)
-    found = statistics.significant_differences(d.site_statistics(spark, sf), d.region_ring(spark, sf))
-    return export.cluster_documents(found, outline, d.brands(spark, sf), shades, images.significant_taxa_images(found, d.brands(spark, sf)))
+    found = cells.cut(statistics.significant_differences(d.site_statistics(spark, sf), d.region_ring(spark, sf)))
+    taxonomy = d.brands(spark, sf).where("scientificName NOT LIKE '%5'")
+    links = taxonomy.where("taxonId % 2 = 0").select("gbifTaxonId", F.concat(F.lit("https://example.org/"), "taxonId").alias("image_url"))
+    text = export.output_json(found, outline, taxonomy, shades, images.significant_taxa_images(found, taxonomy, images.from_table(links)))
+    documents = spark.createDataFrame([(text,)], "t string").select(F.explode(F.from_json("t", "array<struct<cluster:int,significant_taxa:array<struct<scientific_name:string,gbif_taxon_id:bigint,taxon_id:bigint,log2_fold_change:double,cluster_count:bigint,neighbor_count:bigint,high_log2_high_count_score:double,low_log2_high_count_score:double,image_url:string>>>>")).alias("c"))
+    taxa_rows = documents.select("c.cluster", F.explode("c.significant_taxa").alias("x")).select("cluster", "x.*")
+    return rounded(taxa_rows.withColumnsRenamed({"high_log2_high_count_score": "high", "low_log2_high_count_score": "low"}), "log2_fold_change", "high", "low")
 
 
-@query(sql("site stat clus", 'SELECT geocode, cluster, "taxonId", round(CASE WHEN hi = lo THEN 0.5e0 ELSE (v - lo) / (hi - lo) END, 6) AS value FROM (SELECT *, min(v) OVER (PARTITION BY "taxonId") AS lo, max(v) OVER (PARTITION BY "taxonId") AS hi FROM (SELECT c.geocode, c.cluster, t."taxonId", coalesce(s.count / z.total, 0e0) - coalesce(o.average, 0e0) AS v FROM clus c CROSS JOIN (SELECT DISTINCT "taxonId" FROM site WHERE "taxonId" < 4) t LEFT JOIN site s ON s.geocode = c.geocode AND s."taxonId" = t."taxonId" LEFT JOIN (SELECT geocode, sum(count) AS total FROM site GROUP BY 1) z ON z.geocode = c.geocode LEFT JOIN stat o ON o.cluster IS NULL AND o."taxonId" = t."taxonId"))'))
+@query(sql("site stat clus", 'SELECT geocode, cluster, "taxonId", round(CASE WHEN hi = lo THEN 0.5e0 ELSE (v - lo) / (hi - lo) END, 6) AS value FROM (SELECT *, min(v) OVER (PARTITION BY "taxonId") AS lo, max(v) OVER (PARTITION BY "taxonId") AS hi FROM (SELECT c.geocode, c.cluster, t."taxonId", coalesce(s.count / z.total, 0e0) - coalesce(o.average, 0e0) AS v FROM clus c CROSS JOIN (SELECT DISTINCT "taxonId" FROM site) t LEFT JOIN site s ON s.geocode = c.geocode AND s."taxonId" = t."taxonId" LEFT JOIN (SELECT geocode, sum(count) AS total FROM site GROUP BY 1) z ON z.geocode = c.geocode LEFT JOIN stat o ON o.cluster IS NULL AND o."taxonId" = t."taxonId"))'))
 def l1_heatmap(spark, sf):
-    picked = d.brands(spark, sf).where("taxonId < 4").select("taxonId")
+    picked = d.brands(spark, sf).select("taxonId")
     return rounded(plot_data.heatmap(d.sites(spark, sf), d.site_clusters(spark, sf), d.site_statistics(spark, sf), picked), "value")
 
 

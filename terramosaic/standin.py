@@ -100,19 +100,63 @@ def site_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.cluster_taxa_statistics(sites(spark, sf_dir), site_clusters(spark, sf_dir), brands(spark, sf_dir))
 
 
+# ---- the grid said again for SQL, from its definition and not from functions.grid ----
+# Centres lie in rows 1.5 edges apart, sqrt(3) edges apart in a row, each row shifted by half of that. A point
+# belongs to the nearest centre. An id is res * 2^56 + (q + 2^27) * 2^28 + r + 2^27.
+
+_EDGE = f"sqrt(2 * (4 * pi() * 6371.0072 * 6371.0072 / (2 + 120 * power(7, {RES}))) / (3 * sqrt(3)))"
+
+
+def nearest_center_sql(source: str, keep: tuple[str, ...]) -> str:
+    """The cell of each row of ``source`` (lat, lng): the nearest of the two centres next to the point in the rows below and above it."""
+    spots = f"SELECT *, row_number() OVER () AS spot, radians(lng) * 6371.0072e0 AS px, sin(radians(lat)) * 6371.0072e0 AS py, {_EDGE} AS edge FROM {source}"
+    rows = f"SELECT *, unnest([floor(py / (1.5e0 * edge)), floor(py / (1.5e0 * edge)) + 1]) AS r FROM ({spots})"
+    columns = f"SELECT *, unnest([floor(px / (sqrt(3) * edge) - r / 2), floor(px / (sqrt(3) * edge) - r / 2) + 1]) AS q FROM ({rows})"
+    far = "power(sqrt(3) * edge * (q + r / 2) - px, 2) + power(1.5e0 * edge * r - py, 2)"
+    id_ = f"({RES} * power(2, 56)::BIGINT + (q::BIGINT + power(2, 27)::BIGINT) * power(2, 28)::BIGINT + r::BIGINT + power(2, 27)::BIGINT)"
+    return f"SELECT {', '.join(f'first({c}) AS {c}' for c in keep)}, arg_min({id_}, {far}) AS geocode FROM ({columns}) GROUP BY spot"
+
+
+def center_of_sql() -> tuple[str, str]:
+    """Centre (lng, lat) in degrees from the bits of ``geocode``."""
+    q, r = f"(((geocode >> 28) & 268435455) - 134217728)", f"((geocode & 268435455) - 134217728)"
+    return f"degrees(sqrt(3) * {_EDGE} * ({q} + {r} / 2) / 6371.0072e0)", f"degrees(asin(1.5e0 * {_EDGE} * {r} / 6371.0072e0))"
+
+
+def corner_of_sql(k: str) -> tuple[str, str]:
+    """Corner ``k`` (lng, lat), counted against the clock from the lower right one: at 60 k - 30 degrees around the centre."""
+    lng, lat = center_of_sql()
+    return f"({lng} + degrees({_EDGE} * cos(radians(60 * {k} - 30)) / 6371.0072e0))", f"degrees(asin(sin(radians({lat})) + {_EDGE} * sin(radians(60 * {k} - 30)) / 6371.0072e0))"
+
+
+def edge_sql() -> str:
+    """Whether a cell's sides (rows of x0, y0, x1, y1) meet the outline of the box, or the whole box lies in the cell."""
+    w, e, s, n = (f"{v!r}e0" for v in (BOX.sw.lng, BOX.ne.lng, BOX.sw.lat, BOX.ne.lat))
+    cross = []
+    for at in (w, e):
+        y = f"(CASE WHEN x1 = x0 THEN y0 ELSE y0 + ({at} - x0) / (x1 - x0) * (y1 - y0) END)"
+        cross.append(f"((x0 - {at}) * (x1 - {at}) <= 0 AND {y} BETWEEN {s} AND {n})")
+    for at in (s, n):
+        x = f"(CASE WHEN y1 = y0 THEN x0 ELSE x0 + ({at} - y0) / (y1 - y0) * (x1 - x0) END)"
+        cross.append(f"((y0 - {at}) * (y1 - {at}) <= 0 AND {x} BETWEEN {w} AND {e})")
+    return f"bool_or({' OR '.join(cross)})"
+
+
 # ---- the same in SQL: common table expressions, each on those it names ------
 
 _CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "occ": ((), "SELECT 25e0 + ((l_suppkey * 37 + l_partkey * 11) % 2200) / 100e0 AS lat, -87e0 + ((l_suppkey * 53 + l_orderkey * 7) % 2100) / 100e0 AS lng, p_type AS scientificName, CAST(p_size AS BIGINT) AS taxonKey, CASE WHEN l_linenumber = 1 THEN NULL ELSE CAST(l_quantity AS INT) END AS individualCount FROM lineitem JOIN part ON l_partkey = p_partkey"),
     "boxed": (("occ",), "SELECT * FROM occ WHERE lat BETWEEN 26e0 AND 46e0 AND lng BETWEEN -86e0 AND -67e0"),
-    "celled": (("boxed",), f"SELECT *, {grid.cell_sql('lat', 'lng', RES)} AS geocode FROM boxed"),
-    "allcells": (("celled",), f"SELECT geocode, {grid.is_edge_sql('geocode', RES, BOX)} AS is_edge FROM (SELECT DISTINCT geocode FROM celled WHERE geocode IS NOT NULL)"),
+    "celled": (("boxed",), nearest_center_sql("boxed", ("scientificName", "taxonKey", "individualCount"))),
+    "corner": (("celled",), f"SELECT geocode, k, {corner_of_sql('k')[0]} AS x, {corner_of_sql('k')[1]} AS y FROM (SELECT DISTINCT geocode FROM celled) CROSS JOIN range(0, 7) t(k)"),
+    "side": (("corner",), "SELECT a.geocode, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM corner a JOIN corner b ON b.geocode = a.geocode AND b.k = a.k + 1"),
+    "allcells": (("side",), "SELECT geocode, " + edge_sql() + " AS is_edge FROM side GROUP BY geocode"),
     "innercells": (("allcells",), "SELECT geocode FROM allcells WHERE NOT is_edge"),
     "seen": (("celled", "innercells"), "SELECT * FROM celled WHERE geocode IN (SELECT geocode FROM innercells)"),
     "tax": (("seen",), "SELECT row_number() OVER (ORDER BY scientificName, gbifTaxonId) - 1 AS taxonId, scientificName, gbifTaxonId FROM (SELECT DISTINCT scientificName, taxonKey AS gbifTaxonId FROM seen)"),
     "counts": (("seen", "tax"), "SELECT geocode, taxonId, CAST(sum(coalesce(individualCount, 1)) AS BIGINT) AS count FROM seen JOIN tax ON seen.scientificName = tax.scientificName AND seen.taxonKey = tax.gbifTaxonId GROUP BY geocode, taxonId"),
-    "steps": (("allcells",), "SELECT geocode, unnest([" + ", ".join(grid.neighbors_sql("geocode")) + "]) AS neighbor FROM allcells"),
-    "adj": (("steps", "allcells"), "SELECT geocode, neighbor FROM steps WHERE neighbor IN (SELECT geocode FROM allcells)"),
+    "center": (("allcells",), f"SELECT geocode, {center_of_sql()[0]} AS lng, {center_of_sql()[1]} AS lat FROM allcells"),
+    "adj": (("center",), f"SELECT a.geocode, b.geocode AS neighbor FROM center a JOIN center b ON a.geocode <> b.geocode AND sqrt(power(radians(a.lng - b.lng) * 6371.0072e0, 2) + power((sin(radians(a.lat)) - sin(radians(b.lat))) * 6371.0072e0, 2)) < 1.1e0 * sqrt(3) * {_EDGE}"),
     "brands": ((), "SELECT row_number() OVER (ORDER BY p_brand) - 1 AS taxonId, p_brand AS scientificName, row_number() OVER (ORDER BY p_brand) AS gbifTaxonId FROM (SELECT DISTINCT p_brand FROM part)"),
     "site": (("brands",), "SELECT CAST(s_nationkey AS BIGINT) AS geocode, taxonId, CAST(sum(l_quantity) AS BIGINT) AS count FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey JOIN brands ON scientificName = p_brand GROUP BY 1, 2"),
     "idx": (("site",), "SELECT geocode, CAST(row_number() OVER (ORDER BY geocode) - 1 AS INT) AS i FROM (SELECT DISTINCT geocode FROM site)"),
