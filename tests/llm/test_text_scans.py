@@ -154,6 +154,43 @@ def test_contamination_with_many_blocks(monkeypatch, documents, spark):
     assert by_row(decontamination.find_contamination(documents, items).collect(), *columns) == whole
 
 
+def test_suffix_order_and_longest_matches(spark):
+    """Against sorted slices and plain loops, on texts that repeat themselves."""
+    rnd = random.Random(4)
+    for trial in range(60):
+        ids = np.array([rnd.choice([0, 1, 1, 2, 3]) for _ in range(rnd.randint(1, 120))])
+        if trial % 3 == 0:
+            ids = np.array(([1, 2] * 60 + [0] + [1, 2] * 55 + [3] + [1] * 40)[: rnd.randint(5, 200)])
+        shard = decontamination.SuffixShard(ids, rnd.choice([3, 2**25]))
+
+        def run(at):
+            end = at
+            while end < len(ids) and ids[end]:
+                end += 1
+            return tuple(ids[at:end].tolist())
+
+        got = [run(at) for at in shard.suffixes.tolist()]
+        assert got == sorted(got) and sorted(shard.suffixes.tolist()) == np.flatnonzero(ids).tolist()
+    docs = spark.createDataFrame([(3, "a b c d e a b c"), (1, "x b c d y"), (None, "c d e f"), (2, None), (5, "q")], "doc_id bigint, text string").repartition(3)
+    items = spark.createDataFrame([(7, "b c d e f"), (8, "zz a"), (9, None)], "item_id bigint, text string")
+    got = {(r["item"], r["item_word"]): (r["n_words"], r["doc_id"], r["doc_word"]) for r in decontamination.longest_matches(docs, items).collect()}
+    assert got == {("7", 0): (4, 3, 1), ("7", 1): (4, None, 0), ("7", 2): (3, None, 1), ("7", 3): (2, None, 2), ("7", 4): (1, None, 3), ("8", 0): (0, None, None), ("8", 1): (1, 3, 0)}
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    rnd = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(40)]
+    item = [rnd.choice(vocabulary) for _ in range(60)]
+    text = " ".join(rnd.choice(vocabulary) for _ in range(300)) + " " + " ".join(item) + " é " + " ".join(item[5:40]) + " " + " ".join(rnd.choice(vocabulary) for _ in range(200))
+    docs = spark.createDataFrame([(1, text), (2, "w1 w2")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "w1 w2")], "item_id bigint, text string")
+    whole = [r.asDict(True) for r in decontamination.find_contamination(docs, items).orderBy("doc_id").collect()]
+    assert whole[0]["longest_match"] == 60
+    for size in (40, 100, 333):
+        monkeypatch.setattr(decontamination, "LONG_BYTES", size)
+        assert [r.asDict(True) for r in decontamination.find_contamination(docs, items).orderBy("doc_id").collect()] == whole
+
+
 # ---- op7
 
 
