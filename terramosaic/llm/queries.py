@@ -15,54 +15,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents written to bit-plane shards, and read back. Null text: the end id alone; empty table: no row."""
     from terramosaic.llm.token_binary import tokens_round_trip
 
     return tokens_round_trip(spark, table(spark, sf_dir, "documents"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every whole text, decoded again. Null text: no id; repeated rows: repeated results."""
     from terramosaic.llm.byte_bpe import encode_documents
 
     return encode_documents(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and license notices in every whole text. Null text: no word, no label."""
     from terramosaic.llm.license_scan import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every whole text. Null or empty text: no word, not contaminated."""
     from terramosaic.llm.decontamination import find_contamination
 
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), details=False).drop("longest_match")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from the rows that are not held out. Null or letterless text: und."""
     from terramosaic.llm.language_id import identify_documents
 
     return identify_documents(table(spark, sf_dir, "documents"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Null, empty and blank texts: fingerprint zero, linked like any other."""
     from terramosaic.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op1_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors of those whose id is divisible by 20. Unusable vectors take no part; a repeated id is one query."""
     from terramosaic.llm.ann import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 100-byte strings removed from every whole text. Null text: empty; rows of one id are later places of one document."""
     from terramosaic.llm.suffix_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, formatted and read back. Null role or text: empty; repeated rows are turns of their own."""
     from terramosaic.llm.chat import digests, format_conversations
 
     text = "\\### Assistant: </turn> ok"
@@ -72,6 +81,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: base patterns, and what the tagger adds. Null text: none."""
     from terramosaic.llm.pii import detect
 
     return detect(table(spark, sf_dir, "documents"))

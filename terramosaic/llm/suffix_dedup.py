@@ -26,6 +26,12 @@ suffix starts and common prefixes live in sequential external files that each
 round reads and rewrites. Suffixes whose common prefix reaches WIDTH are equal
 windows; all but the first of a group are repeats.
 
+A collection is bounded by COLLECTION_BYTES. A bucket with more is built as
+several collections, anchor by anchor. One anchor with more (a line that stands
+in very many different surroundings) is split by the smallest hash that its
+windows have besides the anchor, and again by the next, until the parts fit:
+equal windows have equal grams, so they always meet.
+
 Documents are shuffled once by a hash of their id; the rest of the shuffles
 carries packed numbers and the surviving runs.
 """
@@ -49,7 +55,7 @@ WIDTH, GRAM = 100, 32
 SPAN = WIDTH - GRAM + 1
 #: Text bytes of one numpy pass, of one group of documents, and of one bucket's share.
 PASS_BYTES, GROUP_BYTES, BUCKET_BYTES = 1 << 20, 2 << 20, 16 << 20
-#: Bytes of one collection; a bucket with more is built in parts split by window content.
+#: Bytes of one collection; a bucket with more is built as several.
 COLLECTION_BYTES = 8 << 20
 #: Rows with one document id are told apart by their order, in the bits above a position.
 ROW_SHIFT = 40
@@ -82,13 +88,17 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     the low bits carry the place through the sliding minimum.
     """
     grams = gram_hashes(raw)
+    return grams, sliding_places(grams)
+
+
+def sliding_places(grams: np.ndarray) -> np.ndarray:
     low, size = (grams & ~PLACE_MASK) | np.arange(len(grams), dtype=U), 1
     while 2 * size <= SPAN:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
     rest = SPAN - size
     low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
-    return grams, (low & PLACE_MASK).astype(np.int64)
+    return (low & PLACE_MASK).astype(np.int64)
 
 
 def spread(anchor: np.ndarray) -> np.ndarray:
@@ -240,35 +250,84 @@ def repeats(strings: list[bytes], doc: np.ndarray, place: np.ndarray) -> tuple[n
     return string[order][later], offset[order][later]
 
 
-def collection_repeats(strings: list[bytes], doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As repeats(); a large collection is taken in parts by window content, each of bounded size."""
-    total = sum(map(len, strings))
-    if total <= COLLECTION_BYTES:
-        return repeats(strings, doc, place) if strings else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    parts = -(-total * WIDTH // 40 // COLLECTION_BYTES)
-    found = []
-    for part in range(parts):
-        seen: dict[bytes, tuple] = {}
-        for k, s in enumerate(strings):
-            for at in range(len(s) - WIDTH + 1):
-                window = s[at : at + WIDTH]
-                if hash_part(window, parts) == part:
-                    here = (doc[k], place[k] + at, k, at)
-                    there = seen.get(window)
-                    if there is None:
-                        seen[window] = here
-                    else:
-                        first, second = sorted((here, there))
-                        seen[window] = first
-                        found.append(second[2:])
-    both = np.array(found, np.int64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
-
-
-def hash_part(window: bytes, parts: int) -> int:
-    import zlib
-
-    return zlib.crc32(window) % parts
+def split_runs(strings: list[bytes], base: np.ndarray, used: list[int]) -> tuple[np.ndarray, ...]:
+    """Runs of one anchor (at ``base``) cut by the gram with the smallest hash besides those at the places ``used`` from the anchor.
+
+    Gives (string, first byte, bytes, the gram's hash, its place from the anchor).
+    Equal windows have equal hashes and places.
+    """
+    found, at = [], 0
+    ends = np.cumsum([0, *map(len, strings)])
+    while at < len(strings):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + PASS_BYTES, "right")) - 1)
+        first, length = ends[at:end] - ends[at], np.diff(ends[at : end + 1])
+        grams = gram_hashes(np.frombuffer(b"".join(strings[at:end]), np.uint8))
+        whole, spots = grams.copy(), base[at:end, None] + np.array(used)
+        grams[(spots + first[:, None])[(spots >= 0) & (spots <= (length - GRAM)[:, None])]] = ~U(0)
+        chosen = sliding_places(grams)
+        n = len(chosen)
+        steps = np.zeros(n + 2, np.int64)
+        np.add.at(steps, first, 1)
+        np.add.at(steps, first + length - WIDTH + 1, -1)
+        inside = np.cumsum(steps)[: n + 1] > 0
+        edge = np.ones(n + 1, bool)
+        edge[1:-1] = chosen[1:] != chosen[:-1]
+        edge[first] = True
+        edge[1:] |= ~inside[:-1]
+        start = np.flatnonzero(edge[:-1] & inside[:-1])
+        stop = np.flatnonzero(inside[:-1] & (edge[1:] | ~inside[1:])) + 1
+        string = np.searchsorted(first, start, "right") - 1
+        found.append((string + at, start - first[string], stop - start + WIDTH - 1, whole[chosen[start]], chosen[start] - first[string] - base[at:end][string]))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def collection_repeats(strings: list[bytes], doc: np.ndarray, place: np.ndarray, anchor: np.ndarray, offset_in: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As repeats(); built as collections of at most COLLECTION_BYTES, by anchor and then by further grams of a window.
+
+    A run that is alone with its grams has no equal window and is done. Only
+    what shares all of its SPAN grams, that is equal windows, cannot be split.
+    """
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    pending: list[tuple[np.ndarray, ...]] = []
+    total = 0
+
+    def build() -> None:
+        nonlocal pending, total
+        if pending:
+            string, first, size = (np.concatenate(x) for x in zip(*pending, strict=True))
+            own = [strings[k][a : a + n] for k, a, n in zip(string.tolist(), first.tolist(), size.tolist(), strict=True)]
+            which, offset = repeats(own, doc[string], place[string] + first)
+            out.append((string[which], first[which] + offset))
+        pending, total = [], 0
+
+    every = np.arange(len(strings))
+    # (string, first byte, bytes, key) of runs with the grams at the places ``used`` from the anchor in common.
+    todo = [(every, np.zeros(len(every), np.int64), np.array([len(s) for s in strings], np.int64), anchor, np.zeros(len(every), np.int64), [])]
+    while todo:
+        string, first, size, key, spot, used = todo.pop()
+        order = np.lexsort((spot, key))
+        new = np.ones(len(order), bool)
+        new[1:] = (key[order][1:] != key[order][:-1]) | (spot[order][1:] != spot[order][:-1])
+        cuts = np.flatnonzero(new)
+        counts = np.diff(np.append(cuts, len(order)))
+        for a, n in zip(cuts[counts > 1].tolist(), counts[counts > 1].tolist(), strict=True):
+            group = order[a : a + n]
+            mine = (string[group], first[group], size[group])
+            own, grams = int(mine[2].sum()) + n, [*used, int(spot[group[0]])]
+            if own > COLLECTION_BYTES and len(grams) < SPAN:
+                cut = [strings[k][x : x + m] for k, x, m in zip(*(y.tolist() for y in mine), strict=True)]
+                part, low, length, fresh, place_of = split_runs(cut, offset_in[mine[0]] - mine[1], grams)
+                todo.append((mine[0][part], mine[1][part] + low, length, fresh, place_of, grams))
+                continue
+            if total + own > COLLECTION_BYTES:
+                build()
+            pending.append(mine)
+            total += own
+    build()
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 # ---- the job ---------------------------------------------------------------
@@ -467,7 +526,7 @@ def bucket_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _, inverse, counts = np.unique(anchor[own], return_inverse=True, return_counts=True)
     own = own[counts[inverse] > 1]  # a run never repeats a window of its own, so one that is alone with its anchor is done
     own = own[may_share(own.tolist(), strings, anchor, offset_in)]
-    string, offset = collection_repeats([strings[k] for k in own.tolist()], doc[own], place[own])
+    string, offset = collection_repeats([strings[k] for k in own.tolist()], doc[own], place[own], anchor[own], offset_in[own])
     again = np.array(again, np.int64)
     size = np.array([len(strings[k]) for k in again.tolist()], np.int64)
     all_doc = np.concatenate([doc[again], doc[own][string]])

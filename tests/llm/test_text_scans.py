@@ -54,7 +54,7 @@ def test_repeats_of_documents(documents):
 
 
 def test_repeats_of_odd_documents(odd_documents, no_documents):
-    check_repeats(odd_documents.where("text is null or length(text) < 20000"))
+    check_repeats(odd_documents)
     assert suffix_dedup.remove_repeats(no_documents).collect() == []
 
 
@@ -65,14 +65,68 @@ def test_repeats_in_periodic_and_shared_texts(spark):
     check_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
 
 
-def test_large_collections_are_taken_in_parts(monkeypatch):
+def runs_of(texts):
+    """Strings, documents, places, anchors and their offsets of all runs."""
+    strings, doc, place, anchor, offset = [], [], [], [], []
+    for k, text in enumerate(texts):
+        raw = np.frombuffer(text, np.uint8)
+        _, start, n, key, shift = suffix_dedup.runs(raw, np.array([0, len(raw)]))
+        strings += [text[a : a + m + 99] for a, m in zip(start.tolist(), n.tolist())]
+        doc += [k] * len(start)
+        place += start.tolist()
+        anchor += key.tolist()
+        offset += shift.tolist()
+    return strings, np.array(doc), np.array(place), np.array(anchor, np.uint64), np.array(offset)
+
+
+def distinct_runs(texts):
+    """As in a bucket: equal runs of one anchor are settled before."""
+    strings, doc, place, anchor, offset = runs_of(texts)
+    pick = np.array(sorted({s: k for k, s in reversed(list(enumerate(strings)))}.values()))
+    return [strings[k] for k in pick.tolist()], doc[pick], place[pick], anchor[pick], offset[pick]
+
+
+def test_large_collections_are_built_in_parts(monkeypatch):
     rnd = random.Random(8)
-    base = bytes(rnd.choice(b"ab") for _ in range(300))
-    strings = [base[a : a + 150] for a in (0, 40, 90, 150)] + [base[:120], base[10:140]]
-    doc, place = np.arange(6), np.arange(6) * 1000
-    whole = set(zip(*(x.tolist() for x in suffix_dedup.repeats(strings, doc, place))))
-    monkeypatch.setattr(suffix_dedup, "COLLECTION_BYTES", 200)
-    assert set(zip(*(x.tolist() for x in suffix_dedup.collection_repeats(strings, doc, place)))) == whole
+    line = bytes(rnd.choice(b"abcdefgh ") for _ in range(90))
+    texts = [bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 30))) + line + bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 30))) for _ in range(120)]
+    texts += [line[:70] * 3, b"ab" * 120, b"ab" * 90, texts[5] + texts[6], texts[7][3:] + b"zz"]
+    runs = distinct_runs(texts)
+    whole = set(zip(*(x.tolist() for x in suffix_dedup.repeats(*runs[:3]))))
+    for limit in (1500, 9000):
+        monkeypatch.setattr(suffix_dedup, "COLLECTION_BYTES", limit)
+        assert set(zip(*(x.tolist() for x in suffix_dedup.collection_repeats(*runs)))) == whole
+    assert len(whole) > 100
+
+
+def test_a_line_in_100000_surroundings_stays_within_bounds(monkeypatch):
+    """One 90-byte line in 100,000 different contexts, of which some hold a repeat: every collection is within its bound."""
+    rng = np.random.default_rng(3)
+    line, letters = bytes(rng.integers(97, 123, 90).astype(np.uint8)), rng.integers(97, 123, (100_000, 40)).astype(np.uint8)
+    strings, doc, place, anchor, offset = runs_of([letters[0, :20].tobytes() + line + letters[0, 20:].tobytes()])
+    hot = max(range(len(strings)), key=lambda k: len(strings[k]))
+    begin, size, at = int(place[hot]), len(strings[hot]), int(offset[hot])
+    many = [(row[:20].tobytes() + line + row[20:].tobytes())[begin : begin + size] for row in letters]
+    many[70_000] = many[10]
+    many[70_000] = many[70_000][:-1] + b"~"
+    sizes, plain = [], suffix_dedup.repeats
+
+    def watched(own, *rest):
+        sizes.append(sum(map(len, own)) + len(own))
+        return plain(own, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "COLLECTION_BYTES", 1 << 20)
+    monkeypatch.setattr(suffix_dedup, "repeats", watched)
+    n = len(many)
+    found = set(zip(*(x.tolist() for x in suffix_dedup.collection_repeats(many, np.arange(n), np.zeros(n, np.int64), np.full(n, anchor[hot]), np.full(n, at)))))
+    seen, want = set(), set()
+    for k, text in enumerate(many):
+        for w in range(len(text) - 99):
+            if text[w : w + 100] in seen:
+                want.add((k, w))
+            seen.add(text[w : w + 100])
+    assert found == want and want
+    assert len(sizes) > 5 and max(sizes) <= 1 << 20
 
 
 # ---- op5
