@@ -1,9 +1,10 @@
 """Corpus pipeline: five stages over ``documents``, each one operator of ``terramosaic.llm``.
 
 A stage takes (spark, docs, sf_dir) and returns the documents that it keeps,
-with the columns of ``documents``; the last returns token digests. Between
-stages the rows are written as Parquet and read again, so a stage's work is
-never repeated by the next and lost executors cost one stage at most.
+with the columns of ``documents``; the last returns token ids and digests.
+Between stages the rows are written as Parquet and read again, so a stage's work
+is never repeated by the next and lost executors cost one stage at most. A
+stage's folder is deleted when the next one is written.
 """
 
 from __future__ import annotations
@@ -12,11 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terramosaic.llm import byte_bpe, decontamination, language_id, near_copies, pii
-from terramosaic.llm.common import ship, shared_path, table
+from terramosaic.llm.common import remove_dir, ship, shared_path, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: no text, no letter, or two languages about equally near."""
+    """Drop documents without a language: no text, no letter, or two languages about equally near.
+
+    Trained on the documents themselves, without held-out ids and rows without
+    id, text or label. Null, empty and blank texts go; nulls in other columns
+    stay as they are, repeated rows are judged alike, and other columns, of any
+    name, are passed on.
+    """
     ship(spark)
     names = [f"_c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
@@ -28,27 +35,41 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word Jaccard of 0.8 or more) stays, the one with the smallest id."""
+    """One document of each component of near copies (five-word Jaccard of 0.8 or more) stays, the one with the smallest id.
+
+    Golay keys of SimHash fingerprints and an exact filter propose pairs, all
+    are verified. Rows of one id are told apart by their texts; of equal rows one
+    stays. Rows with a null id stay; texts without a word are copies of each other.
+    """
     ship(spark)
     return near_copies.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a benchmark item."""
+    """Drop documents that hold a window of a benchmark item.
+
+    Null and empty texts hold none and stay; repeated rows are judged alike.
+    """
     ship(spark)
     return decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by its kind; n_chars follows."""
+    """Replace personal data and secrets by their kind; n_chars follows.
+
+    Texts without any, null and empty ones included, are left exactly as they are.
+    """
     ship(spark)
     return pii.redact(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of every document, as counts and digests, and whether decoding gives the text back."""
+    """Byte-level BPE ids of every document, with counts and digests, and whether decoding gives the text back.
+
+    Null text counts as empty; a null id stays null; a repeated row is encoded again.
+    """
     ship(spark)
-    return byte_bpe.encode_documents(docs, keep_ids=False)
+    return byte_bpe.encode_documents(docs, keep_ids=True)
 
 
 STAGES = [
@@ -64,9 +85,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_dir(spark, before)
+        before = path
     return docs
