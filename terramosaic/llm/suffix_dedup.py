@@ -20,17 +20,17 @@ anything is built.
 
 **Index.** The runs that remain in a bucket form the collection. Its
 Burrows-Wheeler transform is built column-wise: each round inserts one symbol
-of every string, from the right, at the place that the transform itself gives,
-and updates the common prefixes beside the inserted suffixes. Transform,
-suffix starts and common prefixes live in sequential external files that each
-round reads and rewrites. Suffixes whose common prefix reaches WIDTH are equal
-windows; all but the first of a group are repeats.
+(SYMBOL bytes) of every string, from the right, at the place that the transform
+itself gives, and updates the common prefixes beside the inserted suffixes.
+Transform, suffix starts and common prefixes live in sequential external files
+that each round reads and writes anew. Suffixes whose common prefix reaches
+WIDTH are equal windows; all but the first of a group are repeats.
 
 A collection is bounded by COLLECTION_BYTES. A bucket with more is built as
 several collections, anchor by anchor. One anchor with more (a line that stands
 in very many different surroundings) is split by the smallest hash that its
 windows have besides the anchor, and again by the next, until the parts fit:
-equal windows have equal grams, so they always meet.
+equal windows have equal grams, so they always meet. Equal parts shrink to one.
 
 Documents are shuffled once by a hash of their id; the rest of the shuffles
 carries packed numbers and the surviving runs.
@@ -42,6 +42,7 @@ import hashlib
 import os
 import shutil
 import tempfile
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,8 +54,14 @@ from terramosaic.llm.common import doc_chunks, text_bytes, utf8
 
 WIDTH, GRAM = 100, 32
 SPAN = WIDTH - GRAM + 1
+#: Bytes of one symbol of the transform: five, doubled, and a divisor of WIDTH.
+SYMBOL = 20
+#: Bytes by which a string that two runs must share to be looked at may fall short of a window, and one more.
+SLACK = 10
 #: Text bytes of one numpy pass, of one group of documents, and of one bucket's share.
 PASS_BYTES, GROUP_BYTES, BUCKET_BYTES = 1 << 20, 2 << 20, 16 << 20
+#: Groups of more bytes are made only beyond so many groups: groups times buckets rows are sent.
+GROUPS, LARGE_GROUP_BYTES = 256, 8 << 20
 #: Bytes of one collection; a bucket with more is built as several.
 COLLECTION_BYTES = 8 << 20
 #: Rows with one document id are told apart by their order, in the bits above a position.
@@ -150,83 +157,120 @@ def runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 class Columns:
-    """The arrays of the index, in files that are read and rewritten from front to back."""
+    """The arrays of the index, in files that are read from front to back and written anew.
+
+    A round writes files of its own and deletes those of the round before: a
+    file that is cut to nothing and written again is sent to the disk at once by
+    some file systems, one that is deleted soon never gets there.
+    """
 
     def __init__(self):
         self.folder = tempfile.mkdtemp(prefix="bwt-")
-        self.n = 0
+        self.turn = 0
 
     def put(self, **arrays: np.ndarray) -> None:
+        self.turn += 1
         for name, values in arrays.items():
-            values.tofile(f"{self.folder}/{name}")
-            self.n = len(values)
+            values.tofile(f"{self.folder}/{name}-{self.turn}")
+            if self.turn > 1:
+                os.remove(f"{self.folder}/{name}-{self.turn - 1}")
 
     def get(self, name: str, dtype: type) -> np.ndarray:
-        return np.fromfile(f"{self.folder}/{name}", dtype)
+        return np.fromfile(f"{self.folder}/{name}-{self.turn}", dtype)
 
     def close(self) -> None:
         shutil.rmtree(self.folder, ignore_errors=True)
 
 
-def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
-    """Equal leading bytes at places a and b, at most ``limit``; eight bytes a step, only where all before were equal."""
-    out, live = np.zeros(len(a), np.int64), np.arange(len(a))
-    for at in range(0, WIDTH, 8):
-        differ = words[a[live] + at] ^ words[b[live] + at]
-        lowest = differ & (~differ + U(1))
-        same = np.where(differ == 0, 8, np.log2(np.maximum(lowest, U(1)).astype(np.float64)).astype(np.int64) // 8)
-        out[live] += same
-        live = live[(differ == 0) & (limit[live] > at + 8)]
-        if not len(live):
+def in_order(key: np.ndarray, key_bits: int) -> np.ndarray:
+    """Places of the keys in ascending order, equal ones by place; key and place are sorted as one number if that holds both."""
+    bits = len(key).bit_length()
+    if key_bits + bits > 64:
+        return np.argsort(key, kind="stable")
+    return (np.sort(key.astype(U) << U(bits) | np.arange(len(key), dtype=U)) & U((1 << bits) - 1)).astype(np.int64)
+
+
+def symbols(text: np.ndarray) -> np.ndarray:
+    """A number for the SYMBOL bytes at each place: equal and ordered as the bytes are. Five bytes first, then by doubling."""
+    size = 5
+    key = np.zeros(len(text) - size + 1, U)
+    for k in range(size):
+        key = key << U(8) | text[k : k + len(key)]
+    order = in_order(key, 8 * size)
+    key = key[order]
+    new = key[1:] != key[:-1]
+    while True:
+        name = np.empty(len(order), np.int32)
+        name[order] = np.concatenate([[0], np.cumsum(new)])
+        if size == SYMBOL:
+            return name
+        order = order[order >= size] - size  # by the second half
+        first = name[order]
+        again = in_order(first, len(text).bit_length())
+        order, first = order[again], first[again]
+        second = name[order + size]
+        new = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        size *= 2
+
+
+def common_prefix(name: np.ndarray, a: np.ndarray, b: np.ndarray, end_of: np.ndarray) -> np.ndarray:
+    """Equal leading bytes, in whole symbols, of the suffixes at places a and b, at most WIDTH; a further symbol only where all before were equal."""
+    out = np.zeros(len(a), np.uint8)
+    live = np.flatnonzero(name[a] == name[b])
+    a, b = a[live], b[live]
+    limit = np.minimum(np.minimum(end_of[a] - a, end_of[b] - b) // SYMBOL * SYMBOL, WIDTH)
+    for at in range(SYMBOL, WIDTH + 1, SYMBOL):
+        out[live] = at
+        more = np.flatnonzero(limit > at)
+        more = more[name[a[more] + at] == name[b[more] + at]]
+        if not len(more):
             break
-    return np.minimum(np.minimum(out, limit), WIDTH)
+        live, a, b, limit = live[more], a[more], b[more], limit[more]
+    return out
 
 
 def build(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix starts in order, common prefix with the suffix before) of a collection of strings.
-
-    A symbol is two bytes, so every string takes part twice, whole and without
-    its last byte: together they have a suffix at each place that WIDTH bytes or
-    more follow, at half the rounds. Symbol 0 is the end of a string; no UTF-8
-    byte is 255, so others fit behind it.
+    """(suffix starts in order, common prefix with the suffix before) of a collection of strings, which a byte each sets apart.
+
+    A symbol is SYMBOL bytes, so every string takes part SYMBOL times, whole and
+    without its last bytes (where WIDTH are left): together they have a suffix
+    at each place that WIDTH bytes follow, at a SYMBOLth of the rounds. The
+    transform is kept by symbol: beside each suffix stands the place of the rest
+    behind its first symbol, which is where the transform holds that symbol. So
+    a new suffix goes behind those of smaller symbols, and of its own symbol
+    from earlier places.
     """
-    end_of = np.repeat(starts + lengths, lengths + 1).astype(np.int32)  # a place after each string belongs to it
-    first_of = np.repeat(starts, lengths + 1).astype(np.int32)
-    ends = np.concatenate([starts + lengths, starts + lengths - 1]).astype(np.int32)
-    padding = np.concatenate([text, np.zeros(WIDTH + 16, np.uint8)])
-    pairs = (padding[:-1].astype(np.uint16) << 8 | padding[1:]) + np.uint16(1)
-    words = np.zeros(len(padding) - 8, U)
-    for k in range(8):
-        words |= padding[k : k + len(words)].astype(U) << U(8 * k)
-    m, fresh = len(ends), np.arange(len(ends))
+    name = symbols(text)
+    first_of, end_of = np.repeat(starts, lengths + 1).astype(np.int32), np.repeat(starts + lengths, lengths + 1).astype(np.int32)
+    begin = np.concatenate([(starts + lengths - k)[lengths - k >= WIDTH] for k in range(SYMBOL)]).astype(np.int32)
+    m, at = len(begin), np.arange(len(begin))  # empty suffixes come first
     files = Columns()
     try:
-        files.put(bwt=pairs[ends - 2], start=ends, prefix=np.zeros(m, np.uint8))
-        while len(fresh):
-            bwt, start, prefix = files.get("bwt", np.uint16), files.get("start", np.int32), files.get("prefix", np.uint8)
-            order = np.argsort(bwt, kind="stable")
-            order = order[np.count_nonzero(bwt == 0) :]
-            is_fresh = np.zeros(len(bwt), bool)
-            is_fresh[fresh] = True
-            new = is_fresh[order]
-            place = m + np.flatnonzero(new)  # empty suffixes come first, then one suffix for each symbol
-            begin = start[order[new]] - 2
-            more = begin - 2 >= first_of[begin]
-            symbol = np.where(more, pairs[np.maximum(begin - 2, 0)], 0).astype(np.uint16)
-            size = len(bwt) + len(place)
+        files.put(start=np.zeros(0, np.int32), rest=np.zeros(0, np.int32), prefix=np.zeros(0, np.uint8))
+        while len(at):
+            start, rest, prefix = files.get("start", np.int32), files.get("rest", np.int32), files.get("prefix", np.uint8)
+            begin = begin - np.int32(SYMBOL)
+            fresh = name[begin].astype(np.int64) << 32 | at
+            order = np.argsort(fresh)
+            fresh, begin, at = fresh[order], begin[order], at[order]
+            place = np.searchsorted(name[start].astype(np.int64) << 32 | rest, fresh) + np.arange(len(fresh))
+            size = len(start) + len(place)
             old = np.ones(size, bool)
             old[place] = False
+            moved = np.concatenate([np.arange(m, dtype=np.int32), (np.flatnonzero(old) + m).astype(np.int32)])
             merged = {}
-            for name, before, added in (("bwt", bwt, symbol), ("start", start, begin), ("prefix", prefix, 0)):
-                merged[name] = np.empty(size, before.dtype)
-                merged[name][old], merged[name][place] = before, added
-            touched = np.concatenate([place, place + 1])
-            touched = touched[(touched > m) & (touched < size)]
-            a, b = merged["start"][touched - 1], merged["start"][touched]
-            merged["prefix"][touched] = common_prefix(words, a, b, np.minimum(end_of[a] - a, end_of[b] - b))
+            for key, before, added in (("start", start, begin), ("rest", moved[rest], moved[at]), ("prefix", prefix, 0)):
+                merged[key] = np.empty(size, before.dtype)
+                merged[key][old], merged[key][place] = before, added
+            touched = np.zeros(size + 1, bool)
+            touched[place] = touched[place + 1] = True
+            touched[0] = touched[size] = False
+            touched = np.flatnonzero(touched)
+            merged["prefix"][touched] = common_prefix(name, merged["start"][touched - 1], merged["start"][touched], end_of)
             files.put(**merged)
-            fresh = place[more]
-        return files.get("start", np.int32)[m:].astype(np.int64), files.get("prefix", np.uint8)[m:]
+            more = begin - SYMBOL >= first_of[begin]
+            at, begin = place[more] + m, begin[more]
+        return files.get("start", np.int32).astype(np.int64), files.get("prefix", np.uint8)
     finally:
         files.close()
 
@@ -282,11 +326,22 @@ def split_runs(strings: list[bytes], base: np.ndarray, used: list[int]) -> tuple
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def first_of_equal(strings: list[bytes], doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether each string is the first of its equals, by document and place."""
+    seen, first = set(), np.zeros(len(strings), bool)
+    for k in np.lexsort((place, doc)).tolist():
+        if strings[k] not in seen:
+            seen.add(strings[k])
+            first[k] = True
+    return first
+
+
 def collection_repeats(strings: list[bytes], doc: np.ndarray, place: np.ndarray, anchor: np.ndarray, offset_in: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As repeats(); built as collections of at most COLLECTION_BYTES, by anchor and then by further grams of a window.
 
-    A run that is alone with its grams has no equal window and is done. Only
-    what shares all of its SPAN grams, that is equal windows, cannot be split.
+    A run that is alone with its grams has no equal window and is done. Of equal
+    pieces of cut runs the first one stays and the others are repeats as wholes,
+    so what shares all of its SPAN grams, that is equal windows, is one piece.
     """
     out: list[tuple[np.ndarray, np.ndarray]] = []
     pending: list[tuple[np.ndarray, ...]] = []
@@ -318,6 +373,12 @@ def collection_repeats(strings: list[bytes], doc: np.ndarray, place: np.ndarray,
             if own > COLLECTION_BYTES and len(grams) < SPAN:
                 cut = [strings[k][x : x + m] for k, x, m in zip(*(y.tolist() for y in mine), strict=True)]
                 part, low, length, fresh, place_of = split_runs(cut, offset_in[mine[0]] - mine[1], grams)
+                keep = first_of_equal([cut[k][x : x + m] for k, x, m in zip(part.tolist(), low.tolist(), length.tolist(), strict=True)], doc[mine[0][part]], (place[mine[0]] + mine[1])[part] + low)
+                again = np.flatnonzero(~keep)
+                windows = length[again] - WIDTH + 1
+                step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+                out.append((np.repeat(mine[0][part[again]], windows), np.repeat((mine[1][part] + low)[again], windows) + step))
+                part, low, length, fresh, place_of = (x[keep] for x in (part, low, length, fresh, place_of))
                 todo.append((mine[0][part], mine[1][part] + low, length, fresh, place_of, grams))
                 continue
             if total + own > COLLECTION_BYTES:
@@ -440,15 +501,9 @@ def candidate_runs(n_buckets: int):
         at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
         keep = known[at] == anchor
         doc, begin, size, anchor, shift = doc[keep], begin[keep], n_windows[keep] + WIDTH - 1, anchor[keep], shift[keep]
-        whole, seen, first = raw.tobytes(), set(), np.zeros(len(doc), bool)
+        whole, place = raw.tobytes(), begin - offsets[doc] + rank[doc]
         # Ids ascend except that a null id, which sorts last here, comes before all others.
-        order = np.lexsort((begin - offsets[doc] + rank[doc], ids[doc]))
-        for k, a, n in zip(order.tolist(), begin[order].tolist(), size[order].tolist(), strict=True):
-            string = whole[a : a + n]
-            if string not in seen:
-                seen.add(string)
-                first[k] = True
-        place = begin - offsets[doc] + rank[doc]
+        first = first_of_equal([whole[a : a + n] for a, n in zip(begin.tolist(), size.tolist(), strict=True)], ids[doc], place)
         rows = []
         picked = np.flatnonzero(first)
         for bucket, k in split_by((anchor[picked] % U(n_buckets)).astype(np.int64), picked):
@@ -476,22 +531,21 @@ def merge_cuts(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def may_share(own: list[int], strings: list[bytes], anchor: np.ndarray, offset_in: np.ndarray) -> np.ndarray:
+def may_share(own: list[int], strings: list[bytes], offset_in: np.ndarray) -> np.ndarray:
     """Runs that can share a window with another one of their anchor.
 
-    Beside the anchor a shared window has WIDTH - GRAM equal bytes, so at least
-    half of these lie on one side: another run has the same bytes there.
+    A shared window holds the anchor ``left`` bytes from its start, and so, for
+    the next lower multiple of SLACK, the WIDTH - SLACK + 1 bytes that begin that
+    much before the anchor: another run has the same bytes there.
     """
-    half, keys, seen = (WIDTH - GRAM) // 2, [], {}
-    for k, a, at in zip(own, anchor[own].tolist(), offset_in[own].tolist(), strict=True):
-        s = strings[k]
-        left = (a, 0, s[at - half : at]) if at >= half else None
-        right = (a, 1, s[at + GRAM : at + GRAM + half]) if at + GRAM + half <= len(s) else None
-        keys.append((left, right))
-        for key in (left, right):
-            seen[key] = seen.get(key, 0) + 1
-    seen[None] = 0
-    return np.array([seen[left] > 1 or seen[right] > 1 for left, right in keys], bool)
+    size, live = WIDTH - SLACK + 1, np.zeros(len(own), bool)
+    runs = [(strings[k], at) for k, at in zip(own, offset_in[own].tolist(), strict=True)]
+    for left in range(0, SPAN, SLACK):
+        keys = [s[at - left : at - left + size] if left <= at <= len(s) - size + left else None for s, at in runs]
+        seen = Counter(keys)
+        seen[None] = 0
+        live |= np.fromiter((seen[key] > 1 for key in keys), bool, len(keys))
+    return live
 
 
 def bucket_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -517,17 +571,12 @@ def bucket_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not strings:
         return
     doc, place, group, anchor, offset_in = map(np.concatenate, (doc, place, group, anchor, offset_in))
-    best: dict[bytes, int] = {}
-    again = []
-    for k in np.lexsort((place, doc)).tolist():
-        if best.setdefault(strings[k], k) != k:
-            again.append(k)
-    own = np.array(sorted(best.values()), np.int64)
+    first = first_of_equal(strings, doc, place)
+    own, again = np.flatnonzero(first), np.flatnonzero(~first)
     _, inverse, counts = np.unique(anchor[own], return_inverse=True, return_counts=True)
     own = own[counts[inverse] > 1]  # a run never repeats a window of its own, so one that is alone with its anchor is done
-    own = own[may_share(own.tolist(), strings, anchor, offset_in)]
+    own = own[may_share(own.tolist(), strings, offset_in)]
     string, offset = collection_repeats([strings[k] for k in own.tolist()], doc[own], place[own], anchor[own], offset_in[own])
-    again = np.array(again, np.int64)
     size = np.array([len(strings[k]) for k in again.tolist()], np.int64)
     all_doc = np.concatenate([doc[again], doc[own][string]])
     begin = np.concatenate([place[again], place[own][string] + offset])
@@ -581,7 +630,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     total = text_bytes(docs, text_col)
     spark = docs.sparkSession
-    n_groups = max(1, -(-total // GROUP_BYTES))
+    n_groups = max(1, min(GROUPS, -(-total // GROUP_BYTES)), -(-total // LARGE_GROUP_BYTES))
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n_groups)).cast("int").alias("grp"))
     entries = own.select("_text", "grp").mapInArrow(count_entries(n_buckets), ddl(ENTRIES))

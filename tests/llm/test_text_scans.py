@@ -129,6 +129,55 @@ def test_a_line_in_100000_surroundings_stays_within_bounds(monkeypatch):
     assert len(sizes) > 5 and max(sizes) <= 1 << 20
 
 
+def test_the_index_writes_few_bytes(monkeypatch):
+    """Two bytes a symbol wrote 295 bytes for a byte of text: the time of large tables went there."""
+    rng = np.random.default_rng(4)
+    strings = [bytes(x) for x in rng.integers(97, 99, (300, 168)).astype(np.uint8)]
+    strings += [s[20:140] for s in strings[::3]] + [s[60:] + b"abab" for s in strings[::7]]
+    sent, put = [], suffix_dedup.Columns.put
+
+    def watched(self, **arrays):
+        sent.append(sum(x.nbytes for x in arrays.values()))
+        put(self, **arrays)
+
+    monkeypatch.setattr(suffix_dedup.Columns, "put", watched)
+    n = len(strings)
+    found = set(zip(*(x.tolist() for x in suffix_dedup.repeats(strings, np.arange(n), np.zeros(n, np.int64)))))
+    seen, want = set(), set()
+    for k, text in enumerate(strings):
+        for w in range(len(text) - 99):
+            if text[w : w + 100] in seen:
+                want.add((k, w))
+            seen.add(text[w : w + 100])
+    assert found == want and want
+    assert sum(sent) < 60 * sum(map(len, strings))
+
+
+def test_one_window_in_many_surroundings_is_one_piece(monkeypatch):
+    """A line of 110 bytes in 3,000 surroundings: its windows, which no gram can split, shrink to one each and never make a large collection."""
+    rng = np.random.default_rng(5)
+    line, letters = bytes(rng.integers(97, 123, 110).astype(np.uint8)), rng.integers(97, 123, (3000, 60)).astype(np.uint8)
+    strings, doc, place, anchor, offset = distinct_runs([row[:30].tobytes() + line + row[30:].tobytes() for row in letters])
+    hot = np.flatnonzero(anchor == max(set(anchor.tolist()), key=anchor.tolist().count))
+    sizes, plain = [], suffix_dedup.repeats
+
+    def watched(own, *rest):
+        sizes.append(sum(map(len, own)) + len(own))
+        return plain(own, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "COLLECTION_BYTES", 50_000)
+    monkeypatch.setattr(suffix_dedup, "repeats", watched)
+    found = set(zip(*(x.tolist() for x in suffix_dedup.collection_repeats([strings[k] for k in hot.tolist()], *(x[hot] for x in (doc, place, anchor, offset))))))
+    seen, want = set(), set()
+    for k, text in enumerate(strings[k] for k in hot.tolist()):
+        for w in range(len(text) - 99):
+            if text[w : w + 100] in seen:
+                want.add((k, w))
+            seen.add(text[w : w + 100])
+    assert found == want and len(want) > 2000
+    assert max(sizes, default=0) <= 50_000
+
+
 # ---- op5
 
 
