@@ -13,9 +13,12 @@ thousand numbers and are broadcast.
 A text is cut into windows of WINDOW characters at every STRIDE, and every
 window is run. Reconciling is global: the emission scores of overlapping windows
 are averaged, those near a window's edge with less weight, and the whole text is
-decoded once under the CRF. That decode is exact and yet done in blocks: a cut
-between blocks is kept only if all paths that survive LOOK characters further on
-run through "outside" at the cut; otherwise the two blocks are decoded as one.
+decoded once under the CRF. That decode is exact and yet confined to the runs in
+which a bound on the gain of every path allows it to leave "outside", and done in
+blocks: a cut between blocks is kept only if all paths that survive LOOK
+characters further on run through "outside" at the cut; otherwise the two blocks
+are decoded as one. A piece of a text longer than PIECE, but for the last, is
+done in blocks alone.
 
 Tagged spans join the base spans if they pass the test of their kind (digits,
 parts, Luhn, length) and overlap no base span. Base spans always stay.
@@ -46,6 +49,8 @@ TRAINED = 96
 BATCH, PIECE = 1024, 1 << 19
 #: Characters of a block of the decode, in which a cut is looked for, and by which a cut must be settled.
 BLOCK, CHOICE, LOOK = 448, 32, 48
+#: Score by which "outside" must be ahead to be taken without a decode; far above the rounding of one.
+DOUBT = 0.05
 #: Tags: 0 outside, 1 + k inside a span of kind k. Spans of one kind that touch are one.
 TAGS = 1 + len(KINDS)
 
@@ -181,32 +186,38 @@ class Direction:
                 tape.append((before_h, before_c, i.copy(), f.copy(), o.copy(), g.copy(), tc))
         return out, tape
 
-    def scan(self, ids: np.ndarray) -> np.ndarray:
-        """As forward(), shape (steps, HIDDEN, windows): the layout in which long scans are fastest."""
+    def scan(self, ids: np.ndarray, out: np.ndarray) -> None:
+        """As forward(), into ``out`` (steps, HIDDEN, windows), an even number of windows, twice as large.
+
+        This layout is fastest for long scans. Input weights are fetched for two
+        windows at once; doubled states save the halving of every gate.
+        """
         n, steps = ids.shape
-        h, c, out = np.zeros((HIDDEN, n), np.float32), np.zeros((HIDDEN, n), np.float32), np.empty((steps, HIDDEN, n), np.float32)
+        h, c = np.zeros((HIDDEN, n), np.float32), np.zeros((HIDDEN, n), np.float32)
         z, size, from_h = (np.empty((4 * HIDDEN, n), np.float32) for _ in range(3))
-        x, weights = np.ascontiguousarray(self.p["x"].T), np.ascontiguousarray(self.p["h"].T)
-        half, one, columns = np.float32(0.5), np.float32(1), np.ascontiguousarray(ids.T).astype(np.intp)
+        one, half, weights = np.float32(1), np.float32(0.5), np.ascontiguousarray(self.p["h"].T) / np.float32(2)
+        pairs = np.empty((4 * HIDDEN, CLASSES, CLASSES, 2), np.float32)
+        pairs[..., 0], pairs[..., 1] = self.p["x"].T[:, :, None], self.p["x"].T[:, None, :]
+        x, z_pairs = pairs.view(np.float64).reshape(4 * HIDDEN, CLASSES * CLASSES), z.view(np.float64)
+        columns = np.ascontiguousarray((ids[::2].astype(np.intp) * CLASSES + ids[1::2]).T)
+        gates, i, f, o, g = z[: 3 * HIDDEN], *(z[k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
         for t in range(steps):
-            np.take(x, columns[t], axis=1, out=z, mode="clip")
+            x.take(columns[t], axis=1, out=z_pairs, mode="clip")
             np.matmul(weights, h, out=from_h)
             z += from_h
             np.abs(z, out=size)
             size += one
             z /= size
-            gates, g = z[: 3 * HIDDEN], z[3 * HIDDEN :]
-            gates *= half
-            gates += half
-            c *= gates[HIDDEN : 2 * HIDDEN]
-            g *= gates[:HIDDEN]
+            gates += one
+            c *= f
+            g *= i
             c += g
+            c *= half
             h = out[t]
             np.abs(c, out=h)
             h += one
             np.divide(c, h, out=h)
-            h *= gates[2 * HIDDEN :]
-        return out
+            h *= o
 
     def backward(self, ids: np.ndarray, tape: list, grad: np.ndarray) -> dict[str, np.ndarray]:
         out = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -237,9 +248,13 @@ class Tagger:
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
         """Tag scores of windows, shape (windows, characters, tags)."""
-        left, right = self.left.scan(ids), self.right.scan(ids[:, ::-1])[::-1]
-        ahead, behind = (np.ascontiguousarray(w.T) for w in (self.p["out"][:HIDDEN], self.p["out"][HIDDEN:]))
-        return (ahead @ left + behind @ right + self.p["bias"][:, None]).transpose(2, 0, 1)
+        n, steps = ids.shape
+        if n % 2:
+            return self.emissions(np.concatenate([ids, ids[-1:]]))[:n]
+        states = np.empty((steps, 2 * HIDDEN, n), np.float32)
+        self.left.scan(ids, states[:, :HIDDEN])
+        self.right.scan(ids[:, ::-1], states[::-1, HIDDEN:])
+        return (states.transpose(0, 2, 1) @ (self.p["out"] / np.float32(2)) + self.p["bias"]).transpose(1, 0, 2)
 
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, list[dict[str, np.ndarray]]]:
         """Mean negative log likelihood and its gradients, by the forward-backward algorithm."""
@@ -398,28 +413,69 @@ def edge_weights() -> np.ndarray:
     return np.minimum(np.minimum(place, WINDOW - 1 - place) + 1, WINDOW - STRIDE).astype(np.float32)
 
 
-def emissions_of(tagger: Tagger, pieces: list[tuple[np.ndarray, int, int]]) -> np.ndarray:
-    """Tag scores of the characters low..high of some texts (classes, low, high), one after the other: window scores, averaged."""
-    rows, target, size = [], [], 0
+def emissions_of(tagger: Tagger, pieces: list[tuple[np.ndarray, int, int]]) -> tuple[np.ndarray, list[int]]:
+    """(tag scores, where each piece starts in them) of the characters low..high of some texts (classes, low, high): window scores, averaged.
+
+    A window has STRIDE rows of scores, and a piece as many more, into which its last window reaches.
+    """
+    places, spots, own_ids, size = [], [], [], 0
     for own, low, high in pieces:
-        last = windows_of(len(own))[-1]
-        for at in range(max(0, (low - WINDOW) // STRIDE + 1) * STRIDE, min(last, high - 1) + 1, STRIDE):
-            window = own[at : at + WINDOW]
-            rows.append(padded(window, WINDOW) if len(window) < WINDOW else window)
-            first, end = max(at, low), min(at + WINDOW, high)
-            target.append((first - at, end - at, size + first - low))
-        size += high - low
-    score, total, weight = np.zeros((size, TAGS), np.float32), np.zeros(size, np.float32), edge_weights()
-    for a in range(0, len(rows), BATCH):
-        emit = np.ascontiguousarray(tagger.emissions(np.stack(rows[a : a + BATCH])) * weight[None, :, None])
-        for own, (x, y, spot) in zip(emit, target[a : a + BATCH], strict=True):
-            score[spot : spot + y - x] += own[x:y]
-            total[spot : spot + y - x] += weight[x:y]
-    score /= np.maximum(total, 1e-9)[:, None]
-    return score
-
-
-def blocks_in(score: np.ndarray, low: int, high: int, final: bool, closed: set[int]) -> list[int]:
+        first = max(0, (low - WINDOW) // STRIDE + 1) * STRIDE
+        n = len(range(first, min(windows_of(len(own))[-1], high - 1) + 1, STRIDE))
+        own_ids.append(padded(own[first : first + (n - 1) * STRIDE + WINDOW], (n + 1) * STRIDE))
+        places.append(np.arange(size, size + n))
+        spots.append(size * STRIDE + low - first)
+        size += n + 1
+    place, weight, both = np.concatenate(places), edge_weights(), WINDOW - STRIDE
+    total = weight[:both] + weight[STRIDE:]
+    after, before = (np.isin(place + step, place)[:, None] for step in (-1, 1))  # whether a window comes after, before another
+    front, back = np.where(after, weight[:both] / total, np.float32(1)), np.where(before, weight[STRIDE:] / total, np.float32(1))
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate(own_ids), WINDOW)[::STRIDE]
+    score = np.zeros((size, STRIDE, TAGS), np.float32)
+    for a in range(0, len(place), BATCH):
+        own = place[a : a + BATCH]
+        emit = tagger.emissions(windows[own])
+        emit[:, :both] *= front[a : a + BATCH, :, None]
+        emit[:, STRIDE:] *= back[a : a + BATCH, :, None]
+        score[own, both:] = emit[:, both:STRIDE]
+        score[own, :both] += emit[:, :both]
+        score[own + 1, :both] += emit[:, STRIDE:]
+    return score.reshape(-1, TAGS), spots
+
+
+def doubtful(tagger: Tagger, score: np.ndarray, bounds: list[tuple[int, int, bool, bool]]) -> list[list[tuple[int, int, bool, bool]]]:
+    """The runs (low, high, begins, free) of whole pieces to which the decode can be confined, for each piece.
+
+    A path that leaves "outside" for some characters gains at most the sum of
+    their largest leads over "outside", with the best moves there, on and back.
+    Where no such stretch around a character gains anything, the best path is
+    outside. A run has one such character at either end, unless the piece begins
+    or ends there.
+    """
+    move = tagger.p["move"].astype(np.float64) - float(tagger.p["move"][0, 0])
+    there, on, back = move[0, 1:].max(), move[1:, 1:].max(), move[1:, 0].max()
+    lead = score[:, 1].copy()
+    for tag in range(2, TAGS):
+        np.maximum(lead, score[:, tag], out=lead)
+    lead -= score[:, 0]
+    out = []
+    for low, high, begins, _ in bounds:
+        low += not begins  # already outside
+        gain = lead[low:high] + on
+        if not len(gain):
+            out.append([])
+            continue
+        gain[0] += max(0.0, -there) * begins  # no move leads to the first character, or from the last
+        gain[-1] += max(0.0, -back)
+        gain = np.concatenate([[0.0], np.cumsum(gain)])
+        most = np.maximum.accumulate(gain[:0:-1])[::-1] - np.minimum.accumulate(gain[:-1]) + (there + back - on)
+        edge = np.flatnonzero(np.diff(most > -DOUBT, prepend=False, append=False)).tolist()
+        end = high - low
+        out.append([(low + max(a - 1, -(not begins)), low + min(b + 1, end), begins and a == 0, b == end) for a, b in zip(edge[::2], edge[1::2], strict=True)])
+    return out
+
+
+def blocks_in(score: np.ndarray, low: int, high: int, closed: set[int]) -> list[int]:
     """Where the decode of low..high may be cut: near every BLOCK characters, where "outside" leads most."""
     cuts, at = [], low + BLOCK
     end = high - LOOK
@@ -447,7 +503,7 @@ def best_paths(tagger: Tagger, score: np.ndarray, rows: list[tuple[int, int, int
     value = np.empty((steps, TAGS, n), np.float32)  # best score of each tag at each step
     value[0] = score[start].T + np.where(begins, np.float32(0), outside)
     option, stays = np.empty((TAGS, n), np.float32), np.empty((steps, n), bool)  # stays: outside comes from outside
-    columns, to = np.ascontiguousarray(score.T), [m[:, None] for m in move]
+    to = [m[:, None] for m in move]
     for t in range(1, steps):
         best, before = value[t], value[t - 1]
         np.add(before[0], to[0], out=best)
@@ -456,7 +512,7 @@ def best_paths(tagger: Tagger, score: np.ndarray, rows: list[tuple[int, int, int
             np.add(before[tag], to[tag], out=option)
             np.maximum(best, option, out=best)
         np.equal(best[0], alone, out=stays[t])
-        best += columns.take(start + t, axis=1, mode="clip")
+        best += score.take(start + t, axis=0, mode="clip").T
         if t >= shortest:
             best[:, t >= length] = before[:, t >= length]
     every, spot = np.arange(n), np.where(free, length - 1, cut - start)
@@ -479,35 +535,36 @@ def decoded(tagger: Tagger, score: np.ndarray, bounds: list[tuple[int, int, bool
     """(tag of each character, where each piece is settled to) under the CRF, for pieces (low, high, begins, final) of ``score``.
 
     The result is that of one decode of a whole piece. A piece that is not final
-    is settled to its last cut; 0 characters if there is none.
+    is settled to its last cut; 0 characters if there is none. A final piece is
+    decoded where it can be other than outside.
     """
-    tags, settled = np.zeros(len(score), np.int8), [0] * len(bounds)
-    closed: list[set[int]] = [set() for _ in bounds]
-    todo = [k for k, (low, high, _, _) in enumerate(bounds) if high > low]
+    tags, settled = np.zeros(len(score), np.int8), [high if final else low for low, high, _, final in bounds]
+    whole = [k for k, b in enumerate(bounds) if b[3]]
+    runs = [(None, *run) for found in doubtful(tagger, score, [bounds[k] for k in whole]) for run in found]
+    runs += [(k, low, high, begins, False) for k, (low, high, begins, final) in enumerate(bounds) if not final]
+    closed: list[set[int]] = [set() for _ in runs]
+    todo = list(range(len(runs)))
     while todo:
-        rows, owner = [], []
-        for k in todo:
-            low, high, begins, final = bounds[k]
-            cuts = blocks_in(score, low, high, final, closed[k])
-            starts = [low, *cuts]
-            for j, a in enumerate(starts):
-                if j + 1 < len(starts):
-                    rows.append((a, starts[j + 1], min(high, starts[j + 1] + LOOK), begins and j == 0))
-                    owner.append(k)
-                elif final:
-                    rows.append((a, high, high, begins and j == 0))
-                    owner.append(k)
-            settled[k] = high if final else starts[-1]
+        rows = []
+        for r in todo:
+            unsettled, low, high, begins, free = runs[r]
+            starts = [low, *blocks_in(score, low, high, closed[r])]
+            rows += [(a, b, min(high, b + LOOK), begins and a == low, r) for a, b in zip(starts, starts[1:], strict=False)]
+            if unsettled is None:
+                rows.append((starts[-1], high if free else high - 1, high, begins and len(starts) == 1, r))
+            else:
+                settled[unsettled] = starts[-1]
         again: set[int] = set()
+        rows.sort(key=lambda row: row[2] - row[0])
         for a in range(0, len(rows), BATCH):
             part = rows[a : a + BATCH]
-            path, ok = best_paths(tagger, score, part)
-            for (low, cut, end, _), k, own, sure in zip(part, owner[a : a + BATCH], path, ok.tolist(), strict=True):
+            path, ok = best_paths(tagger, score, [row[:4] for row in part])
+            for (low, cut, end, _, r), own, sure in zip(part, path, ok.tolist(), strict=True):
                 stop = end if cut == end else cut
                 tags[low:stop] = own[: stop - low]
-                if not sure:
-                    closed[k].add(cut)
-                    again.add(k)
+                if not sure and not (runs[r][0] is None and cut == runs[r][2] - 1):  # the last character of a run is outside
+                    closed[r].add(cut)
+                    again.add(r)
         todo = sorted(again)
     return tags, settled
 
@@ -524,18 +581,19 @@ def tags_of(tagger: Tagger, texts: list[str]) -> list[np.ndarray]:
     own = [classes(t) for t in texts]
     short = [k for k, t in enumerate(texts) if 0 < len(t) <= PIECE]
     for a, b in in_batches([texts[k] for k in short], PIECE):
-        ends = np.cumsum([0, *(len(texts[k]) for k in short[a:b])]).tolist()
-        tags, _ = decoded(tagger, emissions_of(tagger, [(own[k], 0, len(own[k])) for k in short[a:b]]), [(x, y, True, True) for x, y in zip(ends, ends[1:], strict=False)])
-        for k, x, y in zip(short[a:b], ends, ends[1:], strict=False):
-            out[k] = tags[x:y]
+        score, spots = emissions_of(tagger, [(own[k], 0, len(own[k])) for k in short[a:b]])
+        tags, _ = decoded(tagger, score, [(x, x + len(own[k]), True, True) for k, x in zip(short[a:b], spots, strict=True)])
+        for k, x in zip(short[a:b], spots, strict=True):
+            out[k] = tags[x : x + len(own[k])]
     for k, text in enumerate(texts):
         at, size = 0, PIECE
         while len(text) > PIECE and at < len(text):
             high = min(len(text), at + size)
-            tags, settled = decoded(tagger, emissions_of(tagger, [(own[k], at, high)]), [(0, high - at, at == 0, high == len(text))])
-            out[k][at : at + settled[0]] = tags[: settled[0]]
-            size = PIECE if settled[0] else 2 * size
-            at += settled[0]
+            score, (x,) = emissions_of(tagger, [(own[k], at, high)])
+            tags, (end,) = decoded(tagger, score, [(x, x + high - at, at == 0, high == len(text))])
+            out[k][at : at + end - x] = tags[x:end]
+            size = PIECE if end > x else 2 * size
+            at += end - x
     return out
 
 
@@ -581,8 +639,8 @@ def in_batches(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= limit):
-            size += len(texts[end])
+        while end < len(texts) and (end == at or size + max(WINDOW, len(texts[end])) <= limit):
+            size += max(WINDOW, len(texts[end]))  # a window is run whole
             end += 1
         yield at, end
         at = end

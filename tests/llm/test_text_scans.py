@@ -466,6 +466,44 @@ def test_decoding_equals_one_plain_decode(monkeypatch):
         assert [t.tolist() for t in pii.tags_of(tagger, texts)] == want
 
 
+def test_prose_is_not_decoded_twice_over(monkeypatch):
+    """The decode runs where a path could leave outside, which in prose is next to nowhere, and not over every character."""
+    run, seen = pii.best_paths, []
+    monkeypatch.setattr(pii, "best_paths", lambda tagger, score, rows: seen.extend(rows) or run(tagger, score, rows))
+    prose = ["the cat sat on the mat and looked at the dog, which slept. " * n for n in (1, 20, 300)]
+    found = pii.tagged_spans(pii.default_tagger(), [*prose, prose[1] + "info(at)firma.de " + prose[1]])
+    assert found[:3] == [[], [], []] and [k for _, k, _ in found[3]] == ["email"]
+    assert sum(end - start for start, _, end, _ in seen) < 0.05 * sum(map(len, prose))
+
+
+def test_confined_decode_equals_one_plain_decode(monkeypatch):
+    """Random scores, from outside everywhere to spans everywhere, pieces that begin or go on, end or do not."""
+    rng = np.random.default_rng(8)
+    for name, value in (("BLOCK", 40), ("CHOICE", 4), ("LOOK", 2)):
+        monkeypatch.setattr(pii, name, value)
+    for trial in range(150):
+        tagger = pii.Tagger()
+        tagger.p["move"] = rng.normal(0, 1.5, (pii.TAGS, pii.TAGS)).astype(np.float32)
+        sizes = rng.integers(1, 150, 4)
+        score = rng.normal(0, 2, (int(sizes.sum()), pii.TAGS)).astype(np.float32)
+        score[:, 0] += (-4, 0, 2, 4, 6, 9)[trial % 6]
+        ends = np.cumsum([0, *sizes]).tolist()
+        bounds = [(a, b, bool(rng.integers(0, 2)), True) for a, b in zip(ends, ends[1:], strict=False)]
+        tags, settled = pii.decoded(tagger, score, bounds)
+        assert settled == ends[1:]
+        move = tagger.p["move"].astype(np.float64)
+        for low, high, begins, _ in bounds:
+            best, back = score[low] + (0 if begins else np.array([0, *[-1e9] * (pii.TAGS - 1)])), []
+            for t in range(low + 1, high):
+                options = best[:, None] + move
+                back.append(options.argmax(axis=0))
+                best = options.max(axis=0) + score[t]
+            path = [int(best.argmax())]
+            for row in reversed(back):
+                path.append(int(row[path[-1]]))
+            assert tags[low:high].tolist() == path[::-1], (trial, low, high)
+
+
 def test_tagger_on_held_out_texts():
     """Spans that the base patterns cannot find are added, and clean text is left alone."""
     found = right = extra = wrong = total = 0
