@@ -88,6 +88,43 @@ def test_recall_over_many_blocks(spark, clusters):
         assert few == {q: want[q] for q in few} and len(few) == 20
 
 
+def odd_vectors(kind, n, dim):
+    """Vectors that a sample says little about: lengths far apart, close copies by the thousand, queries unlike the rest, one common direction."""
+    rng = np.random.default_rng(19)
+    x = rng.normal(size=(n, dim))
+    if kind == "lengths":
+        x *= rng.pareto(1.5, (n, 1)) + 0.01
+    elif kind == "copies":
+        x[: n // 2] = x[0] + 0.001 * x[: n // 2]
+    elif kind == "queries":
+        x[1:] = 3 * np.eye(dim)[rng.integers(0, 8, n - 1)] + 0.05 * x[1:]
+        x[::500] = -rng.normal(size=(len(x[::500]), dim))
+    elif kind == "direction":
+        x = 0.1 * x + 5
+    return x.astype(np.float32).astype(float)
+
+
+@pytest.mark.parametrize("kind", ["lengths", "copies", "queries", "direction"])
+def test_none_of_the_nearest_is_missed(spark, kind):
+    import pyarrow as pa
+
+    n, dim = 20_000, 24
+    x = odd_vectors(kind, n, dim)
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).ravel()), dim).cast(pa.list_(pa.float32()))
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": flat})).repartition(4)
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 500 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert got == brute(np.arange(n), x, range(0, n, 500))
+
+
+def test_rows_with_a_querys_own_id_crowd_nothing_out(spark):
+    rows = [(20, [1.0, 1.0]) for _ in range(100)] + [(30, [1.0, 1.0]) for _ in range(3)] + [(i, [1.0, 1.0]) for i in range(31, 60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = [r["vec_id"] for r in ann.nearest(df, F.col("vec_id") == 20).orderBy("rank").collect()]
+    assert got == [30, 30, 30, *range(31, 48)]
+
+
 def test_a_crowded_cell_is_spread_over_blocks():
     homes = ann.blocks_of({0: 10, 1: 20, 2: 9000, 5: 30, 6: 4090}, 4096)
     assert homes == {0: (0, 1), 1: (0, 1), 2: (1, 3), 5: (4, 1), 6: (5, 1)}
