@@ -32,6 +32,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from terramosaic.llm.common import tidy
+
 #: Memo entries before a memo is emptied: words, pattern matches, token pairs. Together near 150 MB.
 MEMO_WORDS, MEMO_PIECES, MEMO_PAIRS = 300_000, 150_000, 250_000
 #: Longer pieces are not kept in the memo.
@@ -215,6 +217,12 @@ class ByteBPE:
                     found[i] = ids
         return self.run(first) + b"".join(found)
 
+    def forget(self) -> None:
+        """Empty the memos."""
+        self.words.clear()
+        self.pieces.clear()
+        self.compatible.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -229,6 +237,12 @@ def codec(vocab: str, pattern: str) -> ByteBPE:
     return _CODECS[vocab, pattern]
 
 
+def forget() -> None:
+    """Empty the memos of this process; the codecs themselves (a few MB) stay."""
+    for kept in _CODECS.values():
+        kept.forget()
+
+
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, pattern: str | None = None, keep_ids: bool = True) -> DataFrame:
     """One row for each input row: id, n_tokens, ids (array), ids_sha256, decoded_sha256, lossless.
 
@@ -260,4 +274,4 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_pydict(out)
 
     schema = f"`{id_col}` {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, lossless boolean"
-    return docs.select(id_col, text_col).mapInArrow(rows, schema + ", ids array<int>" * keep_ids)
+    return docs.select(id_col, text_col).mapInArrow(tidy(rows, forget), schema + ", ids array<int>" * keep_ids)

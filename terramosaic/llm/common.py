@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,37 @@ def doc_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[
         at = min(end, n)
 
 
+Rows = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(rows: Rows, forget: Callable[[], None] | None = None) -> Rows:
+    """A map of batches that leaves nothing behind in its worker process.
+
+    Spark keeps workers for later tasks, those of other operators too. At the end
+    of a task ``forget`` drops what the map has kept, and freed memory, which the
+    allocators would hold, goes back to the system.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            if forget is not None:
+                forget()
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system, where its allocators can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors the sources, and bound what a Python worker holds at once.
 

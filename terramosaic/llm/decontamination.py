@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terramosaic.llm.common import doc_chunks, remove_written, text_bytes, utf8, written
+from terramosaic.llm.common import doc_chunks, remove_written, text_bytes, tidy, utf8, written
 from terramosaic.llm.words import words
 
 WINDOW = 10
@@ -252,7 +252,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
             if before != "first":
                 remove_written(before)
         before = "first" if before is None else here
-        here = here.mapInArrow(pass_over(spark.sparkContext.broadcast(block), window, details), schema)
+        here = here.mapInArrow(tidy(pass_over(spark.sparkContext.broadcast(block), window, details)), schema)
     state = F.col("_state")
     out = [F.col(n).alias(c) for n, c in zip(names, kept, strict=True)]
     out += [state["n_words"].alias("n_words"), state["n_hit"].alias("n_hit"), F.size(state["items"]).cast("bigint").alias("n_items"), F.sha2(F.array_join(state["items"], ","), 256).alias("items_sha256"), (F.size(state["covered"]) > 0).alias("contaminated"), state["longest"].alias("longest_match")]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terramosaic.llm.common import doc_chunks, utf8
+from terramosaic.llm.common import doc_chunks, tidy, utf8
 
 #: Bounds of the training sample: distinct texts of a language, and of all languages.
 SAMPLE_ROWS, SAMPLE_TOTAL = 500, 20_000
@@ -229,7 +229,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores), pa.array(known & (scores < CERTAIN))], [*keep, "lang_pred", "score", "ambiguous"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double, ambiguous boolean"])
-    return docs.select(F.col(text_col).alias("_text"), *keep).mapInArrow(rows, schema)
+    return docs.select(F.col(text_col).alias("_text"), *keep).mapInArrow(tidy(rows), schema)
 
 
 def predict_chunk(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terramosaic.llm.common import remove_written, utf8, written
+from terramosaic.llm.common import remove_written, tidy, utf8, written
 from terramosaic.llm.simhash import components, fuzzy_pairs, majority, shingle_hashes
 from terramosaic.llm.words import space_words
 
@@ -69,18 +69,46 @@ def first_rows(batch: pa.RecordBatch) -> np.ndarray:
     return np.sort(np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)[1])
 
 
+class Together:
+    """Counts the shingles of texts that are read together, in one array of fixed size unless a text alone is larger."""
+
+    def __init__(self, most: int = COUNTED):
+        self.own, self.n = np.empty(most, np.uint64), 0
+
+    def full(self, more: int) -> bool:
+        return self.n + more > len(self.own)
+
+    def add(self, own: np.ndarray) -> None:
+        """The distinct shingles of one text."""
+        if self.full(len(own)):
+            self.own = np.concatenate([self.own[: self.n], own])
+        else:
+            self.own[self.n : self.n + len(own)] = own
+        self.n += len(own)
+
+    def common(self) -> tuple[np.ndarray, np.ndarray]:
+        """(shingles, counts) of those in several texts; all are forgotten."""
+        found = self.own[: self.n]
+        found.sort()
+        again = found[1:] == found[:-1]
+        heads = np.flatnonzero(again & ~np.concatenate([[False], again[:-1]])) if self.n > 1 else np.zeros(0, np.int64)
+        out = found[heads], np.searchsorted(found, found[heads], "right") - heads
+        self.n = 0
+        return out
+
+
 def surveyed(texts: DataFrame, size: int) -> DataFrame:
     """(kind, x, y): kind 0 a node and its fingerprint, kind 1 a shingle and in how many texts read together it stands, if in several."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_held = [], 0
+        together = Together()
 
         def packed(kind: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(y)], ["kind", "x", "y"])
 
         def common() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-            return packed(1, found[n > 1].view(np.int64), n[n > 1].astype(np.int64))
+            found, n = together.common()
+            return packed(1, found.view(np.int64), n.astype(np.int64))
 
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
@@ -89,15 +117,14 @@ def surveyed(texts: DataFrame, size: int) -> DataFrame:
             for k, row in enumerate(own_rows.tolist()):
                 own = np.array(shingle_hashes(raw[offsets[row] : offsets[row + 1]].tobytes(), size), np.uint64)
                 prints[k] = majority(own, np.array([0, len(own)]))[0]
-                held.append(np.unique(own))
-                n_held += len(held[-1])
-                if n_held >= COUNTED:
+                own = np.unique(own)
+                if together.full(len(own)):
                     yield common()
-                    held, n_held = [], 0
+                together.add(own)
             yield packed(0, batch.column(0).to_numpy(zero_copy_only=False)[own_rows].astype(np.int64), prints.view(np.int64))
         yield common()
 
-    return texts.select("node", "text").mapInArrow(rows, "kind int, x bigint, y bigint")
+    return texts.select("node", "text").mapInArrow(tidy(rows), "kind int, x bigint, y bigint")
 
 
 def common_shingles(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +176,7 @@ def prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int,
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own_rows)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), lists], ["node", "n", "sketch", "keys"])
 
-    return texts.select("node", "text").mapInArrow(rows, "node bigint, n int, sketch binary, keys array<bigint>")
+    return texts.select("node", "text").mapInArrow(tidy(rows), "node bigint, n int, sketch binary, keys array<bigint>")
 
 
 def possible(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -164,7 +191,7 @@ def possible(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     x = sets.select(F.col("node").alias("a"), "n", F.col("sketch").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
     both = pairs.join(x, "a").join(y, "b").where(F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-6)
-    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(rows, "a bigint, b bigint")
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(tidy(rows), "a bigint, b bigint")
 
 
 def texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -182,7 +209,7 @@ def texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
             at = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[own := first_rows(batch)] & mask
             yield batch.take(pa.array(own[(shared.value[at >> 6] >> (at & 63) & 1).astype(bool)]))
 
-    near = texts.select("node", "text").mapInArrow(rows, "node bigint, text string")
+    near = texts.select("node", "text").mapInArrow(tidy(rows), "node bigint, text string")
     return near.join(nodes.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
 
@@ -204,7 +231,7 @@ def similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int, thre
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     sides = pairs.join(own.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(own.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    out = written(sides.select("a", "b", "x", "y").mapInArrow(rows, "a bigint, b bigint"), "links")
+    out = written(sides.select("a", "b", "x", "y").mapInArrow(tidy(rows), "a bigint, b bigint"), "links")
     remove_written(pairs, own)
     return out
 

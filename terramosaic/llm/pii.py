@@ -36,7 +36,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from terramosaic.llm.common import utf8
+from terramosaic.llm.common import tidy, utf8
 
 #: Kinds of the base patterns, and all kinds in order.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -720,4 +720,4 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
 
     plain = docs.toDF(*names)
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
-    return plain.mapInArrow(rows, schema).toDF(*docs.columns)
+    return plain.mapInArrow(tidy(rows), schema).toDF(*docs.columns)

@@ -74,3 +74,31 @@ def test_sketches_bound_the_overlap():
         b = np.unique(np.concatenate([rng.choice(a, max(1, n * 3 // 4), replace=False), rng.integers(0, 2**63, n // 3).astype(np.uint64)]))
         got = near_copies.most_shared(near_copies.sketch(a), near_copies.sketch(b))
         assert len(np.intersect1d(a, b)) <= got <= min(len(a), len(b))
+
+
+def test_shingles_counted_together():
+    """All that stand in several of the texts, in little more than the one array."""
+    import tracemalloc
+    from collections import Counter
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 3000, int(n)).astype(np.uint64)) for n in rng.integers(0, 400, 50)]
+    want = {h: n for h, n in Counter(int(h) for own in sets for h in own).items() if n > 1}
+    for most in (1, 100_000):  # a text larger than the array makes it grow
+        together = near_copies.Together(most)
+        assert together.common()[0].tolist() == []
+        for _ in range(2):
+            for own in sets:
+                together.add(own)
+            found, n = together.common()
+            assert dict(zip(found.tolist(), n.tolist(), strict=True)) == want
+    tracemalloc.start()
+    together = near_copies.Together(1 << 20)
+    for k in range(16):
+        together.add(np.arange(k << 16, (k + 1) << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    assert together.full(1) and together.common()[0].tolist() == []
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * (8 << 20)
