@@ -101,22 +101,39 @@ Rows = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 def tidy(rows: Rows, forget: Callable[[], None] | None = None) -> Rows:
     """A map of batches that leaves nothing behind in its worker process.
 
-    Spark keeps workers for later tasks, those of other operators too. At the end
-    of a task ``forget`` drops what the map has kept, and freed memory, which the
-    allocators would hold, goes back to the system.
+    Spark keeps workers for later tasks, those of other operators too. What a map
+    with ``forget`` keeps serves its own next task and is dropped by it when a map
+    without begins. Freed memory, which the allocators would hold, goes back to
+    the system at the end of a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if forget is None:
+            drop_kept()
+        else:
+            keep(forget)
         try:
             yield from rows(batches)
         finally:
-            if forget is not None:
-                forget()
             give_back()
 
     return run
 
 
+#: In a worker: what drops the things kept for the next task.
+_KEPT: list[Callable[[], None]] = []
+
+
+def keep(forget: Callable[[], None]) -> None:
+    if forget not in _KEPT:
+        _KEPT.append(forget)
+
+
+def drop_kept() -> None:
+    while _KEPT:
+        _KEPT.pop()()
+
+
 def give_back() -> None:
     """Return freed memory of this process to the system, where its allocators can."""
     pa.default_memory_pool().release_unused()
