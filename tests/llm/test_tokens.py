@@ -150,3 +150,52 @@ def test_workers_keep_no_memo_for_other_operators(spark, documents):
     byte_bpe.encode_documents(documents.repartition(8)).agg(F.sum("n_tokens")).collect()
     rows = spark.range(0, 64, 1, 8).mapInArrow(tidy(memos), "codecs bigint, held bigint").collect()
     assert max(r["codecs"] for r in rows) == 1 and {r["held"] for r in rows} == {0}
+
+
+def invented(n, seed):
+    rnd = random.Random(seed)
+    return ["".join(rnd.choice(["tion", "ber", "é", "sch", "a", "nt", "ü", "que", "th", "er", "ñ"]) for _ in range(rnd.randint(2, 9))) + rnd.choice(["", ",", ".\nUn", "###"]) for _ in range(n)]
+
+
+def test_new_words_are_encoded_together(reference, monkeypatch):
+    """Words that no memo holds cost most of the time if each is walked by itself."""
+    codec = byte_bpe.ByteBPE(byte_bpe.load_ranks(byte_bpe.default_vocab()), byte_bpe.default_pattern())
+    alone, walk = [], codec.encode_piece
+    monkeypatch.setattr(codec, "encode_piece", lambda raw: alone.append(raw) or walk(raw))
+    text = " ".join(invented(20_000, 1))
+    assert np.frombuffer(codec.encode(text), "<u4").tolist() == reference.encode_ordinary(text)
+    assert len(alone) < 500
+
+
+def test_white_space_that_one_token_spans():
+    """A run of white space is cut by what follows it, so a space inside a run is no cut."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"\n ": 256, b" a": 257, b"\xc2\xa0": 258, b" \xc2\xa0": 259}
+    codec = byte_bpe.ByteBPE(ranks, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("white", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for text in ["a\n \na", "a\n ", "a\n", "\n a", "a   a", "a  ", "a a\n a\n \n a", *texts(2000, list("a  \n "), 4)]:
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == library.encode_ordinary(text), text
+
+
+def test_byte_bpe_columns(reference, monkeypatch):
+    """Many texts at once, odd ones among them, with tables so small that pairs drive each other out."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(byte_bpe, "SEAM_BITS", 3)
+    monkeypatch.setattr(byte_bpe, "FEW", 0)
+    monkeypatch.setattr(byte_bpe, "MATCHES", 50)
+    monkeypatch.setattr(byte_bpe, "MEMO_WORDS", 20)
+    codec = byte_bpe.ByteBPE(byte_bpe.load_ranks(byte_bpe.default_vocab()), byte_bpe.default_pattern())
+    pieces = [t.decode("utf-8", "ignore") for t in codec.bytes_of]
+    rows = [None, "", " ", "\n", "a", *texts(300, list("ab \n\t'sé🙂7#--aaaa ñ  ст"), 8), *texts(200, pieces, 9), " ".join(invented(3000, 2)), None, "a" * 3000 + " é " + "ab#" * 500, "x  y" * 100, ""]
+    for column in (pa.array(rows), pa.array(rows).slice(7, 400), pa.array(rows[:0], pa.string()), pa.array([None, None], pa.string())):
+        ids, starts = codec.encode_texts(column)
+        back, ends = codec.decode_texts(ids, starts)
+        values = [v or "" for v in column.to_pylist()]
+        assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == [reference.encode_ordinary(v) for v in values]
+        assert [back[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [v.encode() for v in values]
+
+
+def test_pattern_that_leaves_spaces_out():
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257, b"bc": 258}
+    codec = byte_bpe.ByteBPE(ranks, r"[a-z]+")
+    assert codec.decode(codec.encode("abc ab bc, cab")) == b"abcabbccab"
