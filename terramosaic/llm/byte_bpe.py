@@ -38,12 +38,14 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from terramosaic.llm.common import tidy, utf8
+from terramosaic.llm.common import doc_chunks, tidy, utf8
 
 #: Memo entries before a memo is emptied: first words of texts, pattern matches and token pairs of those walked one by one.
 MEMO_WORDS, MEMO_PIECES, MEMO_PAIRS = 300_000, 150_000, 250_000
 #: Slots (a power of two) of the table of seams, eight bytes each; a pair takes the place of another in its slot.
-SEAM_BITS = 21
+SEAM_BITS = 20
+#: Text bytes that are encoded together; bounds the scratch memory of a worker.
+SHARE_BYTES = 2 << 20
 #: So few matches are walked one by one.
 FEW = 50
 #: Matches of whole texts that are encoded together, or those of one text.
@@ -311,7 +313,7 @@ class ByteBPE:
         """The walk of encode_piece for many short matches at once, a step each a round: rows of ids, and how many; 0 where left to it."""
         trie = self.trie = self.trie or Trie(self.ranks)
         length, shorter = self.sizes, self.shorter_of
-        path, depth = np.zeros((len(starts), int(sizes.max())), "<u4"), np.zeros(len(starts), np.int64)
+        path, depth = np.empty((len(starts), int(sizes.max())), "<u4"), np.zeros(len(starts), np.int64)
         dead = np.zeros(len(line), bool)
         at, stop = starts.copy(), starts + sizes
         token = trie.longest(line, at)
@@ -417,7 +419,7 @@ class ByteBPE:
 
     def decode_texts(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of texts whose ids lie one after another, and where each text's bytes start; at last their number."""
-        data, at = contents(self.raw.take(pa.array(ids.astype(np.int64))))
+        data, at = contents(self.raw.take(pa.array(ids)))
         return data, at[starts]
 
     def decode(self, ids: bytes) -> bytes:
@@ -466,20 +468,20 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocab, pattern)
         for batch in batches:
-            texts = batch.column(1)
-            ids, starts = bpe.encode_texts(texts)
-            back, ends = bpe.decode_texts(ids, starts)
-            raw, bounds = utf8(texts)
-            ids_hex, out_hex, same = [], [], []
-            for i in range(len(texts)):
-                decoded = back[ends[i] : ends[i + 1]]
-                ids_hex.append(hashlib.sha256(ids[starts[i] : starts[i + 1]]).hexdigest())
-                out_hex.append(hashlib.sha256(decoded).hexdigest())
-                same.append(np.array_equal(decoded, raw[bounds[i] : bounds[i + 1]]))
-            out = {id_col: batch.column(0), "n_tokens": pa.array(np.diff(starts)), "ids_sha256": pa.array(ids_hex, pa.string()), "decoded_sha256": pa.array(out_hex, pa.string()), "lossless": pa.array(same, pa.bool_())}
-            if keep_ids:
-                out["ids"] = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.view(np.int32)))
-            yield pa.RecordBatch.from_pydict(out)
+            raw, bounds = utf8(batch.column(1))
+            for first, stop in doc_chunks(bounds, SHARE_BYTES):
+                ids, starts = bpe.encode_texts(batch.column(1).slice(first, stop - first))
+                back, ends = bpe.decode_texts(ids, starts)
+                ids_hex, out_hex, same = [], [], []
+                for i in range(stop - first):
+                    decoded = back[ends[i] : ends[i + 1]]
+                    ids_hex.append(hashlib.sha256(ids[starts[i] : starts[i + 1]]).hexdigest())
+                    out_hex.append(hashlib.sha256(decoded).hexdigest())
+                    same.append(np.array_equal(decoded, raw[bounds[first + i] : bounds[first + i + 1]]))
+                out = {id_col: batch.column(0).slice(first, stop - first), "n_tokens": pa.array(np.diff(starts)), "ids_sha256": pa.array(ids_hex, pa.string()), "decoded_sha256": pa.array(out_hex, pa.string()), "lossless": pa.array(same, pa.bool_())}
+                if keep_ids:
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_pydict(out)
 
     schema = f"`{id_col}` {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, lossless boolean"
     return docs.select(id_col, text_col).mapInArrow(tidy(rows, forget), schema + ", ids array<int>" * keep_ids)

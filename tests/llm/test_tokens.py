@@ -199,3 +199,18 @@ def test_pattern_that_leaves_spaces_out():
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257, b"bc": 258}
     codec = byte_bpe.ByteBPE(ranks, r"[a-z]+")
     assert codec.decode(codec.encode("abc ab bc, cab")) == b"abcabbccab"
+
+
+def test_batches_are_encoded_in_bounded_shares(spark, reference, documents, monkeypatch):
+    """A worker's scratch memory does not grow with the batch; rows stay with their ids."""
+    sizes, encode_texts = [], byte_bpe.ByteBPE.encode_texts
+    monkeypatch.setattr(byte_bpe.ByteBPE, "encode_texts", lambda self, texts: sizes.append(texts.nbytes) or encode_texts(self, texts))
+    kept = []
+    monkeypatch.setattr(byte_bpe, "tidy", lambda rows, forget: kept.append(rows) or rows)
+    monkeypatch.setattr(byte_bpe, "SHARE_BYTES", 20_000)
+    byte_bpe.encode_documents(documents)
+    (batch,) = documents.select("doc_id", "text").toArrow().combine_chunks().to_batches()
+    found = {r["doc_id"]: r for part in kept[0](iter([batch])) for r in part.to_pylist()}
+    longest = max(len((t or "").encode()) for t in batch.column(1).to_pylist())
+    assert len(sizes) > 5 and max(sizes) < 25_000 + longest
+    assert all(found[i]["ids"] == reference.encode_ordinary(t or "") and found[i]["lossless"] for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True))
